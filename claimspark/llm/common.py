@@ -80,48 +80,50 @@ def ascii_lower_words(text: str | None) -> list[bytes]:
 # --- sorted runs of keys ----------------------------------------------------------------------------------------------
 
 RUNS = "bucket int, keys binary, ids binary"
+RUNS_OTHER = f"{RUNS}, other binary"
 
 
-def _squeeze(a: np.ndarray) -> bytes:
+def packed(a: np.ndarray) -> bytes:
     """Eight-byte values, byte planes apart, compressed."""
     raw = np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
-def _unsqueeze(b: bytes, kind: type) -> np.ndarray:
-    raw = pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
+def unpacked(b: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(b[:8], "little")
+    raw = pa.decompress(b[8:], size, codec="zstd", asbytes=True) if size else b""
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
 
 
-def runs(keys: np.ndarray, ids: np.ndarray, n_buckets: int) -> pa.RecordBatch:
-    """One sorted run of (key, id) for each bucket, a bucket being a range of keys. Repeats go."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
+def _sorted(keys: np.ndarray, ids: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """By key, then id, then the rest, without repeats."""
+    order = np.lexsort((*more[::-1], ids, keys))
+    columns = [c[order] for c in (keys, ids, *more)]
+    new = np.ones(len(keys), bool)
     if len(keys):
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-        keys, ids = keys[new], ids[new]
-    of = ((keys >> U(32)) * U(n_buckets)) >> U(32)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return tuple(c[new] for c in columns)
+
+
+def runs(keys: np.ndarray, ids: np.ndarray, n_buckets: int, other: np.ndarray | None = None) -> pa.RecordBatch:
+    """One sorted run of (key, id), or (key, id, other), for each bucket, a bucket being a range of keys."""
+    columns = _sorted(keys, ids, *([] if other is None else [other]))
+    of = ((columns[0] >> U(32)) * U(n_buckets)) >> U(32)
     cuts = np.flatnonzero(np.diff(of)) + 1 if len(of) else np.empty(0, int)
-    starts, ends = np.r_[0, cuts].astype(int), np.r_[cuts, len(keys)].astype(int)
-    rows = [(int(of[s]), _squeeze(keys[s:e]), _squeeze(ids[s:e])) for s, e in zip(starts, ends, strict=True) if e > s]
+    starts, ends = np.r_[0, cuts].astype(int), np.r_[cuts, len(of)].astype(int)
+    spans = [(s, e) for s, e in zip(starts, ends, strict=True) if e > s]
+    names = ["keys", "ids", "other"][: len(columns)]
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-        names=["bucket", "keys", "ids"],
+        [pa.array([int(of[s]) for s, _ in spans], pa.int32()), *(pa.array([packed(c[s:e]) for s, e in spans], pa.binary()) for c in columns)],
+        names=["bucket", *names],
     )
 
 
-def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of one bucket as one, sorted by key, then id, without repeats."""
-    if not table.num_rows:
-        return np.empty(0, U), np.empty(0, np.int64)
-    keys = np.concatenate([_unsqueeze(b, U) for b in table.column("keys").to_pylist()])
-    ids = np.concatenate([_unsqueeze(b, np.int64) for b in table.column("ids").to_pylist()])
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-    return keys[new], ids[new]
+def merged(table: pa.Table, flags: np.ndarray | None = None, other: bool = False) -> tuple[np.ndarray, ...]:
+    """The runs of one bucket as one, sorted by key, then id, without repeats. flags: a value for each entry of the runs
+    as they stand in the table, returned in the new order."""
+    columns = [np.concatenate([np.empty(0, kind), *(unpacked(b, kind) for b in table.column(name).to_pylist())]) for name, kind in (("keys", U), ("ids", np.int64), *([("other", U)] if other else []))]
+    return _sorted(*columns, *([] if flags is None else [flags]))
 
 
 def shared_keys(packed: DataFrame) -> DataFrame:

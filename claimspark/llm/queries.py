@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import fingerprints, minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,12 @@ def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=4)
 
 
+def op9_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_minmax_near_dedup,)}
+    return {f.__name__: f for f in (op6_minmax_near_dedup, op9_fingerprint_index)}
 
 
 def oracle_sql() -> dict[str, str]:
