@@ -235,19 +235,27 @@ def verified(pairs: DataFrame, held: DataFrame, n_slices: int, test: Callable[[o
 # --- text shuffled small ----------------------------------------------------------------------------------------------
 
 
+def squeezed_text(text: str | None) -> bytes | None:
+    raw = None if text is None else text.encode("utf-8", "surrogatepass")
+    return None if raw is None else len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
 def squeezed(docs: DataFrame) -> DataFrame:
     """(doc_id, z): each text as compressed UTF-8, for joins that must move whole texts. Null texts stay null."""
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            z = [None if t is None else (len(t)).to_bytes(8, "little") + pa.compress(t, codec="zstd", asbytes=True) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            z = [squeezed_text(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary())], names=["doc_id", "z"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(squeeze, "doc_id long, z binary")
 
 
 def unsqueezed(z: bytes | None) -> str | None:
-    return None if z is None else pa.decompress(z[8:], int.from_bytes(z[:8], "little"), codec="zstd", asbytes=True).decode("utf-8", "surrogatepass")
+    if z is None:
+        return None
+    size = int.from_bytes(z[:8], "little")
+    return pa.decompress(z[8:], size, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass") if size else ""
 
 
 # --- edit distance ----------------------------------------------------------------------------------------------------
