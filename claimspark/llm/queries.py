@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, lines, minhash
+from . import decontaminate, fingerprints, lines, minhash, pieces, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,16 +22,27 @@ def op10_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, _table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return toxicity.score(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=4)
 
 
+def op8_suffix_array_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_line_dedup, op6_minmax_near_dedup, op9_fingerprint_index, op10_pigeonhole_decontamination)}
+    return {f.__name__: f for f in (op1_simhash_line_dedup, op4_noisy_channel_toxicity, op6_minmax_near_dedup, op8_suffix_array_sentencepiece, op9_fingerprint_index, op10_pigeonhole_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
