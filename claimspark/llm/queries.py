@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, lines, minhash, pieces, toxicity
+from . import decontaminate, fingerprints, lines, minhash, pieces, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op10_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_crf_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digest(secrets.scan(documents, secrets.fit(documents)))
+
+
 def op4_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(documents, _table(spark, sf_dir, "labels"))
@@ -42,7 +47,7 @@ def op9_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_line_dedup, op4_noisy_channel_toxicity, op6_minmax_near_dedup, op8_suffix_array_sentencepiece, op9_fingerprint_index, op10_pigeonhole_decontamination)}
+    return {f.__name__: f for f in (op1_simhash_line_dedup, op2_crf_secret_scan, op4_noisy_channel_toxicity, op6_minmax_near_dedup, op8_suffix_array_sentencepiece, op9_fingerprint_index, op10_pigeonhole_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
