@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, lines, minhash, pieces, secrets, toxicity
+from . import decontaminate, fingerprints, lines, minhash, pieces, rules, secrets, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +34,18 @@ def op4_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_path_template_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=4)
 
 
+def op7_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op8_suffix_array_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,7 @@ def op9_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_line_dedup, op2_crf_secret_scan, op4_noisy_channel_toxicity, op6_minmax_near_dedup, op8_suffix_array_sentencepiece, op9_fingerprint_index, op10_pigeonhole_decontamination)}
+    return {f.__name__: f for f in (op1_simhash_line_dedup, op2_crf_secret_scan, op4_noisy_channel_toxicity, op5_path_template_urls, op6_minmax_near_dedup, op7_line_frequency_rules, op8_suffix_array_sentencepiece, op9_fingerprint_index, op10_pigeonhole_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
