@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, lines, minhash, pieces, rules, secrets, toxicity, urls
+from . import decontaminate, fingerprints, html, lines, minhash, pieces, rules, secrets, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_crf_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents, secrets.fit(documents)))
 
 
+def op3_host_suffix_array_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(documents, _table(spark, sf_dir, "labels"))
@@ -55,7 +59,7 @@ def op9_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_line_dedup, op2_crf_secret_scan, op4_noisy_channel_toxicity, op5_path_template_urls, op6_minmax_near_dedup, op7_line_frequency_rules, op8_suffix_array_sentencepiece, op9_fingerprint_index, op10_pigeonhole_decontamination)}
+    return {f.__name__: f for f in (op1_simhash_line_dedup, op2_crf_secret_scan, op3_host_suffix_array_html, op4_noisy_channel_toxicity, op5_path_template_urls, op6_minmax_near_dedup, op7_line_frequency_rules, op8_suffix_array_sentencepiece, op9_fingerprint_index, op10_pigeonhole_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
