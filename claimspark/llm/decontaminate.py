@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -73,7 +74,7 @@ class Matcher:
         return found
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about BLOCK rows, one after another; each passes the driver alone."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     n = -(-items.count() // BLOCK) or 1
@@ -114,15 +115,18 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
+def _holds_item(sent):
+    @F.pandas_udf(T.BooleanType())
+    def hit(texts: pd.Series) -> pd.Series:
+        m = _matcher(sent)
+        return pd.Series([bool(m.find(normalise(t))) for t in texts], dtype=bool)
+
+    return hit
+
+
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents whose text holds no item, with all their columns; no shuffle."""
     for block in _blocks(benchmark):
         sent = documents.sparkSession.sparkContext.broadcast((hash(tuple(block)), block))
-
-        @F.pandas_udf("boolean")
-        def hit(texts: pd.Series, sent=sent) -> pd.Series:
-            m = _matcher(sent)
-            return pd.Series([bool(m.find(normalise(t))) for t in texts], dtype=bool)
-
-        documents = documents.where(~hit(F.col("text").cast("string")))
+        documents = documents.where(~_holds_item(sent)(F.col("text").cast("string")))
     return documents
