@@ -1 +1,150 @@
-"""To come."""
+"""Queries over captured pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from claimspark.functions import html as H
+from claimspark.functions import urls as U
+from claimspark.operators import articles as A
+
+from .registry import query
+
+HOST = r"lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1))"
+LINK = r"<a[^>]*href=\"([^\"]*)\""
+
+
+def _decoded(c: str) -> str:
+    for name, sign in H.NAMED:
+        c = f"replace({c}, '{name}', '{sign.replace(chr(39), chr(39) * 2)}')"
+    return rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+
+
+def _stripped(c: str) -> str:
+    c = f"regexp_replace({c}, '<!--.*?-->', ' ', 'gs')"
+    for tag in H.GONE:
+        c = rf"regexp_replace({c}, '<{tag}(?:\s[^>]*)?>.*?</{tag}>', ' ', 'gis')"
+    return f"regexp_replace(regexp_replace({c}, '</(?:{H.ENDS})>|<br[^>]*>', chr(10), 'gi'), '<[^>]*>', ' ', 'gs')"
+
+
+BODY, REGION = _decoded(_stripped("html")), _decoded(_stripped("x"))
+MAIN = rf"""(SELECT page_id, url, html, CASE WHEN length(best) >= greatest(400.0, 0.3 * length(body)) THEN best ELSE body END AS main FROM (SELECT *, coalesce(list_reduce(list_prepend('', list_transform(regexp_extract_all(html, '(?is)<article(?:\s[^>]*)?>(.*?)</article>', 1), lambda x: {REGION})), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END), '') AS best, {BODY} AS body FROM pages))"""
+HEADLINE = rf"coalesce(nullif({_decoded(chr(40) + 'regexp_extract(html, ' + chr(39) + '(?is)<h1[^>]*>(.*?)</h1>' + chr(39) + ', 1))')}, ''), nullif({_decoded('regexp_extract(html, ' + chr(39) + '(?is)<title[^>]*>(.*?)</title>' + chr(39) + ', 1)')}, ''), '')"
+REGISTRABLE = "array_to_string(list_slice(string_split(regexp_replace({0}, '^www\\.', ''), '.'), -2, -1), '.')"
+TRACKED = "[" + ", ".join(f"'{x}'" for x in U.TRACKING) + "]"
+NORMAL = rf"(regexp_extract(u, '^([^?]*)', 1) || CASE WHEN q = '' THEN '' ELSE '?' || q END)"  # noqa: F541
+NORMALISED = rf"(SELECT *, array_to_string(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT list_contains({TRACKED}, lower(regexp_extract(p, '^([^=]*)', 1)))), '&') AS q FROM (SELECT *, regexp_replace(url, '#.*$', '') AS u FROM {{0}}))"
+
+
+@query("SELECT page_id, url, CASE WHEN url LIKE 'https://%' THEN 'https' ELSE 'browser' END AS transport, length(html) AS n_chars FROM pages")
+def page_scan(t):
+    """Pages with the transport they were declared to need, never one guessed from a failure."""
+    return t("pages").select("page_id", "url", F.when(F.startswith("url", F.lit("https://")), "https").otherwise("browser").alias("transport"), F.length("html").cast("long").alias("n_chars"))
+
+
+@query(rf"""SELECT page_id, link, CAST(place AS BIGINT) AS place FROM (SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY i) AS place FROM (SELECT page_id, unnest(l) AS link, unnest(range(len(l))) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1) AS l FROM pages)) WHERE length(link) > 3 AND NOT regexp_matches(link, '\.(rss|xml)$')) WHERE place <= 4""")
+def page_links(t):
+    """The first four links of each page that could be articles."""
+    links = F.regexp_extract_all("html", F.lit('<a[^>]*href="([^"]*)"'), F.lit(1))
+    kept = F.slice(F.filter(links, lambda x: (F.length(x) > 3) & ~x.rlike(r"\.(rss|xml)$")), 1, 4)
+    return t("pages").select("page_id", F.posexplode(kept).alias("p", "link")).select("page_id", "link", (F.col("p") + 1).cast("long").alias("place"))
+
+
+@query(r"SELECT host, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(url || ' ' || html, 'https?://([a-z0-9.-]+)', 1)) AS host FROM pages) GROUP BY host")
+def hosts_named(t):
+    hosts = F.explode(F.regexp_extract_all(F.concat_ws(" ", "url", "html"), F.lit("https?://([a-z0-9.-]+)"), F.lit(1)))
+    return t("pages").select("page_id", hosts.alias("host")).groupBy("host").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
+
+
+@query(f"SELECT page_id, sha256({_decoded('html')}) AS decoded FROM pages")
+def entities(t):
+    return t("pages").select("page_id", F.sha2(H.decoded(F.col("html")), 256).alias("decoded"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN NULL ELSE url END AS safe, replace(replace(replace(replace(replace(left(html, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")
+def safe_url(t):
+    url = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("javascript:"), "url")).otherwise(F.col("url"))
+    return t("pages").select("page_id", U.safe_url(url).alias("safe"), U.html_escaped(F.left("html", F.lit(80))).alias("escaped"))
+
+
+@query(f"SELECT page_id, {REGISTRABLE.format(HOST.format('url'))} AS registrable FROM pages")
+def registrable_host(t):
+    return t("pages").select("page_id", U.registrable_host(U.host(F.col("url"))).alias("registrable"))
+
+
+@query(f"SELECT page_id, {NORMAL} AS normal FROM {NORMALISED.format('pages')}")
+def url_norm(t):
+    return t("pages").select("page_id", U.normal_url(F.col("url")).alias("normal"))
+
+
+REJECTED = [("cheap-pills.example.com", "shop"), ("casino-win.example.org", "betting"), ("free-bets.example.com", "betting"), ("adult-x.example.net", "adult"), ("ads-track.example.org", "tracker")]
+
+
+@query(rf"""SELECT page_id, host, reason IS NULL AS ok, reason FROM (SELECT page_id, host, CASE WHEN NOT regexp_matches(url, '^https?://') THEN 'protocol' {' '.join(f"WHEN host = '{h}' OR host LIKE '%.{h}' THEN '{w}'" for h, w in REJECTED)}
+ WHEN regexp_matches(host, '^(m|amp)\.') THEN 'mobile host' WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) IN ('', '/') THEN 'site root' END AS reason FROM (SELECT page_id, url, {HOST.format('url')} AS host FROM pages))""")
+def host_gate(t):
+    pages = t("pages").select("page_id", "url")
+    return A.host_gate(pages, F.broadcast(pages.sparkSession.createDataFrame(REJECTED, "host string, why string")))
+
+
+@query(f"SELECT page_id, sha256({BODY}) AS text, length({BODY}) AS n_chars FROM pages")
+def html_to_text(t):
+    return t("pages").select("page_id", H.plain_text(F.col("html")).alias("x")).select("page_id", F.sha2("x", 256).alias("text"), F.length("x").cast("long").alias("n_chars"))
+
+
+@query(f"SELECT page_id, sha256(main) AS text, length(main) AS n_chars FROM {MAIN}")
+def main_text(t):
+    return t("pages").select("page_id", H.main_text(F.col("html")).alias("x")).select("page_id", F.sha2("x", 256).alias("text"), F.length("x").cast("long").alias("n_chars"))
+
+
+@query(f"SELECT page_id, {HEADLINE} AS headline FROM pages")
+def meta_first(t):
+    return t("pages").select("page_id", F.coalesce(H.headline(F.col("html")), F.lit("")).alias("headline"))
+
+
+@query(f"""SELECT page_id, {HEADLINE} AS headline, {REGISTRABLE.format(HOST.format('url'))} AS publisher, '' AS author, CAST(NULL AS VARCHAR) AS published, {HOST.format('url')} AS host, {NORMAL} AS canonical, length(main) AS n_chars, sha256(main) AS hash FROM {NORMALISED.format(MAIN)}""")
+def extract_articles(t):
+    return A.articles(t("pages"))
+
+
+DATED = "CASE doc_id % 4 WHEN 0 THEN 'Posted 2024-03-0' || (1 + doc_id % 9) || '. ' WHEN 1 THEN 'On 5 May 2023, ' WHEN 2 THEN 'March 7, 2022 and 2022-03-08 ' ELSE '' END || left(text, 300)"
+
+
+@query(f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '2024-03-0' || (1 + doc_id % 9) WHEN 1 THEN '2023-05-05' END AS published FROM documents")  # noqa: F541
+def rendered_date(t):
+    k = F.col("doc_id") % 4
+    lead = F.when(k == 0, F.concat(F.lit("Posted 2024-03-0"), (1 + F.col("doc_id") % 9).cast("string"), F.lit(". "))).when(k == 1, "On 5 May 2023, ").when(k == 2, "March 7, 2022 and 2022-03-08 ").otherwise("")
+    return t("documents").select("doc_id", F.date_format(H.rendered_date(F.concat(lead, F.left("text", F.lit(300)))), "yyyy-MM-dd").alias("published"))
+
+
+@query(f"SELECT page_id, (length(html) < 5000 AND length(main) < 500) OR (page_id % 6 = 0 AND length(html) + 21 < 20000) AS challenged FROM {MAIN}")
+def challenge_flag(t):
+    marked = F.when(F.col("page_id") % 6 == 0, F.concat("html", F.lit("Please enable JavaScr"), F.lit("ipt"))).otherwise(F.col("html"))
+    return t("pages").select("page_id", (H.challenge(marked, F.lit("x" * 500)) | ((F.length("html") < 5000) & (F.length(H.main_text(F.col("html"))) < 500))).alias("challenged"))
+
+
+@query(f"""SELECT host, CASE WHEN host LIKE '%.example.net' THEN 'retired' WHEN host LIKE 'www.%' THEN 'undeclared' ELSE 'allowed' END AS verdict, count(*) AS pages FROM (SELECT {HOST.format('url')} AS host FROM pages) GROUP BY host""")
+def host_allowlist(t):
+    """Hosts named beside the lists of those retired and those declared; what is on neither is a violation."""
+    hosts = t("pages").groupBy(U.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
+    retired = hosts.where(F.endswith("host", F.lit(".example.net"))).select("host", F.lit(True).alias("gone"))
+    declared = hosts.where(~F.startswith("host", F.lit("www."))).select("host", F.lit(True).alias("known"))
+    verdict = F.when(F.col("gone"), "retired").when(F.col("known"), "allowed").otherwise("undeclared")
+    return hosts.join(retired, "host", "left").join(declared, "host", "left").select("host", verdict.alias("verdict"), "pages")
+
+
+@query("""WITH RECURSIVE e AS (SELECT page_id AS src, CASE WHEN page_id % 17 = 0 THEN page_id + 1 WHEN page_id % 3 = 0 THEN page_id + 3 ELSE page_id + 1 END AS dst FROM pages WHERE page_id % 10 <> 9),
+w AS (SELECT page_id AS start, page_id AS cur, 0 AS hops FROM pages UNION ALL SELECT start, dst, hops + 1 FROM w JOIN e ON cur = src WHERE hops < 6)
+SELECT start, CAST(max_by(cur, hops) AS BIGINT) AS final, CAST(max(hops) AS BIGINT) AS hops, CASE WHEN max(hops) = 6 AND max_by(cur, hops) IN (SELECT src FROM e) THEN 'too many hops' END AS reason FROM w GROUP BY start""")
+def redirect_resolve(t):
+    k = F.col("page_id")
+    edges = t("pages").where(k % 10 != 9).select(k.alias("src"), F.when(k % 17 == 0, k + 1).when(k % 3 == 0, k + 3).otherwise(k + 1).alias("dst"))
+    return A.redirects(edges, t("pages").select(k.alias("start")))
+
+
+@query(r"""SELECT page_id, target FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a[^>]*href="/([^"]*)"', 1)) AS target FROM pages WHERE page_id % 2 = 0) WHERE NOT regexp_matches(target, '^[A-Z]') AND target NOT IN (SELECT unnest(regexp_extract_all(html, '<a[^>]*href="/([^"]*)"', 1)) FROM pages WHERE page_id % 2 = 1)""")
+def closure_holes(t):
+    """Targets that listed pages link to and that are not themselves listed."""
+    links = lambda rest: t("pages").where(f"page_id % 2 = {rest}").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a[^>]*href="/([^"]*)"'), F.lit(1))).alias("target"))
+    named = links(0).distinct().where(~F.col("target").rlike("^[A-Z]"))
+    return named.join(links(1), "target", "left_anti").select("page_id", "target")
