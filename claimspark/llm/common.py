@@ -127,18 +127,19 @@ def merged(table: pa.Table, flags: np.ndarray | None = None, other: bool = False
 
 
 def shared_keys(packed: DataFrame) -> DataFrame:
-    """(key, id) of every key that two or more ids have. packed: RUNS, each row a sorted run made by runs()."""
+    """(center, id): each id that shares a key with another, beside the smallest id of the key. packed: RUNS."""
 
-    def shared(table: pa.Table) -> pa.Table:
+    def stars(table: pa.Table) -> pa.Table:
         keys, ids = merged(table)
-        same = np.zeros(len(keys), bool)
-        if len(keys):
-            equal = keys[1:] == keys[:-1]
-            same[1:] |= equal
-            same[:-1] |= equal
-        return pa.table({"key": keys[same].view(np.int64), "id": ids[same]})
+        first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.empty(0, bool)
+        center = ids[np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))]
+        center, ids = center[~first], ids[~first]
+        order = np.lexsort((ids, center))
+        center, ids = center[order], ids[order]
+        new = np.r_[True, (center[1:] != center[:-1]) | (ids[1:] != ids[:-1])] if len(ids) else np.empty(0, bool)
+        return pa.table({"center": center[new], "id": ids[new]})
 
-    return packed.groupBy("bucket").applyInArrow(shared, "key long, id long")
+    return packed.groupBy("bucket").applyInArrow(stars, "center long, id long").distinct()
 
 
 # --- links and groups -------------------------------------------------------------------------------------------------
@@ -161,75 +162,69 @@ def components(edges: DataFrame) -> DataFrame:
     return saved(now.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(now.select(F.col("lo"), F.col("lo"))).distinct())
 
 
-def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], budget: int) -> DataFrame:
-    """(id, component) of ids linked by verify() among those that share a key of members (key, id).
-
-    verify takes pairs (center, id) and returns those that hold as (a, b). The first round tests each id against the
-    smallest of its key. After that only pairs across components matter, and each such pair of a key has an id outside
-    the key's largest component: those ids are tested against all others of their keys, as many a round as make about
-    `budget` pairs, until none is left. So no round makes all pairs of a group, and no pair that could still join two
-    components goes untested."""
-    spark = members.sparkSession
-    members = saved(members)
-    first = members.groupBy("key").agg(F.min("id").alias("center"))
-    pairs = saved(members.join(first, "key").where("id != center").select("center", "id").distinct())
-    comps = components(verify(pairs))
-    retired: DataFrame | None = None
-    tested = [pairs]
-    for turn in range(1_000_000):
-        known = members.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-        sizes = known.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        top = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("k")).where("k > 1")
-        open_ = saved(known.join(top.select("key", "top", "size"), "key"))
-        outside = open_.where("comp != top")
-        if retired is not None:
-            outside = outside.join(retired, "id", "left_anti")
-        cost = outside.agg(F.sum("size")).first()[0]
-        if not cost:
-            return comps
-        chosen = outside
-        if cost > budget:
-            chosen = outside.where((F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 20)) < F.lit(max(1, int((1 << 20) * budget / cost)))))
-        chosen = saved(chosen.select("key", F.col("id").alias("center"), F.col("comp").alias("of")))
-        across = chosen.join(open_.select("key", "id", "comp"), "key").where("comp != of").select("center", "id").distinct()
-        for t in tested:
-            across = across.join(t, ["center", "id"], "left_anti").join(t.select(F.col("id").alias("center"), F.col("center").alias("id")), ["center", "id"], "left_anti")
-        across = saved(across)
-        tested.append(across)
-        now = chosen.select(F.col("center").alias("id")).distinct()
-        retired = saved(now if retired is None else retired.union(now))
-        if not across.isEmpty():
-            found = saved(verify(across))
-            if not found.isEmpty():
-                comps = components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found.select("a", "b")))
-    return comps
-
-
-def verified(pairs: DataFrame, held: DataFrame, n_slices: int, test: Callable[[object, object], bool], decode: Callable[[bytes], object]) -> DataFrame:
-    """Pairs (center, id) for which test(value of center, value of id) holds, as (a, b), a < b.
-
-    held: (id, value binary). Values stay in slices by id; each center's value goes to the slices that hold its
-    partners, with their ids in a list, so that no value is copied for each pair."""
-    slices = lambda c: F.pmod(F.xxhash64(c), F.lit(n_slices)).cast("int")
-    routed = pairs.groupBy("center", slices("id").alias("slice")).agg(F.collect_list("id").alias("ids"))
-    routed = routed.join(held.withColumnRenamed("id", "center"), "center").select("slice", "center", "ids", "value")
-    wanted = held.join(pairs.select("id").distinct(), "id", "left_semi").select(slices("id").alias("of"), F.col("id").alias("own"), F.col("value").alias("mine"))
-
-    def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        at = {k: i for i, k in enumerate(right.column("own").to_pylist())}
-        values, memo, a, b = right.column("mine"), {}, [], []
-        for c, ids, value in zip(left.column("center").to_pylist(), left.column("ids").to_pylist(), left.column("value"), strict=True):
-            mine = decode(value.as_py())
-            for k in ids:
-                if k in at:
-                    if k not in memo:
-                        memo[k] = decode(values[at[k]].as_py())
-                    if test(mine, memo[k]):
-                        a.append(min(c, k))
-                        b.append(max(c, k))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return routed.groupBy("slice").cogroup(wanted.groupBy("of")).applyInArrow(check, "a long, b long")
+#: Ids whose values one task compares at a time.
+BLOCK_IDS = 4000
+
+
+def clusters(stars: DataFrame) -> DataFrame:
+    """(id, cluster, slices): what candidate stars (center, id) connect, and in how many slices of BLOCK_IDS or less
+    its members are dealt."""
+    found = components(stars.select(F.col("center").alias("a"), F.col("id").alias("b")))
+    sizes = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_IDS).cast("int").alias("slices"))
+    return saved(found.join(sizes, "component").select("id", F.col("component").alias("cluster"), "slices"))
+
+
+def linked(held: DataFrame, decode: Callable[[bytes], object], keys_of: Callable[[object], np.ndarray], match: Callable[[object, list], np.ndarray]) -> DataFrame:
+    """(id, component) of ids that match, for all ids of held (id, cluster, slices, value) that match any other.
+
+    Two ids are compared if they share a key of keys_of(value); match(x, ys) says which ys x is linked with. Small
+    clusters share tasks; a cluster of more than BLOCK_IDS is dealt in slices, and each pair of slices is a task. A task
+    compares only what it hasn't connected yet and returns a spanning forest, so neither pairs nor groups leave it."""
+    spark = held.sparkSession
+    n_bins = max(shuffle_partitions(spark), -(-held.where("slices = 1").count() // BLOCK_IDS))
+    own = F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")
+    small = held.where("slices = 1").select(F.pmod(F.xxhash64("cluster"), F.lit(n_bins)).alias("block"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("slice"), "id", "value")
+    other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other")
+    large = held.where("slices > 1").select("cluster", own.alias("slice"), other, "id", "value")
+    large = large.select(F.col("cluster").alias("block"), F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "slice", "id", "value")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, part = ids[order], table.column("slice").to_numpy()[order]
+        raw = table.column("value")
+        values = [decode(raw[int(k)].as_py()) for k in order]
+        across = bool(len(ids)) and table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        keys = [keys_of(v) for v in values]
+        owner = np.repeat(np.arange(len(ids)), [len(k) for k in keys])
+        flat = np.concatenate([np.empty(0, U), *keys])
+        by = np.lexsort((owner, flat))
+        flat, owner = flat[by], owner[by]
+        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, int)
+        stop = np.r_[first[1:], len(flat)].astype(int)
+        # for each entry but the last of its key: the id of the entry, and the run of ids after it
+        end = np.repeat(stop, stop - first)
+        at = np.flatnonzero(end - np.arange(len(flat)) > 1)
+        at = at[np.argsort(owner[at], kind="stable")]
+        cuts = np.searchsorted(owner[at], np.arange(len(ids) + 1))
+        root = np.arange(len(ids))
+        for x in range(len(ids)):
+            entries = at[cuts[x] : cuts[x + 1]]
+            if not len(entries):
+                continue
+            ys = np.unique(np.concatenate([owner[e + 1 : end[e]] for e in entries]))
+            ys = ys[(root[ys] != root[x]) & (ys != x)]
+            if across:
+                ys = ys[part[ys] != part[x]]
+            if len(ys):
+                for y in ys[match(values[x], [values[y] for y in ys])]:
+                    if root[y] != root[x]:
+                        root[root == max(root[x], root[y])] = min(root[x], root[y])
+        tied = root != np.arange(len(ids))
+        return pa.table({"a": ids[root[tied]], "b": ids[tied]})
+
+    forest = small.union(large).groupBy("block", "i", "j").applyInArrow(compare, "a long, b long")
+    return components(forest)
 
 
 # --- text shuffled small ----------------------------------------------------------------------------------------------

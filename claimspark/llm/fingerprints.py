@@ -153,26 +153,28 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, batches: int = 2
         new = np.r_[True, (keys[1:] != keys[:-1]) | (other[1:] != other[:-1])] if len(keys) else np.empty(0, bool)
         again = ids != ids[np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))] if len(ids) else new
         ids, keys = ids[again], keys[again]
-        order = np.argsort(ids, kind="stable")
-        ids, keys = ids[order], keys[order]
+        return pa.Table.from_batches([C.runs(C.mix(ids.view(C.U)), ids, n_buckets, keys)])
+
+    def by_document(table: pa.Table) -> pa.Table:
+        _, ids, keys = C.merged(table, other=True)
         cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.empty(0, int)
-        parts = [keys[s:e].tobytes() for s, e in zip(cuts, np.r_[cuts[1:], len(ids)], strict=True)] if len(ids) else []
+        parts = [keys[s:e].tobytes() for s, e in zip(cuts, np.r_[cuts[1:], len(ids)].astype(int), strict=True)]
         return pa.table({"id": pa.array(ids[cuts], pa.int64()), "part": pa.array(parts, pa.binary())})
 
     candidates = packed.join(shared.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "z", "keys").mapInArrow(windows, C.RUNS_OTHER)
-    cut = candidates.groupBy("bucket").applyInArrow(repeated, "id long, part binary").groupBy("id").agg(F.collect_list("part").alias("parts"))
-    marks = C.saved(cut.withColumn("copy", F.lit(False)).union(copies.select("id", F.array().cast("array<binary>"), F.lit(True))))
+    cut = candidates.groupBy("bucket").applyInArrow(repeated, C.RUNS_OTHER).groupBy("bucket").applyInArrow(by_document, "id long, part binary")
+    marks = C.saved(cut.withColumn("copy", F.lit(False)).union(copies.select("id", F.lit(None).cast("binary"), F.lit(True))))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, digest, text = [], [], [], []
-            for z, parts, copy in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for z, part, copy in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 words = words_of(C.unsqueezed(z))
                 n_words.append(len(words))
                 if copy and len(words) >= window:
                     words = []
-                elif parts:
-                    at = np.isin(C.shingle_hashes(C.word_hashes(words), window), np.frombuffer(b"".join(parts), C.U))
+                elif part:
+                    at = np.isin(C.shingle_hashes(C.word_hashes(words), window), np.frombuffer(part, C.U))
                     if at.any():
                         edge = np.zeros(len(words) + 1, np.int64)
                         edge[np.flatnonzero(at)] += 1
@@ -184,4 +186,4 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, batches: int = 2
                 text.append(raw.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest), pa.array(text, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return packed.join(marks.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "z", "parts", "copy").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return packed.join(marks.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "z", "part", "copy").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
