@@ -1 +1,191 @@
-"""To come."""
+"""Queries that match text to claims. Claims are benchmark items and posts are documents, as FIXTURES.md binds them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from claimspark.functions import quantities as Q
+from claimspark.functions import text as T
+from claimspark.operators import matching as M
+from claimspark.operators.tables import saved
+
+from .registry import query
+from .texts import CONCEPTS, FIRST, NORM, TERM, UNLESS, WORDS, _tag_sql, sample
+
+CLAIM_TERMS = f"""c0 AS (SELECT item_id, {WORDS.format('text')} AS ws FROM benchmark), c1 AS (SELECT item_id, ws, list_filter(ws, lambda w: {TERM}) AS ok FROM c0),
+c2 AS (SELECT item_id, list_slice({FIRST.format('ok')}, 1, 12) AS terms, list_filter(list_transform(range(1, len(ws)), lambda i: CASE WHEN list_contains(ok, ws[i]) AND list_contains(ok, ws[i + 1]) THEN ws[i] || ' ' || ws[i + 1] END), lambda p: p IS NOT NULL) AS ps FROM c1),
+terms AS (SELECT item_id AS claim_id, unnest(list_slice({FIRST.format('ps')}, 1, 6)) AS term, 'phrase' AS kind, 3 AS points FROM c2 UNION ALL SELECT item_id, unnest(list_filter(terms, lambda w: length(w) >= 9)), 'strong', 2 FROM c2
+ UNION ALL SELECT item_id, unnest(list_slice(list_filter(terms, lambda w: length(w) < 9), 1, 6)), 'weak', 1 FROM c2)"""
+SCORES = f"""{CLAIM_TERMS}, d0 AS (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents), held AS (SELECT DISTINCT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM d0),
+scores AS (SELECT claim_id, doc_id AS post_id, CAST(sum(points) AS BIGINT) AS score, CAST(count(*) FILTER (kind <> 'weak') + CASE WHEN count(*) FILTER (length(term) >= 7 AND term NOT IN ({', '.join(f"'{w}'" for w in M.SOFT)})) >= 2 THEN 1 ELSE 0 END AS BIGINT) AS solid, count(*) AS hits
+ FROM held JOIN terms USING (term) GROUP BY 1, 2)"""
+
+
+def claims(t):
+    return t("benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("title"))
+
+
+def posts(t):
+    return t("documents").select(F.col("doc_id").alias("post_id"), "text")
+
+
+def scores(t):
+    return M.scores(claims(t), posts(t))
+
+
+@query(f"WITH {SCORES} SELECT claim_id, post_id, score, solid, hits FROM scores")
+def lexical_match(t):
+    return scores(t).select("claim_id", "post_id", F.col("score").cast("long").alias("score"), F.col("solid").cast("long").alias("solid"), "hits")
+
+
+def tag_sets(t):
+    a = claims(t).select("claim_id", T.tags(F.col("title"), CONCEPTS, UNLESS).alias("claim_tags"))
+    b = posts(t).select("post_id", T.tags(F.col("text"), CONCEPTS, UNLESS).alias("post_tags"))
+    return a, b
+
+
+@query(f"""WITH {SCORES}, a AS (SELECT item_id AS claim_id, {_tag_sql('n')} AS x FROM (SELECT item_id, {NORM.format('text')} AS n FROM benchmark)), b AS (SELECT doc_id AS post_id, {_tag_sql('n')} AS y FROM (SELECT doc_id, {NORM.format('text')} AS n FROM documents)),
+m AS (SELECT claim_id, post_id, score >= 2 AND solid >= 1 AS lexical, len(list_intersect(x, y)) >= 2 AS concepts, post_id % 200 <= 30 AS fresh FROM scores JOIN a USING (claim_id) JOIN b USING (post_id))
+SELECT method, count(*) AS n FROM (SELECT CASE WHEN lexical AND concepts THEN 'hybrid' WHEN lexical THEN 'lexical' WHEN concepts AND fresh THEN 'semantic' ELSE 'none' END AS method FROM m) GROUP BY method""")
+def match_method(t):
+    a, b = tag_sets(t)
+    scored = scores(t).join(a, "claim_id").join(b, "post_id")
+    found = M.methods(scored, F.col("post_id") % 200, F.size(F.array_intersect("claim_tags", "post_tags")))
+    return found.groupBy(F.coalesce("method", F.lit("none")).alias("method")).agg(F.count("*").alias("n"))
+
+
+GUARDS = [(r"\b[a-z]+tion\b", r"tion\b"), (r"(?i)\bthe\b", r"(?i)\bthat\b"), (r"(?i)\bque\b", r"(?i)\bde\b"), (r"(?i)\bder\b", r"(?i)\bund\b")]
+
+
+@query(f"""WITH {SCORES}, r(selector, required) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in GUARDS)}) SELECT claim_id, post_id, NOT EXISTS (SELECT 1 FROM r WHERE regexp_matches(title, selector) AND NOT regexp_matches(text, required)) AS passes
+ FROM scores JOIN (SELECT item_id AS claim_id, text AS title FROM benchmark) USING (claim_id) JOIN (SELECT doc_id AS post_id, text FROM documents) USING (post_id) WHERE score >= 4""")
+def facet_guard(t):
+    pairs = scores(t).where("score >= 4").select("claim_id", "post_id").join(claims(t), "claim_id").join(posts(t), "post_id")
+    rules = pairs.sparkSession.createDataFrame(GUARDS, "selector string, required string")
+    return M.guarded(pairs, rules).select("claim_id", "post_id", "passes")
+
+
+@query(f"""SELECT family, doc_id AS post_id FROM (SELECT doc_id, {_tag_sql('n')} AS y, n FROM (SELECT doc_id, {NORM.format('text')} AS n FROM documents)) JOIN (VALUES ('prose', ['article', 'ending'], ['thread', 'number'], 'th[a-z]+'), ('mail', ['mail'], ['ending', 'article'], 'example')) f(family, needs, anyof, core)
+ ON len(list_intersect(y, needs)) = len(needs) AND len(list_intersect(y, anyof)) > 0 AND regexp_matches(n, core)""")
+def family_match(t):
+    """Texts that a family of claims may use: all of its concepts, one more that bears them out, and its core pattern. A
+    family is a literal rule, so each is a projection of the row."""
+    tags, n = T.tags(F.col("text"), CONCEPTS, UNLESS), T.norm(F.col("text"))
+    rules = [("prose", ["article", "ending"], ["thread", "number"], "th[a-z]+"), ("mail", ["mail"], ["ending", "article"], "example")]
+    lits = lambda xs: F.array(*map(F.lit, xs))
+    hits = [F.when((F.size(F.array_except(lits(need), F.col("tags"))) == 0) & F.arrays_overlap(lits(more), F.col("tags")) & F.col("n").rlike(core), name) for name, need, more, core in rules]
+    rows = posts(t).select("post_id", tags.alias("tags"), n.alias("n"))
+    return rows.select("post_id", F.explode(F.array_compact(F.array(*hits))).alias("family")).select("family", "post_id")
+
+
+@query(f"""WITH {CLAIM_TERMS}, d0 AS (SELECT doc_id, {WORDS.format('text')} AS ws, {WORDS.format("string_split(text, chr(10))[1]")} AS hs FROM documents), held AS (SELECT doc_id, term, max(w) AS w FROM (SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS term, 6 AS w FROM d0
+ UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(hs)), lambda i: hs[i] || ' ' || hs[i + 1])), 12 FROM d0) GROUP BY 1, 2) SELECT claim_id, doc_id AS post_id, CAST(sum(w) AS BIGINT) AS score FROM held JOIN terms USING (term) WHERE kind = 'phrase' GROUP BY 1, 2""")
+def subject_score(t):
+    """Curated subjects of two words held by a text, twice the weight where its first line holds them."""
+    subjects = M.claim_terms(claims(t)).where("kind = 'phrase'").select("claim_id", "term")
+    p = posts(t)
+    heads = M.text_terms(p.select("post_id", F.element_at(F.split("text", "\n"), 1).alias("text"))).withColumn("w", F.lit(12))
+    held = M.text_terms(p).withColumn("w", F.lit(6)).union(heads).join(subjects.select("term").distinct(), "term", "left_semi").groupBy("post_id", "term").agg(F.max("w").alias("w"))
+    return held.join(subjects, "term").groupBy("claim_id", "post_id").agg(F.sum("w").alias("score"))
+
+
+@query(f"SELECT item_id, contains(' ' || {NORM.format('d.text')} || ' ', ' ' || {NORM.format('b.text')} || ' ') AS present FROM benchmark b JOIN documents d ON d.doc_id = b.item_id")
+def quote_present(t):
+    """Quotes beside their own page, by key."""
+    joined = claims(t).join(posts(t), F.col("claim_id") == F.col("post_id"))
+    spaced = lambda c: F.concat(F.lit(" "), T.norm(F.col(c)), F.lit(" "))
+    return joined.select(F.col("claim_id").alias("item_id"), F.contains(spaced("text"), spaced("title")).alias("present"))
+
+
+@query(f"""WITH c AS (SELECT item_id, list_slice({FIRST.format('x')}, 1, 12) AS h FROM (SELECT item_id, list_filter({WORDS.format('text')}, lambda w: {TERM}) AS x FROM benchmark)),
+d AS (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS g, list_slice({FIRST.format('x')}, 1, 12) AS e FROM (SELECT doc_id, list_filter({WORDS.format('text')}, lambda w: {TERM}) AS x FROM documents))
+SELECT item_id, CAST(min_by(doc_id, -1000000000 * len(list_intersect(h, e)) + doc_id) AS BIGINT) AS picked, CAST(max(len(list_intersect(h, e))) AS BIGINT) AS overlap FROM c JOIN d ON g = item_id GROUP BY item_id""")
+def best_overlap(t):
+    """The event of each group whose title shares most with the headline, the first of equals."""
+    n = t("benchmark").agg(F.count("*").alias("n"))  # one row
+    events = t("documents").crossJoin(F.broadcast(n)).select("doc_id", (F.col("doc_id") % F.col("n")).alias("item_id"), T.terms(F.col("text")).alias("e"))
+    joined = t("benchmark").select("item_id", T.terms(F.col("text")).alias("h")).join(events, "item_id")
+    overlap = F.size(F.array_intersect("h", "e"))
+    return joined.groupBy("item_id").agg(F.min_by("doc_id", F.struct(-overlap, F.col("doc_id"))).alias("picked"), F.max(overlap).cast("long").alias("overlap"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, list_distinct(list_filter({WORDS.format('text')}, lambda w: length(w) >= 5)) AS tokens FROM documents), l AS (SELECT doc_id, len(tokens) AS n, unnest(tokens) AS token FROM s)
+SELECT * FROM (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n) AS size_a, any_value(b.n) AS size_b FROM l a JOIN l b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY 1, 2) WHERE shared >= 0.86 * least(size_a, size_b) OR shared >= 0.72 * (size_a + size_b - shared)""")
+def near_duplicates(t):
+    tokens = F.filter(T.words(F.col("text")), lambda w: F.length(w) >= 5)
+    return M.near_pairs(t("documents").select(F.col("doc_id").alias("id"), tokens.alias("tokens")))
+
+
+@query(f"WITH {SCORES} SELECT count(DISTINCT post_id) AS relevant, count(DISTINCT post_id) FILTER (score >= 6) AS used, count(DISTINCT claim_id) AS claims_with, (SELECT count(*) FROM benchmark) - count(DISTINCT claim_id) FILTER (score >= 6) AS unmatched FROM scores")
+def candidate_usage(t):
+    """Posts that some claim could use, those used, and claims left without."""
+    total = t("benchmark").agg(F.count("*").alias("total"))
+    used = F.col("score") >= 6
+    found = scores(t).agg(
+        F.count_distinct("post_id").alias("relevant"), F.count_distinct(F.when(used, F.col("post_id"))).alias("used"), F.count_distinct("claim_id").alias("claims_with"), F.count_distinct(F.when(used, F.col("claim_id"))).alias("got")
+    )
+    return found.crossJoin(total).select("relevant", "used", "claims_with", (F.col("total") - F.col("got")).alias("unmatched"))  # one row each
+
+
+SEARCH = ["th", "ing", "tion"]
+
+
+@query(f"""SELECT kind, id, row_number() OVER (ORDER BY first DESC, kind, id) AS place FROM (SELECT kind, id, starts_with(lower(text), '{SEARCH[0]}') AS first FROM (SELECT 'benchmark' AS kind, item_id AS id, text FROM benchmark UNION ALL SELECT 'document', doc_id, text FROM documents UNION ALL SELECT 'turn', conv_id * 100 + turn, text FROM conversations)
+ WHERE {' AND '.join(f"contains(lower(text), '{w}')" for w in SEARCH)} ORDER BY 3 DESC, 1, 2 LIMIT 10)""")
+def search_all_terms(t):
+    """The ten first rows of three kinds that hold every word, those that begin with the first word before the others."""
+    kind = lambda name, df, key: df.select(F.lit(name).alias("kind"), key.alias("id"), F.lower("text").alias("text"))
+    every = kind("benchmark", t("benchmark"), F.col("item_id")).unionByName(kind("document", t("documents"), F.col("doc_id"))).unionByName(kind("turn", t("conversations"), F.col("conv_id") * 100 + F.col("turn")))
+    for w in SEARCH:
+        every = every.where(F.contains("text", F.lit(w)))
+    order = (F.startswith("text", F.lit(SEARCH[0])).desc(), F.col("kind"), F.col("id"))
+    ten = every.orderBy(*order).limit(10)
+    return ten.select("kind", "id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))  # over ten rows
+
+
+@query("""SELECT user_id, count(*) FILTER (value < 20) AS low, count(*) FILTER (event_type = 'error') AS errors, (SELECT string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) FROM (SELECT event_id FROM events e WHERE e.user_id = o.user_id AND value < 20 ORDER BY event_id LIMIT 10)) AS samples FROM events o GROUP BY user_id""")
+def reject_samples(t):
+    """Rejections counted in full, with the first ten of each as samples."""
+    events = t("events")
+    ranked = events.where("value < 20").withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("rn <= 10")
+    samples = ranked.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",").alias("samples"))
+    counts = events.groupBy("user_id").agg(F.count_if(F.col("value") < 20).alias("low"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    return counts.join(samples, "user_id", "left")
+
+
+@query()
+def bound_quantity(t):
+    g = t("documents").select("doc_id", T.guard_norm(sample()).alias("g"))
+    return g.select("doc_id", Q.bound_quantity(F.col("g"), "jobs|workers|units", 1e6).alias("bound"))
+
+
+@query()
+def attribution_tags(t):
+    lead = F.when(F.col("doc_id") % 3 == 0, "AI does 60% of all work. ").when(F.col("doc_id") % 3 == 1, "70% of jobs are done by people not by AI. ").otherwise("")
+    g = t("documents").select("doc_id", T.guard_norm(F.concat(lead, "text")).alias("g"))
+    return g.select("doc_id", F.array_join(Q.attribution_tags(F.col("g")), ",").alias("tags"))
+
+
+def candidates(t):
+    """(claim_id, rank, family, post_id, place): each claim's posts in order of their score."""
+    scored = scores(t).where("score >= 3")
+    place = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("score"), F.desc("hits"), "post_id"))
+    return scored.select("claim_id", F.col("claim_id").alias("rank"), (F.col("claim_id") % 5).alias("family"), "post_id", place.alias("place"))
+
+
+@query()
+def max_matching(t):
+    return M.maximum_matching(candidates(t), saved)
+
+
+@query()
+def family_reuse(t):
+    return M.family_choice(candidates(t), saved)
+
+
+@query()
+def top1_without_replacement(t):
+    """Claims in order take their best post that none before has; one without any is told as such."""
+    chosen = M.rounds_of_choice(candidates(t).select("claim_id", "rank", "post_id", "place"), saved)
+    return claims(t).select("claim_id").join(chosen, "claim_id", "left").select("claim_id", "post_id", F.col("post_id").isNull().alias("placeholder"))

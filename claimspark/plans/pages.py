@@ -107,14 +107,11 @@ def extract_articles(t):
     return A.articles(t("pages"))
 
 
-DATED = "CASE doc_id % 4 WHEN 0 THEN 'Posted 2024-03-0' || (1 + doc_id % 9) || '. ' WHEN 1 THEN 'On 5 May 2023, ' WHEN 2 THEN 'March 7, 2022 and 2022-03-08 ' ELSE '' END || left(text, 300)"
-
-
-@query(f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '2024-03-0' || (1 + doc_id % 9) WHEN 1 THEN '2023-05-05' END AS published FROM documents")  # noqa: F541
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '2024-03-0' || (1 + doc_id % 9) WHEN 1 THEN '2023-05-05' END AS published FROM documents")
 def rendered_date(t):
     k = F.col("doc_id") % 4
     lead = F.when(k == 0, F.concat(F.lit("Posted 2024-03-0"), (1 + F.col("doc_id") % 9).cast("string"), F.lit(". "))).when(k == 1, "On 5 May 2023, ").when(k == 2, "March 7, 2022 and 2022-03-08 ").otherwise("")
-    return t("documents").select("doc_id", F.date_format(H.rendered_date(F.concat(lead, F.left("text", F.lit(300)))), "yyyy-MM-dd").alias("published"))
+    return t("documents").select("doc_id", F.date_format(H.rendered_date(F.concat(lead, "text")), "yyyy-MM-dd").alias("published"))
 
 
 @query(f"SELECT page_id, (length(html) < 5000 AND length(main) < 500) OR (page_id % 6 = 0 AND length(html) + 21 < 20000) AS challenged FROM {MAIN}")
