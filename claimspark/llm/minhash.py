@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: A band is ROWS values of the signature, of 2 * PERMUTATIONS values. At a similarity of 0.8 two sets miss all bands
-#: with a chance of (1 - 0.8 ** 4) ** 24, three in a million.
-PERMUTATIONS, ROWS = 48, 4
+#: with a chance of (1 - 0.8 ** 8) ** 48, one in seven thousand, at 0.85 of one in four million.
+PERMUTATIONS, ROWS = 192, 8
 BANDS = 2 * PERMUTATIONS // ROWS
-_A = C.mix(np.arange(1, PERMUTATIONS + 1, dtype=C.U) * C.U(0x9E3779B97F4A7C15)) | C.U(1)
-_B = C.mix(np.arange(1, PERMUTATIONS + 1, dtype=C.U) * C.U(0xC2B2AE3D27D4EB4F))
+_A = (C.mix(np.arange(1, PERMUTATIONS + 1, dtype=C.U) * C.U(0x9E3779B97F4A7C15)) >> C.U(32)).astype(np.uint32) | np.uint32(1)
+_B = (C.mix(np.arange(1, PERMUTATIONS + 1, dtype=C.U) * C.U(0xC2B2AE3D27D4EB4F)) >> C.U(32)).astype(np.uint32)
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -30,10 +30,17 @@ def shingles(text: str | None, k: int) -> np.ndarray:
 
 def signature(values: np.ndarray) -> np.ndarray:
     """Minimum and maximum of each permutation, as PERMUTATIONS pairs; values: at least one."""
-    seen = values[None, :] * _A[:, None] + _B[:, None]
-    seen ^= seen >> C.U(32)
-    seen *= C.U(0xD6E8FEB86659FD93)
-    return np.stack([seen.min(1), seen.max(1)], 1)
+    short = (values >> C.U(32)).astype(np.uint32)
+    low, high = np.empty(PERMUTATIONS, np.uint32), np.empty(PERMUTATIONS, np.uint32)
+    step = max(1, min(PERMUTATIONS, 65536 // len(short)))
+    for i in range(0, PERMUTATIONS, step):
+        seen = short[None, :] * _A[i : i + step, None]
+        seen += _B[i : i + step, None]
+        seen ^= seen >> np.uint32(15)
+        seen *= np.uint32(0x2C1B3C6D)
+        seen.min(1, out=low[i : i + step])
+        seen.max(1, out=high[i : i + step])
+    return np.stack([low, high], 1).astype(C.U)
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
@@ -75,11 +82,11 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     null doc_id gives a row with null component_id, kept, linked with nothing. An empty table gives none.
 
     Equal sets meet by fingerprint first, so thousands of copies cost one candidate; the rest meet by band, in sorted
-    runs of packed keys, and are confirmed against the full sets."""
+    runs of packed keys, and all that share one are confirmed against the full sets."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = C.saved(sketches(docs, k))
-    one = every.where("doc_id is not null").groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "s1", "s2", "bands"), F.struct("n_shingles", "s1")).alias("x")).select("doc_id", "x.*")
+    one = every.where("doc_id is not null").groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "s1", "s2", "bands"), F.struct("n_shingles", "s1", "s2")).alias("x")).select("doc_id", "x.*")
     copies = one.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     n = every.count()
     n_buckets = C.buckets(spark, n * BANDS)
@@ -90,28 +97,25 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
                 keys = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=C.U)
                 yield C.runs(keys, np.repeat(b.column(0).to_numpy().astype(np.int64), BANDS), n_buckets)
 
-    members = C.saved(C.shared_keys(copies.select("rep", "bands").mapInArrow(pack, C.RUNS)))
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
+    wanted = C.clusters(C.shared_keys(copies.select("rep", "bands").mapInArrow(pack, C.RUNS))).withColumnRenamed("id", "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = [shingles(C.unsqueezed(z), k).tobytes() for z in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.binary())], names=["id", "value"])
-
-    held = C.saved(C.squeezed(docs.where("doc_id is not null")).join(wanted, "doc_id").select("doc_id", "z").mapInArrow(sets, "id long, value binary"))
-    held = held if one.count() == n else held.groupBy("id").agg(F.max_by("value", F.length("value")).alias("value"))
-    # a slice holds about 32 MB of sets: 4000 documents of a thousand shingles
-    n_slices = max(C.shuffle_partitions(spark), -(-n // 4000))
-
-    def similar(x: np.ndarray, y: np.ndarray) -> bool:
-        small, large = (x, y) if len(x) < len(y) else (y, x)
-        if 100 * len(small) < percent * len(large):
-            return False
-        at = np.searchsorted(large, small)
-        both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-        return 100 * both >= percent * (len(x) + len(y) - both)
-
-    comps = C.link_groups(members, lambda pairs: C.verified(pairs, held, n_slices, similar, lambda v: np.frombuffer(v, dtype=C.U)), budget=3 * max(n, 1000))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.binary()), *b.columns[2:]], names=["id", "value", "cluster", "slices"])
+
+    held = C.squeezed(docs.where("doc_id is not null")).join(wanted, "doc_id").select("doc_id", "z", "cluster", "slices").mapInArrow(sets, "id long, value binary, cluster long, slices int")
+    if one.count() < n:
+        held = held.groupBy("id", "cluster", "slices").agg(F.max_by("value", F.struct(F.length("value"), "value")).alias("value"))
+
+    def similar(x: np.ndarray, ys: list[np.ndarray]) -> np.ndarray:
+        n = np.array([len(y) for y in ys])
+        flat = np.concatenate(ys)
+        at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+        both = np.add.reduceat(x[at] == flat, np.r_[0, np.cumsum(n)[:-1]], dtype=np.int64)
+        return 100 * both >= percent * (len(x) + n - both)
+
+    comps = C.linked(C.saved(held), lambda v: np.frombuffer(v, dtype=C.U), band_keys, similar)
     of = one.join(copies.select("n_shingles", "s1", "s2", "rep"), ["n_shingles", "s1", "s2"], "left")
     found = of.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     found = found.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
