@@ -62,5 +62,62 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_simhash_line_dedup, op2_crf_secret_scan, op3_host_suffix_array_html, op4_noisy_channel_toxicity, op5_path_template_urls, op6_minmax_near_dedup, op7_line_frequency_rules, op8_suffix_array_sentencepiece, op9_fingerprint_index, op10_pigeonhole_decontamination)}
 
 
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP6 = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS x FROM w),
+l AS (SELECT doc_id, len(x) AS n, unnest(x) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM l a JOIN l b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id, doc_id AS root FROM s UNION SELECT p.b, r.root FROM r JOIN p ON r.doc_id = p.a)
+SELECT s.doc_id, CAST(len(x) AS BIGINT) AS n_shingles, min(root) AS component_id, s.doc_id = min(root) AS kept FROM s JOIN r ON s.doc_id = r.doc_id GROUP BY s.doc_id, x"""
+
+_OP9 = f"""WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i:i + 12], ' '))) AS g FROM w WHERE len(ws) >= 13),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM win) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM hit, (SELECT unnest(range(0, 13)) AS k)),
+word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+kept AS (SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.i) AS text, count(*) AS n FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.i = gone.i WHERE gone.i IS NULL GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id"""
+
+_OP7 = f"""WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS g FROM w WHERE len(ws) >= 9),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 8)) AS k) GROUP BY 1),
+line AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM w),
+worded AS (SELECT doc_id, source, line, len({_WORDS.format('line')}) AS size FROM line WHERE len({_WORDS.format('line')}) > 0),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY 1),
+normal AS (SELECT doc_id, source, size, array_to_string({_WORDS.format(f"regexp_replace({_LOWER.format('line')}, '[0-9]+', '0', 'g')")}, ' ') AS line FROM worded),
+common AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT doc_id) AS n FROM normal GROUP BY 1, 2) JOIN (SELECT source, count(DISTINCT doc_id) AS docs FROM documents GROUP BY 1) USING (source) WHERE n > {rules.LEAST_DOCUMENTS} AND n * {rules.HOST_SHARE} > docs),
+gone AS (SELECT doc_id, sum(size) AS n FROM normal JOIN common USING (source, line) GROUP BY 1),
+m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_line_words
+ FROM w LEFT JOIN dup ON w.doc_id = dup.doc_id LEFT JOIN rep ON w.doc_id = rep.doc_id LEFT JOIN gone ON w.doc_id = gone.doc_id)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * (n_words - n_line_words) < {rules.LEFT_PERCENT} * n_words) AS kept FROM m"""
+
+
+def _op5() -> str:
+    fits = [(h + p, v, f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')") for h, p, v in sorted(urls.RULES, key=lambda r: -len(r[0] + r[1]))]
+    case = lambda i: "CASE " + " ".join(f"WHEN {f[2]} THEN '{f[i]}'" for f in fits) + " END"
+    kind = "CASE WHEN regexp_matches(s, '^[0-9]+([.][a-z]+)?$') OR regexp_matches(s, '^[0-9a-f-]{8,}$') OR regexp_matches(s, '[0-9].*[a-zA-Z_-].*[0-9]') THEN '*' ELSE lower(s) END"
+    out = [
+        f"""p AS (SELECT page_id, {_LOWER.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")} AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, coalesce(url, '') AS url FROM pages))""",
+        f"""r AS (SELECT *, {case(0)} AS rule, {case(1)} AS by_rule, array_to_string(list_transform(list_filter(string_split(path, '/'), lambda s: s <> '')[1:{urls.DEPTH}], lambda s: {kind}), '/') AS shape FROM p)""",
+        "t0 AS (SELECT host, shape, count(*) AS n, count(*) FILTER (by_rule = 'block') AS b, count(by_rule) AS l, '' AS template FROM r GROUP BY 1, 2)",
+    ]
+    for i in range(urls.DEPTH):
+        out += [
+            f"s{i} AS (SELECT *, coalesce(string_split(shape, '/')[{i + 1}], '') AS segment FROM t{i})",
+            f"c{i} AS (SELECT host, template, segment, sum(n) AS n, sum(b) AS b, sum(l) AS l FROM s{i} GROUP BY 1, 2, 3)",
+            f"d{i} AS (SELECT *, sum(n) OVER w AS pn, sum(b) OVER w / greatest(sum(l) OVER w, 1) AS share FROM c{i} WINDOW w AS (PARTITION BY host, template))",
+            f"""b{i} AS (SELECT host, template, segment, CASE WHEN segment = '' OR NOT (n >= {urls.NAMED_SHARE} * pn AND n >= {urls.NAMED_LEAST}) OR segment = '*' THEN CASE WHEN segment = '' THEN '' ELSE '*' END
+ WHEN l > 0 AND abs(b / l - share) <= {urls.ALIKE_Z} * sqrt(greatest(share * (1 - share), 0.01) / l) THEN '~' ELSE segment END AS branch FROM d{i})""",
+            f"t{i + 1} AS (SELECT host, shape, n, b, l, CASE WHEN segment = '' THEN template ELSE template || '/' || branch END AS template FROM s{i} JOIN b{i} USING (host, template, segment))",
+        ]
+    last = f"t{urls.DEPTH}"
+    out.append(f"f AS (SELECT host, template, CAST(sum(b) / (sum(l) + {urls.SMOOTHING}) AS DOUBLE) AS purity FROM {last} GROUP BY 1, 2)")
+    return f"""WITH {", ".join(out)} SELECT page_id, r.host, path, rule, coalesce(by_rule, CASE WHEN purity >= {urls.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM r JOIN {last} USING (host, shape) JOIN f USING (host, template)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of those that SQL can express; the others' tests are in tests/llm."""
+    return {"op5_path_template_urls": _op5(), "op6_minmax_near_dedup": _OP6, "op7_line_frequency_rules": _OP7, "op9_fingerprint_index": _OP9}
