@@ -114,3 +114,18 @@ def tags(c: Column, rules: list[tuple[str, str]], unless: list[tuple[str, str]]
     found = F.array_compact(F.array(*(F.when(t.rlike(p), n) for n, p in rules)))
     gone = F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(t.rlike(p), n) for n, p in unless)))
     return F.array_except(found, gone)
+
+
+def touches(term: Column, topic: Column) -> Column:
+    """Whether any word of a term, or its singular, is in topic, an array of plural_variants()."""
+    return F.exists(F.split(term, " "), lambda w: F.array_contains(topic, w) | F.array_contains(topic, F.regexp_replace(w, "s$", "")))
+
+
+def merged_terms(is_headline: Column, curated: Column, derived: Column, topic: Column) -> Column:
+    """A headline row's curated terms that touch its topic, then the derived ones, once each; other rows' derived terms."""
+    return F.when(is_headline, F.array_distinct(F.concat(F.filter(curated, lambda t: touches(t, topic)), derived))).otherwise(derived)
+
+
+def short_publisher(c: Column) -> Column:
+    """What stands before ` | `."""
+    return F.element_at(F.split(c, r" \| "), 1)

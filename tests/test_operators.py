@@ -179,3 +179,14 @@ def test_page_stream(spark, tmp_path):
     spark.createDataFrame([(1, "https://b.example.com/p", PAGE)], "page_id long, url string, html string").write.parquet(str(tmp_path / "in"))
     extract_new(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_merged_terms(spark):
+    rows = spark.createDataFrame([(1, True), (2, False)], "i int, head boolean")
+    topic = text.plural_variants(F.lit("robots at work"))
+    got = rows.orderBy("i").select(text.merged_terms(F.col("head"), F.array(F.lit("robot arms"), F.lit("banks"), F.lit("jobs")), F.array(F.lit("jobs"), F.lit("work")), topic)).collect()
+    assert [r[0] for r in got] == [["robot arms", "jobs", "work"], ["jobs", "work"]]
+
+
+def test_short_publisher(spark):
+    assert column(spark, ["Daily | News", "Plain", None], text.short_publisher) == ["Daily", "Plain", None]
