@@ -174,10 +174,10 @@ def clusters(stars: DataFrame) -> DataFrame:
     return saved(found.join(sizes, "component").select("id", F.col("component").alias("cluster"), "slices"))
 
 
-def linked(held: DataFrame, decode: Callable[[bytes], object], keys_of: Callable[[object], np.ndarray], match: Callable[[object, list], np.ndarray]) -> DataFrame:
+def linked(held: DataFrame, decode: Callable[[bytes], object], keys_of: Callable[[list], list[np.ndarray]], match: Callable[[object, list], np.ndarray]) -> DataFrame:
     """(id, component) of ids that match, for all ids of held (id, cluster, slices, value) that match any other.
 
-    Two ids are compared if they share a key of keys_of(value); match(x, ys) says which ys x is linked with. Small
+    Two ids are compared if they share a key of keys_of(values); match(x, ys) says which ys x is linked with. Small
     clusters share tasks; a cluster of more than BLOCK_IDS is dealt in slices, and each pair of slices is a task. A task
     compares only what it hasn't connected yet and returns a spanning forest, so neither pairs nor groups leave it."""
     spark = held.sparkSession
@@ -195,7 +195,7 @@ def linked(held: DataFrame, decode: Callable[[bytes], object], keys_of: Callable
         raw = table.column("value")
         values = [decode(raw[int(k)].as_py()) for k in order]
         across = bool(len(ids)) and table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        keys = [keys_of(v) for v in values]
+        keys = keys_of(values)
         owner = np.repeat(np.arange(len(ids)), [len(k) for k in keys])
         flat = np.concatenate([np.empty(0, U), *keys])
         by = np.lexsort((owner, flat))

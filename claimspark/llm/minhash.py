@@ -115,7 +115,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         both = np.add.reduceat(x[at] == flat, np.r_[0, np.cumsum(n)[:-1]], dtype=np.int64)
         return 100 * both >= percent * (len(x) + n - both)
 
-    comps = C.linked(C.saved(held), lambda v: np.frombuffer(v, dtype=C.U), band_keys, similar)
+    comps = C.linked(C.saved(held), lambda v: np.frombuffer(v, dtype=C.U), lambda values: [band_keys(v) for v in values], similar)
     of = one.join(copies.select("n_shingles", "s1", "s2", "rep"), ["n_shingles", "s1", "s2"], "left")
     found = of.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     found = found.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
