@@ -24,6 +24,13 @@ def scratch(spark: SparkSession) -> str:
     return root
 
 
+def in_small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Has Python tasks of this session take at most so many rows at a time: texts may be long, and workers keep the
+    memory that they once needed."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, min(rows, int(spark.conf.get(name, "10000"))))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts the lineage and outlives executors."""
     path = f"{scratch(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -100,6 +100,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     is reported as null. Empty tables give no rows. Documents are read once for each BLOCK of items; nothing of them is
     shuffled but the matches."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    C.in_small_batches(documents.sparkSession)
     found = None
     for block in _blocks(benchmark):
         sent = documents.sparkSession.sparkContext.broadcast((hash(tuple(block)), block))
@@ -126,6 +127,7 @@ def _holds_item(sent):
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents whose text holds no item, with all their columns; no shuffle."""
+    C.in_small_batches(documents.sparkSession)
     for block in _blocks(benchmark):
         sent = documents.sparkSession.sparkContext.broadcast((hash(tuple(block)), block))
         documents = documents.where(~_holds_item(sent)(F.col("text").cast("string")))

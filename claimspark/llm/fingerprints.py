@@ -115,6 +115,7 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, batches: int = 2
     Verification compares whole windows by two independent hashes, 128 bits together. A document whose words all equal an
     earlier one's is settled by the keys of the whole sequence; its windows never travel."""
     spark = documents.sparkSession
+    C.in_small_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.length("text")).alias("chars"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     chars, low, high = size["chars"] or 0, size["low"] or 0, size["high"] or 0

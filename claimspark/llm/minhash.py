@@ -84,6 +84,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     Equal sets meet by fingerprint first, so thousands of copies cost one candidate; the rest meet by band, in sorted
     runs of packed keys, and all that share one are confirmed against the full sets."""
     spark = documents.sparkSession
+    C.in_small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = C.saved(sketches(docs, k))
     one = every.where("doc_id is not null").groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "s1", "s2", "bands"), F.struct("n_shingles", "s1", "s2")).alias("x")).select("doc_id", "x.*")

@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common as C
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of text that are indexed at a time, and chunks whose ids a task remembers.
-BATCH_CHARS, REMEMBERED = 4_000_000, 400_000
+BATCH_CHARS, REMEMBERED = 2_000_000, 300_000
 #: Longer chunks are relaxed one by one with a heap, as a round over all of them merges one pair of each.
 LONG = 256
 
@@ -48,7 +50,7 @@ class Vocabulary:
     def __post_init__(self) -> None:
         normal = [i for i, k in enumerate(self.kinds) if k == ord("n")]
         self.single = {self.pieces[i]: i for i in normal if len(self.pieces[i]) == 1}
-        self.ids = np.array([i for i in normal if len(self.pieces[i]) > 1])
+        self.ids = np.array([i for i in normal if len(self.pieces[i]) > 1], dtype=np.int32)
         words = [self.pieces[i] for i in self.ids]
         if any(SPACE in w.lstrip(SPACE) for w in words):
             raise ValueError("a piece holds a space after a letter: texts cannot be cut at spaces")
@@ -56,7 +58,7 @@ class Vocabulary:
         self.codes = np.zeros((len(words), self.most), np.uint32)
         for i, w in enumerate(words):
             self.codes[i, : len(w)] = np.frombuffer(w.encode("utf-32-le"), np.uint32)
-        self.lengths = np.array([len(w) for w in words])
+        self.lengths = np.array([len(w) for w in words], dtype=np.int32)
         # no piece reaches over a character that is in none, so each such character is a chunk
         inner = "".join(re.escape(c) for c in sorted({c for w in words for c in w} - {SPACE}))
         self.chunk = re.compile(f"{SPACE}*[{inner}]+|{SPACE}+|.", re.S)
@@ -109,9 +111,11 @@ class Vocabulary:
                     low_live = a
             low[live], high[live] = low_live, high_live
         n = np.maximum(high - low, 0)
-        which = np.repeat(np.arange(len(n)), n)
+        which = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        kind = np.int32 if len(codes) * (self.most + 1) < 2**31 else np.int64
+        order = order.astype(kind)
         at = order[np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-        keys = at * (self.most + 1) + self.lengths[which]
+        keys = at * kind(self.most + 1) + self.lengths[which]
         by = np.argsort(keys)
         return keys[by], self.ids[which[by]]
 
@@ -122,7 +126,7 @@ class Vocabulary:
         def scores(start: np.ndarray, end: np.ndarray) -> np.ndarray:
             out = np.full(len(start), -np.inf)
             fits = end - start <= self.most
-            key = start[fits] * (self.most + 1) + (end - start)[fits]
+            key = (start[fits] * (self.most + 1) + (end - start)[fits]).astype(keys.dtype)
             i = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
             if len(keys):
                 out[fits] = np.where(keys[i] == key, self.scores[ids[i]], -np.inf)
@@ -205,7 +209,7 @@ class Vocabulary:
         keys, ids = self.edges(codes)
         at, length = self.relax(codes, starts, keys, ids)
         known = {}
-        found = ids[np.minimum(np.searchsorted(keys, at * (self.most + 1) + length), max(len(keys) - 1, 0))] if len(keys) else np.zeros(len(at), np.int64)
+        found = ids[np.minimum(np.searchsorted(keys, (at * (self.most + 1) + length).astype(keys.dtype)), max(len(keys) - 1, 0))] if len(keys) else np.zeros(len(at), np.int64)
         singles = {}
         values = np.unique(codes)
         for v in values.tolist():
@@ -267,14 +271,14 @@ def encode(documents: DataFrame, path: str = MODEL) -> DataFrame:
     round_trip says that decoding gives the text back, which it does unless the text holds U+2581 or a lone surrogate. A
     null text gives null ids, 0 pieces and a null round_trip; an empty one no ids. Repeated rows and null doc_ids are
     rows like others; an empty table gives none. Nothing is shuffled; a task holds BATCH_CHARS characters at a time."""
+    C.in_small_batches(documents.sparkSession)
     sent = _given(documents.sparkSession, path)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = sent.value
         for b in batches:
-            texts = b.column(1).to_pylist()
             for start in range(0, b.num_rows, 1000):
-                part = texts[start : start + 1000]
+                part = b.column(1).slice(start, 1000).to_pylist()
                 raw = v.encode(part)
                 ids = [None if r is None else np.frombuffer(r, np.int32) for r in raw]
                 same = [None if t is None else v.decode(i.tolist()) == t for t, i in zip(part, ids, strict=True)]

@@ -77,6 +77,7 @@ def quality(documents: DataFrame) -> DataFrame:
     judged by itself; null doc_ids count as one document. An empty table gives none.
 
     Texts are read once and never shuffled: lines travel as hashes, each once a document."""
+    C.in_small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.col("text").cast("string").alias("text"))
     every = C.saved(measures(docs).withColumn("row", F.monotonically_increasing_id()))
     lines = every.select("row", "doc_id", "host", F.explode(F.arrays_zip("hashes", "sizes")).alias("x")).select("row", "doc_id", "host", F.col("x.hashes").alias("hash"), F.col("x.sizes").alias("size"))

@@ -132,7 +132,7 @@ class Restorer:
                         now[x, y] = (s, text + letters)
             best = now
         out = min((total + self.cost[a][b][space], text) for (a, b), (total, text) in best.items())[1]
-        if len(self.known) > 200_000:
+        if len(self.known) > 50_000:
             self.known.clear()
         self.known[token] = out
         return out
@@ -182,7 +182,7 @@ class Model:
         for word in self.restorer.words(text):
             hit = self.hits.get(word)
             if hit is None:
-                if len(self.hits) > 500_000:
+                if len(self.hits) > 200_000:
                     self.hits.clear()
                 hit = self.hits[word] = tuple(f for f in word_features(word) if f in self.weights)
             if hit:
@@ -197,6 +197,7 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     Rows of labels (doc_id, toxic) with crc32(doc_id) mod 5 = 0 are held out. At most train_rows documents of each label
     are read for it, those of smallest doc_id hash; their distinct restored words come to the driver, where features
     that stand out in toxic documents are picked and weighted. Without any usable label every score is the bias's."""
+    C.in_small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     restorer = Restorer(trigrams(docs))
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
