@@ -65,7 +65,7 @@ def test_repeated_runs_against_brute_force():
 
 
 def test_boilerplate_of_a_host(spark, words, monkeypatch):
-    monkeypatch.setattr(html, "CHUNK_PAGES", 16)
+    monkeypatch.setattr(html, "CHUNK_PAGES", 24)
     note = " ".join(words(12, 1))
     rows = [(i, f"https://a.example.com/{i}", f"<article><p>{' '.join(words(20, i + 9))}</p><p>{note}</p><p>{i} end</p></article>") for i in range(40)]
     rows += [(100 + i, "http://b.example.com/", f"<p>{note}</p><p>own {i}</p>") for i in range(4)]
