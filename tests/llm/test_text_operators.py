@@ -63,6 +63,21 @@ def test_pigeonhole_keys():
     assert lines.blocks(10**3) <= lines.blocks(10**7) <= lines.blocks(10**10)
 
 
+def test_lines_meet_at_any_size(docs_of, words):
+    """Lines that differ in one word are all found, whatever bits that moves, and keys don't know how many lines there are."""
+    assert len({lines.blocks(10**k) for k in range(2, 12)}) == 1
+    rng = random.Random(3)
+    rows = []
+    for k in range(240):
+        w = words(5 + k % 20, 3000 + k)
+        at = rng.randrange(len(w))
+        rows += [(k, " ".join(w)), (1000 + k, " ".join(w[:at] + [["changed"], [], [w[at], "more"]][k % 3] + w[at + 1 :]))]
+    alike = {k: lines.alike(a, b) for (k, a), (_, b) in zip(rows[::2], rows[1::2], strict=True)}
+    got = by_id(lines.dedup_lines(docs_of(rows)), "n_removed")
+    assert sum(alike.values()) > 150
+    assert all(got[k] == 0 and got[1000 + k] == alike[k] for k in alike)
+
+
 def test_lines_awkward(awkward, docs_of):
     got = lines.dedup_lines(awkward).collect()
     assert len(got) == 12 and "n_lines" in got[0].asDict() and got[0]["key"] == 1
