@@ -79,6 +79,17 @@ def test_boilerplate_of_a_host(spark, words, monkeypatch):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_are_no_boilerplate(spark, words):
+    """A host mostly of copies of one article keeps it; a note on its distinct pages goes, from the copies too."""
+    note, article = " ".join(words(12, 1)), " ".join(words(40, 2))
+    page = lambda text: f"<article><p>{text}</p><p>{note}</p></article>"
+    rows = [(i, f"https://a.example.com/{i}", page(article)) for i in range(60)] + [(100 + i, "https://a.example.com/", page(" ".join(words(20, i + 9)))) for i in range(20)]
+    rows += [(200 + i, f"https://b.example.com/{i}", f"<article><p>{article}</p></article>") for i in range(30)]
+    text = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(text[i] == article for i in [*range(60), *range(200, 230)])
+    assert all(text[100 + i] == " ".join(words(20, i + 9)) for i in range(20))
+
+
 def brute_rule(url):
     host = path = ""
     if url and "://" in url:
