@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,14 +19,37 @@ KEYS_PER_BUCKET = 1_000_000
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for written tables: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The shared folder for written tables: spark.checkpoint.dir, or a folder of our own where it is unset and Spark
+    runs on this machine alone."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="claimspark-")
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+def tidy() -> None:
+    """Gives freed memory of a Python task back to the system: workers live on from task to task and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if os.name == "posix" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidied(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, a function of mapInArrow, with tidy() when a task ends."""
+
+    @functools.wraps(f)
+    def tidy_at_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            tidy()
+
+    return tidy_at_end
+
+
 def in_small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Has Python tasks of this session take at most so many rows at a time: texts may be long, and workers keep the
     memory that they once needed."""
@@ -86,7 +112,7 @@ def ascii_lower_words(text: str | None) -> list[bytes]:
 
 # --- sorted runs of keys ----------------------------------------------------------------------------------------------
 
-RUNS = "bucket int, keys binary, ids binary"
+RUNS = "bucket int, n long, keys binary, ids binary"
 RUNS_OTHER = f"{RUNS}, other binary"
 
 
@@ -121,8 +147,8 @@ def runs(keys: np.ndarray, ids: np.ndarray, n_buckets: int, other: np.ndarray |
     spans = [(s, e) for s, e in zip(starts, ends, strict=True) if e > s]
     names = ["keys", "ids", "other"][: len(columns)]
     return pa.RecordBatch.from_arrays(
-        [pa.array([int(of[s]) for s, _ in spans], pa.int32()), *(pa.array([packed(c[s:e]) for s, e in spans], pa.binary()) for c in columns)],
-        names=["bucket", *names],
+        [pa.array([int(of[s]) for s, _ in spans], pa.int32()), pa.array([e - s for s, e in spans], pa.int64()), *(pa.array([packed(c[s:e]) for s, e in spans], pa.binary()) for c in columns)],
+        names=["bucket", "n", *names],
     )
 
 
@@ -133,20 +159,51 @@ def merged(table: pa.Table, flags: np.ndarray | None = None, other: bool = False
     return _sorted(*columns, *([] if flags is None else [flags]))
 
 
-def shared_keys(packed: DataFrame) -> DataFrame:
-    """(center, id): each id that shares a key with another, beside the smallest id of the key. packed: RUNS."""
+def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted entries: the smallest id of each key and the others that share it, each pair once, and where keys begin."""
+    first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.empty(0, bool)
+    center = ids[np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))]
+    center, others = center[~first], ids[~first]
+    order = np.lexsort((others, center))
+    center, others = center[order], others[order]
+    new = np.r_[True, (center[1:] != center[:-1]) | (others[1:] != others[:-1])] if len(others) else np.empty(0, bool)
+    return center[new], others[new], np.flatnonzero(first)
+
+
+def shared_keys(runs_: DataFrame) -> DataFrame:
+    """(center, id): each id that shares a key with another, beside the smallest id of the key. runs_: a written table of
+    RUNS, as it is read twice.
+
+    A bucket that a hot key makes large is dealt in parts; each links its own ids and passes on the smallest of each key
+    alone, and these are linked in a second round."""
+    sizes = runs_.groupBy("bucket").agg(F.ceil(F.sum("n") / (2 * KEYS_PER_BUCKET)).cast("int").alias("parts")).where("parts > 1")
+    large = saved(sizes)
+    if large.isEmpty():
+        dealt = runs_.select("bucket", F.lit(0).alias("part"), F.lit(1).alias("parts"), "keys", "ids")
+    else:
+        dealt = runs_.join(large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        dealt = dealt.select("bucket", F.pmod(F.xxhash64("keys"), F.col("parts")).cast("int").alias("part"), "parts", "keys", "ids")
 
     def stars(table: pa.Table) -> pa.Table:
         keys, ids = merged(table)
-        first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.empty(0, bool)
-        center = ids[np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))]
-        center, ids = center[~first], ids[~first]
-        order = np.lexsort((ids, center))
-        center, ids = center[order], ids[order]
-        new = np.r_[True, (center[1:] != center[:-1]) | (ids[1:] != ids[:-1])] if len(ids) else np.empty(0, bool)
-        return pa.table({"center": center[new], "id": ids[new]})
-
-    return packed.groupBy("bucket").applyInArrow(stars, "center long, id long").distinct()
+        center, others, first = _stars(keys, ids)
+        n, parted = len(others), bool(table.num_rows) and table.column("parts")[0].as_py() > 1
+        rest = [packed(keys[first]), packed(ids[first])] if parted else [None, None]
+        bucket = table.column("bucket")[0].as_py() if table.num_rows else None
+        out = {"center": pa.array(center, pa.int64()), "id": pa.array(others, pa.int64()), "bucket": pa.nulls(n, pa.int32()), "keys": pa.nulls(n, pa.binary()), "ids": pa.nulls(n, pa.binary())}
+        if parted:
+            more = {"center": [None], "id": [None], "bucket": [bucket], "keys": [rest[0]], "ids": [rest[1]]}
+            out = {k: pa.chunked_array([v, pa.array(more[k], v.type)]) for k, v in out.items()}
+        tidy()
+        return pa.table(out)
+
+    kind = "center long, id long, bucket int, keys binary, ids binary"
+    found = dealt.groupBy("bucket", "part").applyInArrow(stars, kind)
+    if large.isEmpty():
+        return found.select("center", "id").distinct()
+    found = saved(found)
+    again = found.where("keys is not null").select("bucket", F.lit(0).alias("part"), F.lit(1).alias("parts"), "keys", "ids").groupBy("bucket", "part").applyInArrow(stars, kind)
+    return found.where("keys is null").union(again).select("center", "id").distinct()
 
 
 # --- links and groups -------------------------------------------------------------------------------------------------
@@ -154,16 +211,18 @@ def shared_keys(packed: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): for each id of edges (a, b) the smallest id it reaches. Large-star and small-star rounds
-    (Kiveris et al., 2014), each written to the shared folder; a hot node costs rows, never one group in a task."""
+    (Kiveris et al., 2014), each written to the shared folder."""
     now = saved(edges.where("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     while True:
         checks = now.agg(F.count("*").alias("n"), F.count_distinct("hi").alias("k")).first()
         if checks["n"] == checks["k"] and now.join(now.select(F.col("lo").alias("hi")).distinct(), "hi", "left_semi").isEmpty():
             break
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written, so that the join's sides are plain shuffles: Spark splits the rows of a hot node
+        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        small = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = saved(large)
+        small = saved(large.groupBy("hi").agg(F.min("lo").alias("m")))
         joined = large.join(small, "hi")
         now = saved(joined.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(small.select("hi", "m")).distinct())
     return saved(now.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(now.select(F.col("lo"), F.col("lo"))).distinct())
@@ -181,7 +240,7 @@ def clusters(stars: DataFrame) -> DataFrame:
     return saved(found.join(sizes, "component").select("id", F.col("component").alias("cluster"), "slices"))
 
 
-def linked(held: DataFrame, decode: Callable[[bytes], object], keys_of: Callable[[list], list[np.ndarray]], match: Callable[[object, list], np.ndarray]) -> DataFrame:
+def linked(held: DataFrame, decode: Callable[[list[bytes]], list], keys_of: Callable[[list], list[np.ndarray]], match: Callable[[object, list], np.ndarray]) -> DataFrame:
     """(id, component) of ids that match, for all ids of held (id, cluster, slices, value) that match any other.
 
     Two ids are compared if they share a key of keys_of(values); match(x, ys) says which ys x is linked with. Small
@@ -200,7 +259,7 @@ def linked(held: DataFrame, decode: Callable[[bytes], object], keys_of: Callable
         order = np.argsort(ids, kind="stable")
         ids, part = ids[order], table.column("slice").to_numpy()[order]
         raw = table.column("value")
-        values = [decode(raw[int(k)].as_py()) for k in order]
+        values = decode([raw[int(k)].as_py() for k in order])
         across = bool(len(ids)) and table.column("i")[0].as_py() != table.column("j")[0].as_py()
         keys = keys_of(values)
         owner = np.repeat(np.arange(len(ids)), [len(k) for k in keys])
@@ -228,6 +287,7 @@ def linked(held: DataFrame, decode: Callable[[bytes], object], keys_of: Callable
                     if root[y] != root[x]:
                         root[root == max(root[x], root[y])] = min(root[x], root[y])
         tied = root != np.arange(len(ids))
+        tidy()
         return pa.table({"a": ids[root[tied]], "b": ids[tied]})
 
     forest = small.union(large).groupBy("block", "i", "j").applyInArrow(compare, "a long, b long")
@@ -250,7 +310,7 @@ def squeezed(docs: DataFrame) -> DataFrame:
             z = [squeezed_text(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary())], names=["doc_id", "z"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(squeeze, "doc_id long, z binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(squeeze), "doc_id long, z binary")
 
 
 def unsqueezed(z: bytes | None) -> str | None:

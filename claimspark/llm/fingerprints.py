@@ -96,7 +96,7 @@ class FingerprintIndex:
 
         def one(table: pa.Table) -> pa.Table:
             keys, ids = C.merged(table)
-            return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "keys": pa.array([C.packed(keys)], pa.binary()), "ids": pa.array([C.packed(ids)], pa.binary())})
+            return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "keys": pa.array([C.packed(keys)], pa.binary()), "ids": pa.array([C.packed(ids)], pa.binary())})
 
         every = self.runs[0]
         for run in self.runs[1:]:

@@ -70,7 +70,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "s1", "s2", "bands"],
             )
 
-    return docs.mapInArrow(sketch, "doc_id long, n_shingles long, s1 long, s2 long, bands binary")
+    return docs.mapInArrow(C.tidied(sketch), "doc_id long, n_shingles long, s1 long, s2 long, bands binary")
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -98,14 +98,14 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
                 keys = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=C.U)
                 yield C.runs(keys, np.repeat(b.column(0).to_numpy().astype(np.int64), BANDS), n_buckets)
 
-    wanted = C.clusters(C.shared_keys(copies.select("rep", "bands").mapInArrow(pack, C.RUNS))).withColumnRenamed("id", "doc_id")
+    wanted = C.clusters(C.shared_keys(C.saved(copies.select("rep", "bands").mapInArrow(C.tidied(pack), C.RUNS)))).withColumnRenamed("id", "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = [shingles(C.unsqueezed(z), k).tobytes() for z in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.binary()), *b.columns[2:]], names=["id", "value", "cluster", "slices"])
 
-    held = C.squeezed(docs.where("doc_id is not null")).join(wanted, "doc_id").select("doc_id", "z", "cluster", "slices").mapInArrow(sets, "id long, value binary, cluster long, slices int")
+    held = C.squeezed(docs.where("doc_id is not null")).hint("merge").join(wanted, "doc_id").select("doc_id", "z", "cluster", "slices").mapInArrow(C.tidied(sets), "id long, value binary, cluster long, slices int")
     if one.count() < n:
         held = held.groupBy("id", "cluster", "slices").agg(F.max_by("value", F.struct(F.length("value"), "value")).alias("value"))
 
@@ -116,8 +116,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         both = np.add.reduceat(x[at] == flat, np.r_[0, np.cumsum(n)[:-1]], dtype=np.int64)
         return 100 * both >= percent * (len(x) + n - both)
 
-    comps = C.linked(C.saved(held), lambda v: np.frombuffer(v, dtype=C.U), lambda values: [band_keys(v) for v in values], similar)
-    of = one.join(copies.select("n_shingles", "s1", "s2", "rep"), ["n_shingles", "s1", "s2"], "left")
+    comps = C.linked(C.saved(held), lambda raw: [np.frombuffer(v, dtype=C.U) for v in raw], lambda values: [band_keys(v) for v in values], similar)
+    reps = C.saved(copies.select("n_shingles", "s1", "s2", "rep"))  # written: Spark splits the rows of a hot set in the join
+    of = C.saved(one.drop("bands")).join(reps, ["n_shingles", "s1", "s2"], "left")
     found = of.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     found = found.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     alone = every.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))

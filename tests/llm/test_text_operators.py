@@ -39,11 +39,10 @@ def test_lines_against_brute_force(docs_of, words):
     want = Counter(d for (d, _, _), i, r in zip(every, range(len(every)), root, strict=True) if r != i)
     got = by_id(lines.dedup_lines(docs_of(rows)), "n_lines", "n_removed", "text")
     assert all(got[d][0] == t.count("\n") + 1 for d, t in rows)
-    # one word of 14 moves about seven bits, more than keys are sure to bridge; nothing that brute force keeps may go
-    assert sum(got[d][1] for d, _ in rows) >= 0.6 * sum(want.values())
+    assert sum(got[d][1] for d, _ in rows) >= 0.9 * sum(want.values())
     assert all(got[d][1] <= want[d] for d, _ in rows)
-    # what pigeonhole keys are sure to bring together is complete
-    sims = lines.simhashes([x[2].encode().split() for x in every])
+    # what the SimHash's blocks are sure to bring together is complete
+    sims = lines.simhashes(lines.cut_lines("\n".join(x[2] for x in every).encode()))
     near = [(i, j) for i in range(len(every)) for j in range(i) if bin(int(sims[i] ^ sims[j])).count("1") <= lines.BITS_APART and alike(every[i][2], every[j][2])]
     gone = {(d, i) for d, t in rows for i, x in enumerate(t.split("\n")) if x not in got[d][2].split("\n")}
     assert len(near) > 50 and all(every[i][:2] in gone or every[j][:2] in gone for i, j in near)
@@ -52,20 +51,74 @@ def test_lines_against_brute_force(docs_of, words):
 
 def test_pigeonhole_keys():
     rng = np.random.default_rng(1)
-    h = rng.integers(0, 2**64, 200, dtype=np.uint64)
-    for m in (5, 6, 7):
-        for k in h[:40]:
-            other = int(k)
-            for bit in rng.choice(64, lines.BITS_APART, replace=False):
-                other ^= 1 << int(bit)
-            a, b = lines.block_keys(np.array([k, other], np.uint64), m)
-            assert set(a) & set(b)
-    assert lines.blocks(10**3) <= lines.blocks(10**7) <= lines.blocks(10**10)
-
-
-def test_lines_meet_at_any_size(docs_of, words):
-    """Lines that differ in one word are all found, whatever bits that moves, and keys don't know how many lines there are."""
-    assert len({lines.blocks(10**k) for k in range(2, 12)}) == 1
+    for k in rng.integers(0, 2**64, 60, dtype=np.uint64):
+        other = int(k)
+        for bit in rng.choice(64, lines.BITS_APART, replace=False):
+            other ^= 1 << int(bit)
+        a, b = lines.block_keys(np.array([k, other], np.uint64))
+        assert set(a) & set(b)
+
+
+def test_cut_lines_in_pieces(monkeypatch):
+    """Numbers, words and hashes don't depend on where a text is cut, not even for words of more than a piece."""
+    text = "Ab  c9\n\n---\n" + "long" * 100 + " x\n" + "\n".join(f"w{i} W{i // 2}, ÿ" for i in range(200)) + "\nÀ"
+    whole = lines.cut_lines(text.encode())
+    monkeypatch.setattr(lines, "PIECE", 64)
+    lines._powers.clear()
+    parts = lines.cut_lines(text.encode())
+    lines._powers.clear()
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+    worded = [(i, lines.normalise(x)) for i, x in enumerate(text.split("\n")) if lines.normalise(x)]
+    assert whole.number.tolist() == [i for i, _ in worded] and whole.size.tolist() == [len(x.split()) for _, x in worded]
+    assert len(set(whole.key.tolist())) == len({x for _, x in worded})
+    words = [w for _, x in worded for w in x.split()]
+    assert len(set(zip(words, whole.hashes.tolist(), strict=True))) == len(set(words)) == len(set(whole.hashes.tolist()))
+
+
+def test_keys_of_a_line_alone(words):
+    """A line's keys are the same among any others: whether two lines meet doesn't depend on how many there are."""
+    texts = [" ".join(words(3 + k % 90, 4000 + k)) for k in range(300)]
+    owner, keys = lines.keys_of(lines.cut_lines("\n".join(texts).encode()))
+    for i in range(0, 300, 17):
+        _, alone = lines.keys_of(lines.cut_lines(texts[i].encode()))
+        assert sorted(alone.tolist()) == sorted(keys[owner == i].tolist())
+
+
+@pytest.mark.parametrize("share", [0.03, 0.06, 0.1, 0.14])
+def test_changed_lines_meet(words, share):
+    """Lines of 4 to 120 words with a share of their words changed, of which alike() holds, share a key: nine in ten do."""
+    rng = random.Random(7)
+    met = total = 0
+    for k in range(400):
+        w = words(4 + 3 * (k % 39), 5000 + k)
+        v = list(w)
+        for _ in range(max(1, round(share * len(w)))):
+            v[rng.randrange(len(v))] = words(1, rng.randrange(10**6))[0]
+        a, b = (lines.cut_lines(" ".join(x).encode()) for x in (w, v))
+        if not lines.alike(" ".join(w), " ".join(v)):
+            continue
+        total += 1
+        met += bool(set(lines.keys_of(a)[1].tolist()) & set(lines.keys_of(b)[1].tolist())) and int(lines.simhashes(a)[0] ^ lines.simhashes(b)[0]).bit_count() <= lines.BITS_NEAR
+    assert total > 300 and met >= 0.9 * total
+
+
+def test_hot_keys_are_dealt_in_parts(spark, monkeypatch):
+    """A key that most ids share makes its bucket large: parts link their own ids, and their smallest ones."""
+    monkeypatch.setattr(common, "KEYS_PER_BUCKET", 50)
+    rows = []
+    for part in range(8):
+        ids = np.arange(part, 800, 8)
+        made = common.runs(np.r_[np.full(100, 5, np.uint64), ids.astype(np.uint64) // np.uint64(2) + np.uint64(1000)], np.r_[ids, ids], 2)
+        rows += made.to_pylist()
+    stars = {(r["center"], r["id"]) for r in common.shared_keys(common.saved(spark.createDataFrame(rows, common.RUNS))).collect()}
+    root = list(range(800))
+    for a, b in sorted(stars):
+        root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    assert set(root) == {0} and len(stars) < 3 * 800
+
+
+def test_lines_meet(docs_of, words):
+    """Lines that differ in one word are found, whatever bits that moves."""
     rng = random.Random(3)
     rows = []
     for k in range(240):
@@ -75,7 +128,7 @@ def test_lines_meet_at_any_size(docs_of, words):
     alike = {k: lines.alike(a, b) for (k, a), (_, b) in zip(rows[::2], rows[1::2], strict=True)}
     got = by_id(lines.dedup_lines(docs_of(rows)), "n_removed")
     assert sum(alike.values()) > 150
-    assert all(got[k] == 0 and got[1000 + k] == alike[k] for k in alike)
+    assert all(got[k] == 0 and got[1000 + k] <= alike[k] for k in alike) and sum(got[1000 + k] for k in alike) >= 0.97 * sum(alike.values())
 
 
 def test_lines_awkward(awkward, docs_of):
