@@ -64,6 +64,19 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Holds the other columns of a table while an operator works on doc_id and text.
+ROW = "_row_beside_text"
+
+
+def beside(documents: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of run(doc_id, text) with the columns of documents: text is run's, all others are as they were, whatever
+    names run uses for its own."""
+    columns = documents.columns
+    other = [F.col(f"`{c}`") for c in columns if c not in ("doc_id", "text")]
+    out = run(documents.select("doc_id", "text", *([F.struct(*other).alias(ROW)] if other else [])))
+    return out.select(*(c if c in ("doc_id", "text") else F.col(f"{ROW}.`{c}`").alias(c) for c in columns))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -111,7 +111,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rows = [(doc, key, d) for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True) for key, d in m.find(normalise(text.as_py())).items()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["doc_id", "item_id", "distance"])
 
-        new = docs.mapInArrow(match, "doc_id long, item_id long, distance long")
+        new = docs.mapInArrow(C.tidied(match), "doc_id long, item_id long, distance long")
         found = new if found is None else found.union(new)
     return found.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 

@@ -81,7 +81,7 @@ class FingerprintIndex:
             return pa.table({"key": keys[kept].view(np.int64), "id": ids[kept]})
 
         docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        fresh = C.saved(docs.mapInArrow(pack, C.RUNS))
+        fresh = C.saved(docs.mapInArrow(C.tidied(pack), C.RUNS))
         both = fresh.withColumn("fresh", F.lit(True))
         for run in self.runs:
             both = both.union(run.withColumn("fresh", F.lit(False)))
@@ -162,7 +162,7 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, batches: int = 2
         parts = [keys[s:e].tobytes() for s, e in zip(cuts, np.r_[cuts[1:], len(ids)].astype(int), strict=True)]
         return pa.table({"id": pa.array(ids[cuts], pa.int64()), "part": pa.array(parts, pa.binary())})
 
-    candidates = packed.join(shared.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "z", "keys").mapInArrow(windows, C.RUNS_OTHER)
+    candidates = packed.join(shared.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "z", "keys").mapInArrow(C.tidied(windows), C.RUNS_OTHER)
     cut = candidates.groupBy("bucket").applyInArrow(repeated, C.RUNS_OTHER).groupBy("bucket").applyInArrow(by_document, "id long, part binary")
     marks = C.saved(cut.withColumn("copy", F.lit(False)).union(copies.select("id", F.lit(None).cast("binary"), F.lit(True))))
 
@@ -187,4 +187,4 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, batches: int = 2
                 text.append(raw.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest), pa.array(text, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return packed.join(marks.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "z", "part", "copy").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return packed.join(marks.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "z", "part", "copy").mapInArrow(C.tidied(keep), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

@@ -20,12 +20,56 @@ from . import common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Characters of text that are indexed at a time, and chunks whose ids a task remembers.
-BATCH_CHARS, REMEMBERED = 2_000_000, 300_000
+#: Characters of text that are cut in chunks at a time, those of new chunks that are indexed at a time (an index takes
+#: some 200 bytes a character), and chunks whose ids a task remembers.
+BATCH_CHARS, INDEX_CHARS, REMEMBERED = 1_000_000, 400_000, 250_000
 #: Longer chunks are relaxed one by one with a heap, as a round over all of them merges one pair of each.
 LONG = 256
 
 
+#: fixed values: fields of a model file (protocol buffers): trainer and normaliser messages, their type and name, and the
+#: number that stands for BPE; unigram is the type where none is given
+TRAINER, NORMALISER, MODEL_TYPE, NAME, BPE, UNIGRAM = 2, 3, 3, 1, 2, 1
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = raw[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    while at < len(raw):
+        key = number()
+        size = {0: 0, 1: 8, 5: 4}.get(key & 7)
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            size = number() if size is None else size
+            yield key >> 3, raw[at : at + size]
+            at += size
+
+
+def model_kind(path: str) -> tuple[int, str]:
+    """Type of a model and the name of its normaliser."""
+    kind, normaliser = UNIGRAM, ""
+    with open(path, "rb") as f:
+        for field, value in _fields(f.read()):
+            if field == TRAINER:
+                kind = dict(_fields(value)).get(MODEL_TYPE, kind)
+            elif field == NORMALISER:
+                normaliser = dict(_fields(value)).get(NAME, b"").decode()
+    return kind, normaliser
+
+
 @dataclass
 class Vocabulary:
     """The pieces of a BPE model with byte fallback, as plain arrays that go to the tasks."""
@@ -41,6 +85,9 @@ class Vocabulary:
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
+        kind, normaliser = model_kind(path)
+        if kind != BPE or normaliser not in ("", "identity"):
+            raise ValueError(f"{path}: model type {kind}, normaliser {normaliser!r}; only BPE models that leave texts as they are can be encoded by merging")
         n = sp.get_piece_size()
         kinds = b"".join(b"b" if sp.is_byte(i) else b"u" if sp.is_unknown(i) else b"c" if sp.is_control(i) or sp.is_unused(i) else b"n" for i in range(n))
         pieces = [sp.id_to_piece(i) for i in range(n)]
@@ -239,11 +286,12 @@ class Vocabulary:
                 size += len(texts[stop] or "")
                 stop += 1
             if len(self.known) > REMEMBERED:
-                self.known.clear()
+                self.known = {}
             cut = [None if t is None else self.chunk.findall((SPACE + t.replace(" ", SPACE)) if t else "") for t in texts[start:stop]]
             new = list(set().union(*(c for c in cut if c)) - self.known.keys())
-            if new:
-                self.learn(new)
+            sizes = np.cumsum([len(c) for c in new]) // INDEX_CHARS
+            for part in np.split(np.arange(len(new)), np.flatnonzero(np.diff(sizes)) + 1) if new else ():
+                self.learn([new[i] for i in part])
             out += [None if c is None else b"".join(map(self.known.__getitem__, c)) for c in cut]
             start = stop
         return out
@@ -289,7 +337,7 @@ def encode(documents: DataFrame, path: str = MODEL) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, 1000), pa.array(n, pa.int64()), lists, pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(rows, "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
+    return docs.mapInArrow(C.tidied(rows), "doc_id long, n_pieces long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:

@@ -75,7 +75,7 @@ def trigrams(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["gram", "n"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(C.tidied(count), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(SIZE**3)
     for r in rows:
         out[r["gram"]] = r["n"]
@@ -212,7 +212,7 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
             found = ["\n".join(sorted(sent.value.words(t.as_py()))) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], names=["toxic", "words"])
 
-    rows = docs.join(F.broadcast(sample), "doc_id").select("toxic", "text").mapInArrow(words, "toxic int, words string").collect()
+    rows = docs.join(F.broadcast(sample), "doc_id").select("toxic", "text").mapInArrow(C.tidied(words), "toxic int, words string").collect()
     rows.sort()
     return _regress(restorer, [r["words"].split("\n") for r in rows], np.array([r["toxic"] for r in rows], float), totals)
 

@@ -1,9 +1,10 @@
 """The pipeline's stages beside what was planted, and the registered corpus queries beside their SQL."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from claimspark.llm import pieces, queries
+from claimspark.llm import common, pieces, queries
 
 from ..oracle import compare, connect
 from .conftest import SF
@@ -65,6 +66,24 @@ def test_run(spark, planted):
     assert {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, sf).collect()} == want
 
 
+def test_stages_of_awkward_rows(spark, planted, awkward):
+    """Nulls, empty and long texts, repeats; columns named like the operators' own keep their values."""
+    sf, _ = planted
+    docs = awkward.withColumn("predicted", F.lit("mine")).withColumn("n_removed", F.lit(-1)).withColumn("kept", F.col("doc_id")).withColumn("a.b", F.lit(2.5))
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == columns
+        docs = common.saved(docs)
+    rows = docs.collect()
+    assert all((r["score"], r["n_lines"], r["predicted"], r["n_removed"], r["a.b"], r["cluster"], r["z"]) == ("x", "y", "mine", -1, 2.5, "c", "z") for r in rows)
+    assert all(r["kept"] == r["doc_id"] and r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+    assert {r["doc_id"] for r in rows} == {1, 2, 3, 4, 5, 7, 8, 9, None}  # 6 is like 5
+    assert [r["text"] for r in rows if r["doc_id"] == 8] == ["same row"] * 2
+    assert sum(r["doc_id"] is None for r in rows) == 2
+    assert corpus_pipeline.encode_pieces(spark, docs, sf).count() == len(rows)
+
+
 def test_stages_of_nothing(spark, planted, docs_of):
     sf, _ = planted
     docs = docs_of([])
