@@ -1,8 +1,13 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again by the next one.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. A stage
-works on all that its predecessor kept. Null texts are never toxic, hold no lines and no benchmark item, and encode to
-null; empty tables pass through."""
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs, each with
+the values that it had but text and n_chars, which line dedup changes, whatever names the operators use for columns of
+their own. A stage works on all that its predecessor kept.
+
+Null texts are never toxic, hold no lines and no benchmark item, are near nothing, and encode to null; so are empty ones,
+which encode to no ids. Rows of a null doc_id are never dropped as copies and lose no line. Rows that repeat a doc_id are
+one document: near duplicates go or stay together, and lines go from each of them. Of equal lines and of near duplicates
+the one of smallest doc_id stays. Very long texts are whole texts like others. Empty tables pass through."""
 
 from __future__ import annotations
 
@@ -15,26 +20,26 @@ from claimspark.llm import common, decontaminate, lines, minhash, pieces, toxici
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject; it is fitted on labelled ones among docs."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return common.beside(docs, lambda d: toxicity.score(d, model).where("predicted = 0"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less lines that repeat an earlier one; those with nothing left go."""
-    out = lines.dedup_lines(docs).where("n_removed = 0 or trim(text) <> ''")
+    out = common.beside(docs, lambda d: lines.dedup_lines(d).where("n_removed = 0 or trim(text) <> ''"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of smallest doc_id."""
-    found = minhash.near_duplicates(docs)
-    return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item within its edit budget."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
