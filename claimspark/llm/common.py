@@ -61,7 +61,18 @@ def saved(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts the lineage and outlives executors."""
     path = f"{scratch(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that saved() wrote and that nothing yet to be computed reads."""
+    for df in tables:
+        if path := getattr(df, "stored_at", None):
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Holds the other columns of a table while an operator works on doc_id and text.
@@ -237,7 +248,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = saved(large)
         small = saved(large.groupBy("hi").agg(F.min("lo").alias("m")))
         joined = large.join(small, "hi")
-        now = saved(joined.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(small.select("hi", "m")).distinct())
+        was, now = now, saved(joined.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(small.select("hi", "m")).distinct())
+        drop(was, least, large, small)
     return saved(now.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(now.select(F.col("lo"), F.col("lo"))).distinct())
 
 
@@ -343,9 +355,11 @@ def pattern_masks(pattern: str) -> dict[str, int]:
     return masks
 
 
-def myers(masks: dict[str, int], m: int, text: str, inside: bool) -> tuple[int, int]:
+def myers(masks: dict[str, int], m: int, text: str, inside: bool, most: int | None = None) -> tuple[int, int]:
     """Myers' bit-parallel distance of a pattern (masks, m > 0 long) to text: the least over substrings of text and where
-    the first such one ends if inside, else the distance to all of text and its length."""
+    the first such one ends if inside, else the distance to all of text and its length. Without inside, a distance that
+    must get above most is given as most + 1 as soon as that shows."""
+    ahead = len(text) + most if most is not None and not inside else None
     full, top = (1 << m) - 1, 1 << m - 1
     pv, mv, score = full, 0, m
     best, end = m, 0
@@ -364,4 +378,6 @@ def myers(masks: dict[str, int], m: int, text: str, inside: bool) -> tuple[int,
         mv = ph & xv & full
         if inside and score < best:
             best, end = score, j + 1
+        if ahead is not None and score + j >= ahead:  # each character to come takes one off at most
+            return most + 1, len(text)
     return (best, end) if inside else (score, len(text))

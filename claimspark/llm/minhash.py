@@ -98,7 +98,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
                 keys = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=C.U)
                 yield C.runs(keys, np.repeat(b.column(0).to_numpy().astype(np.int64), BANDS), n_buckets)
 
-    wanted = C.clusters(C.shared_keys(C.saved(copies.select("rep", "bands").mapInArrow(C.tidied(pack), C.RUNS)))).withColumnRenamed("id", "doc_id")
+    keyed = C.saved(copies.select("rep", "bands").mapInArrow(C.tidied(pack), C.RUNS))
+    wanted = C.clusters(C.shared_keys(keyed)).withColumnRenamed("id", "doc_id")
+    C.drop(keyed)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,7 +118,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         both = np.add.reduceat(x[at] == flat, np.r_[0, np.cumsum(n)[:-1]], dtype=np.int64)
         return 100 * both >= percent * (len(x) + n - both)
 
-    comps = C.linked(C.saved(held), lambda raw: [np.frombuffer(v, dtype=C.U) for v in raw], lambda values: [band_keys(v) for v in values], similar)
+    held = C.saved(held)
+    comps = C.linked(held, lambda raw: [np.frombuffer(v, dtype=C.U) for v in raw], lambda values: [band_keys(v) for v in values], similar)
+    C.drop(held)
     reps = C.saved(copies.select("n_shingles", "s1", "s2", "rep"))  # written: Spark splits the rows of a hot set in the join
     of = C.saved(one.drop("bands")).join(reps, ["n_shingles", "s1", "s2"], "left")
     found = of.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
