@@ -28,6 +28,11 @@ def test_blocks():
         "</p></div><p>a</p></span>": ["a"],
         "<p>1 < 2 and 3 > 2</p>": ["1 < 2 and 3 > 2"],
         "": [],
+        "<script>for(i=0;i<n;i++){x()}</script><article>after <b>a</b> script</article>": ["after a script"],
+        "<style>a<b{}</STYLE ><p>y</p><script>never ends <p>no": ["y"],
+        "<main><h1>Head</h1><article>Teaser</article><p>Body</p></main>": ["Head", "Teaser", "Body"],
+        "<main><p>by</p><article><p>A long article</p><p>of two</p></article></main>": ["A long article", "of two"],
+        "<div class='side-by-side'>a</div><p class='social-science'>b</p><p class='share-buttons'>c</p><p id=siteFooter>d</p><p class='left sidebar-2'>e</p>": ["a", "b"],
     }
     for page, want in cases.items():
         assert html.blocks(page) == want, page
@@ -121,7 +126,19 @@ def test_templates(spark):
     got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
     assert {got[i]["template"] for i in range(200)} == {"/buy/*"} and {got[1000 + i]["template"] for i in range(200)} == {"/news/*"}
     assert {got[i]["verdict"] for i in range(200)} == {"block"} and {got[1000 + i]["verdict"] for i in range(200)} == {"allow"}
-    assert {got[2000 + i]["template"] for i in range(100)} == {"/*/p"}
+    assert {got[2000 + i]["template"] for i in range(100)} == {"/*/~"}
+
+
+def test_deep_paths_and_heirs(spark):
+    """Segments below the last level count; a branch without labels is judged as its parent, until it has labels."""
+    rules = [("a.com", "/x/bad/", "block"), ("a.com", "/y/", "allow")]
+    rows = [(i, f"http://a.com/x/bad/{i}") for i in range(60)] + [(100 + i, f"http://a.com/x/more/{i}") for i in range(20)] + [(200 + i, f"http://a.com/y/{i}") for i in range(60)]
+    rows += [(300 + i, f"http://a.com/z/{i}") for i in range(20)] + [(400, "http://b.com/a/b/c/d/e/f"), (401, "http://b.com/a/b/c/d/e/g"), (402, "http://b.com/a/b/c/d/1/2"), (403, "http://b.com/" + "s/" * 5000)]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert len(got) == len(rows)
+    assert {got[100 + i]["verdict"] for i in range(20)} == {"block"} and got[100]["rule"] is None  # all of /x that is known is blocked
+    assert {got[300 + i]["verdict"] for i in range(20)} == {"allow"}
+    assert got[403]["verdict"] == "allow" and all(got[400 + i]["template"].count("/") == urls.DEPTH + 1 for i in range(4))
 
 
 def test_suffix_order_is_sorted():
