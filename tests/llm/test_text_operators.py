@@ -388,10 +388,21 @@ def test_frequent_lines(spark, words):
     rows = [(i, f"{line}\n{' '.join(words(4, i + 10))}", "a") for i in range(150)] + [(200 + i, f"{line} {i}x\n{' '.join(words(40, i + 300))}", "b") for i in range(90)] + [(400, f"{line}\n{' '.join(words(60, 7))}", "a")]
     got = by_id(rules.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")), "kept", "n_line_words")
     assert all(got[i] == (False, 30) for i in range(150))
-    assert all(got[200 + i] == (True, 0) for i in range(90))
+    assert all(got[200 + i] == (True, 31) for i in range(90))
     assert got[400] == (True, 30)
 
 
+def test_text_without_frequent_lines(spark, words):
+    """A line above the limit goes from the text, whatever its digits; one that three documents or a twentieth hold stays."""
+    own = lambda i: " ".join(words(40, i + 500))
+    rows = [(i, f"Page {i} of\tthe site\n\n{own(i)}\n---", "a") for i in range(40)] + [(100 + i, f"{own(99)}\n{own(100 + i)}", "a") for i in range(4)] + [(200 + i, f"{own(98)}\n{own(200 + i)}", "b") for i in range(3)]
+    rows += [(300, None, "a"), (301, "", None)]
+    got = by_id(rules.quality(spark.createDataFrame(rows, "doc_id long, text string, source string"), text=True), "n_line_words", "kept_text")
+    assert all(got[i] == (6, f"\n{own(i)}") for i in range(40))  # --- is a line with a word, on 40 pages
+    assert all(got[100 + i] == (40, own(100 + i)) for i in range(4)) and all(got[200 + i] == (0, f"{own(98)}\n{own(200 + i)}") for i in range(3))
+    assert got[300] == (0, None) and got[301] == (0, "")
+
+
 def test_quality_of_nothing(docs_of):
     assert rules.quality(docs_of([])).count() == 0
 
