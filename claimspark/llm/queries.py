@@ -104,17 +104,17 @@ def _op5() -> str:
         f"k AS (SELECT *, {case(0)} AS rule, {case(1)} AS by_rule, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {kind}) AS kinds FROM p)",
         f"r AS (SELECT * EXCLUDE (kinds), array_to_string(CASE WHEN len(kinds) > {urls.DEPTH} THEN list_append(kinds[1:{urls.DEPTH}], array_to_string(kinds[{urls.DEPTH + 1}:], '>')) ELSE kinds END, '/') AS shape FROM k)",
         "h AS (SELECT host, shape, count(*) AS n, count(*) FILTER (by_rule = 'block') AS b, count(by_rule) AS l FROM r GROUP BY 1, 2)",
-        f"t0 AS (SELECT *, '' AS template, sum(b) OVER w / (sum(l) OVER w + {urls.SMOOTHING}) AS p FROM h WINDOW w AS (PARTITION BY host))",
+        f"t0 AS (SELECT *, '' AS template, sum(b) OVER w / (sum(l) OVER w + {urls.SMOOTHING}) AS p, sum(b) OVER w / (sum(n) OVER w + {urls.SMOOTHING}) AS q FROM h WINDOW w AS (PARTITION BY host))",
     ]
     for i in range(urls.DEPTH + 1):
         out += [
             f"s{i} AS (SELECT *, coalesce(string_split(shape, '/')[{i + 1}], '') AS segment FROM t{i})",
-            f"c{i} AS (SELECT host, template, segment, sum(n) AS n, sum(b) AS b, sum(l) AS l, min(p) AS p FROM s{i} GROUP BY 1, 2, 3)",
+            f"c{i} AS (SELECT host, template, segment, sum(n) AS n, sum(b) AS b, sum(l) AS l, min(p) AS p, min(q) AS q FROM s{i} GROUP BY 1, 2, 3)",
             f"d{i} AS (SELECT *, sum(n) OVER w AS pn, sum(b) OVER w / greatest(sum(l) OVER w, 1) AS share FROM c{i} WINDOW w AS (PARTITION BY host, template))",
-            f"""b{i} AS (SELECT host, template, segment, b, l, p, CASE WHEN segment = '' OR NOT (n >= {urls.NAMED_SHARE} * pn AND n >= {urls.NAMED_LEAST}) OR segment = '*' THEN CASE WHEN segment = '' THEN '' ELSE '*' END
-	 WHEN l = 0 OR abs(b / greatest(l, 1) - share) <= {urls.ALIKE_Z} * sqrt(greatest(share * (1 - share), 0.01) / greatest(l, 1)) THEN '~' ELSE segment END AS branch FROM d{i})""",
-            f"n{i} AS (SELECT host, template, segment, branch, CASE WHEN branch = '' THEN min(p) OVER w ELSE (sum(b) OVER w + {urls.SMOOTHING} * min(p) OVER w) / (sum(l) OVER w + {urls.SMOOTHING}) END AS p FROM b{i} WINDOW w AS (PARTITION BY host, template, branch))",
-            f"t{i + 1} AS (SELECT s.host, shape, s.n, s.b, s.l, CASE WHEN s.segment = '' THEN s.template ELSE s.template || '/' || branch END AS template, x.p FROM s{i} s JOIN n{i} x ON s.host = x.host AND s.template = x.template AND s.segment = x.segment)",
+            f"""b{i} AS (SELECT host, template, segment, n, b, l, p, q, CASE WHEN segment = '' OR NOT (n >= {urls.NAMED_SHARE} * pn AND n >= {urls.NAMED_LEAST}) OR segment = '*' THEN CASE WHEN segment = '' THEN '' ELSE '*' END
+	 WHEN l > 0 AND abs(b / greatest(l, 1) - share) <= {urls.ALIKE_Z} * sqrt(greatest(share * (1 - share), 0.01) / greatest(l, 1)) THEN '~' ELSE segment END AS branch FROM d{i})""",
+            f"n{i} AS (SELECT host, template, segment, branch, CASE WHEN branch = '' THEN min(p) OVER w ELSE (sum(b) OVER w + {urls.SMOOTHING} * min(q) OVER w) / (sum(l) OVER w + {urls.SMOOTHING}) END AS p, CASE WHEN branch = '' OR sum(l) OVER w = 0 THEN min(q) OVER w ELSE (sum(b) OVER w + {urls.SMOOTHING} * min(q) OVER w) / (sum(n) OVER w + {urls.SMOOTHING}) END AS q FROM b{i} WINDOW w AS (PARTITION BY host, template, branch))",
+            f"t{i + 1} AS (SELECT s.host, shape, s.n, s.b, s.l, CASE WHEN s.segment = '' THEN s.template ELSE s.template || '/' || branch END AS template, x.p, x.q FROM s{i} s JOIN n{i} x ON s.host = x.host AND s.template = x.template AND s.segment = x.segment)",
         ]
     last = f"t{urls.DEPTH + 1}"
     return f"""WITH {", ".join(out)} SELECT page_id, r.host, path, rule, coalesce(by_rule, CASE WHEN p >= {urls.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template, CAST(p AS DOUBLE) AS purity FROM r JOIN {last} t ON r.host = t.host AND r.shape = t.shape"""
