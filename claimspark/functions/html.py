@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
+from html.entities import codepoint2name
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 GONE = ["script", "style", "noscript", "svg", "nav", "header", "footer", "aside", "form", "figure"]
-# fixed values: named references that pages use; & is last, so that it makes no other one
-NAMED = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&")]
+#: Named references: the standard's names of signs, Latin letters, Greek letters and typography, and ' with a plain space for
+#: a no-break one.
+NAMED = {name: chr(code) for code, name in sorted(codepoint2name.items())} | {"apos": "'", "nbsp": " "}
+REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 ENDS = "p|div|li|tr|h[1-6]|ul|ol|table|section|article|main|blockquote"
 
 
+def references(c: Column) -> Column:
+    """Character references decoded once, by name, number or hexadecimal number; others stay as they are."""
+    names = F.create_map(*(F.lit(x) for pair in NAMED.items() for x in pair))
+
+    def sign(code: Column) -> Column:
+        fits = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        return F.when(code == 160, " ").when(fits, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+    def one(part: Column) -> Column:
+        name = F.regexp_extract(part, REFERENCE, 1)
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(F.startswith(name, F.lit("#")), F.substring(name, 2, 7)).try_cast("int")
+        found = F.when(F.startswith(name, F.lit("#")), sign(number)).when(name != "", F.try_element_at(names, name))
+        return F.when(found.isNotNull(), F.concat(found, F.substr(part, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(c, "&")
+    joined = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
+    return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
+
+
 def decoded(c: Column) -> Column:
-    """Named references decoded, white space single."""
-    for name, sign in NAMED:
-        c = F.replace(c, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """Character references decoded, white space single."""
+    return F.trim(F.regexp_replace(references(c), r"\s+", " "))
 
 
 def stripped(c: Column) -> Column:
@@ -78,16 +99,17 @@ def rendered_date(text: Column) -> Column:
     return F.when(F.size(dates) == 1, F.try_element_at(dates, F.lit(1)))
 
 
-STRONG = ["captcha-delivery", "cf-challenge", "are you a robot", "verify you are human"]
-WEAK = ["enable javascript", "access denied", "checking your browser"]
+# fixed values: markers of interstitial pages, those that tell by themselves and those that do in a small page, what a small
+# page is, and how little prose one holds
+STRONG = ["cf-browser-verification", "__cf_chl", "Client Challenge", "Attention Required! | Cloudflare", "Checking your browser before accessing", "DDoS protection by", "Please verify you are a human"]
+WEAK = ["JavaScript is disabled in your browser", "Enable JavaScript and cookies to continue", "Just a moment"]
+SMALL_PAGE, LITTLE_PROSE = 20000, 500
 
 
 def challenge(html: Column, text: Column) -> Column:
     """Whether a page is an interstitial: a strong marker, a weak one in a small page, or hardly any prose in one."""
-    low = F.lower(html)
-    any_of = lambda marks: sum((F.contains(low, F.lit(m)).cast("int") for m in marks[1:]), F.contains(low, F.lit(marks[0])).cast("int")) > 0
-    small = F.length(html) < 20000
-    return any_of(STRONG) | (small & any_of(WEAK)) | ((F.length(html) < 5000) & (F.length(text) < 500))
+    any_of = lambda marks: F.greatest(*(F.contains(html, F.lit(m)) for m in marks))
+    return any_of(STRONG) | ((F.length(html) < SMALL_PAGE) & (any_of(WEAK) | (F.length(text) < LITTLE_PROSE)))
 
 
 def json_ld(c: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from . import text as T
 
 _NUMBER = r"([0-9]+(?:\.[0-9]+)?|one|two|three|four|five|six|seven|eight|nine|ten|dozen|hundred) ?(millions?|billions?|trillions?|thousands?|bn|[mbtk])?"
+#: Where a number begins.
+_BEGINS = r"(?<![a-z0-9.])(?=[0-9]|(?:one|two|three|four|five|six|seven|eight|nine|ten|dozen|hundred)\b)"
 _UPPER = r"\b(?:at most|less than|fewer than|under|below|up to|no more than|not|no|never|without|nearly|almost)(?: [a-z]+)?$"
 _MONEY = r"\b(?:usd|eur|gbp|nonusd)$"
 _AFTER = r"^ ?(?:at most|or less|or fewer|usd|eur|gbp|dollars|euros|pounds|percent|per )"
@@ -16,13 +18,15 @@ _AFTER = r"^ ?(?:at most|or less|or fewer|usd|eur|gbp|dollars|euros|pounds|perce
 def bound_quantity(guard: Column, noun: str, minimum: float, reject_money: bool = True) -> Column:
     """Whether a clause of a guard_norm() text asserts at least `minimum` of a noun (a pattern).
 
-    The quantity may stand before its noun, with up to two words between, or after it and a verb. Upper bounds, negation
-    and `about` just at the minimum don't count, nor do years, and sums of money unless they are wanted."""
-    forward = rf"^(.*?)\b{_NUMBER}((?: [a-z]+){{0,2}}) (?:{noun})\b(.*)$"
-    backward = rf"^(.*?)\b(?:{noun}) (?:is|are|was|were|reach|reaches|reached|hit|hits|exceed|exceeds|exceeded|total|totals) (?:about |over |some )?{_NUMBER}\b(.*)$"
+    Each quantity of a clause is tried. It may stand before its noun, with up to two words between, or after it and a verb.
+    Upper bounds, negation and `about` just at the minimum don't count, nor do years, and sums of money unless they are
+    wanted."""
+    forward = rf"^{_NUMBER}((?: [a-z]+){{0,2}}) (?:{noun})\b(.*)$"
+    verb = "(?:is|are|was|were|reach|reaches|reached|hit|hits|exceed|exceeds|exceeded|total|totals) (?:about |over |some )?"
+    subject, backward = rf"^(.*?)\b(?:{noun}) {verb}$", rf"^{_NUMBER}\b(.*)$"
 
-    def holds(clause: Column, pattern: str, after: int) -> Column:
-        before, token, unit, rest = F.regexp_extract(clause, pattern, 1), F.regexp_extract(clause, pattern, 2), F.regexp_extract(clause, pattern, 3), F.regexp_extract(clause, pattern, after)
+    def holds(before: Column, number: Column, pattern: str, after: int) -> Column:
+        token, unit, rest = F.regexp_extract(number, pattern, 1), F.regexp_extract(number, pattern, 2), F.regexp_extract(number, pattern, after)
         value = T.quantity(token, unit)
         year = token.rlike("^(?:19|20)[0-9]{2}$") & (unit == "")
         vague = before.rlike(r"\b(?:about|around|roughly|approximately) ?$") & (value <= minimum)
@@ -30,7 +34,16 @@ def bound_quantity(guard: Column, noun: str, minimum: float, reject_money: bool
         money = F.trim(before).rlike(_MONEY) if reject_money else F.lit(False)
         return F.coalesce((value >= minimum) & ~year & ~vague & ~barred & ~money, F.lit(False))
 
-    return F.exists(T.clauses(guard), lambda c: holds(c, forward, 5) | holds(c, backward, 4))
+    def asserted(clause: Column) -> Column:
+        parts = F.split(F.regexp_replace(clause, _BEGINS, "\u0001"), "\u0001")
+
+        def one(i: Column) -> Column:
+            before, number = F.array_join(F.slice(parts, F.lit(1), i), ""), F.array_join(F.slice(parts, i + 1, F.size(parts)), "")
+            return holds(before, number, forward, 4) | (before.rlike(subject) & holds(F.regexp_extract(before, subject, 1), number, backward, 3))
+
+        return F.when(F.size(parts) > 1, F.exists(F.sequence(F.lit(1), F.size(parts) - 1), one)).otherwise(False)
+
+    return F.exists(T.clauses(guard), asserted)
 
 
 _ACTOR = r"(?:ai|machines?|robots?|agents?|automation|software)"

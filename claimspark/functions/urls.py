@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: query parameters that only track
-TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "gclid", "dclid", "fbclid", "msclkid", "mc_cid", "mc_eid", "igshid", "ref", "ref_src", "source", "cmpid", "ncid", "smid", "spm", "yclid"]
+# fixed values: query parameters that only track or belong to a visit, by name and by how names begin
+TRACKING = ["fbclid", "gclid", "mc_cid", "mc_eid", "igsh", "ref", "ref_src", "referrer", "source", "cmpid", "smid", "partner", "sh", "s", "error", "code", "token", "_ga", "spm"]
+TRACKING_STARTS = ["utm_", "session", "at_"]
 SECOND_LEVEL = ["co", "com", "org", "net", "gov", "ac", "edu", "or", "ne"]
 
 
@@ -27,7 +28,8 @@ def normal_url(url: Column) -> Column:
     """Without fragment and tracking parameters; what doesn't look like a url is left as it is."""
     bare = F.regexp_replace(url, r"#.*$", "")
     path, query = F.regexp_extract(bare, r"^([^?]*)", 1), F.regexp_extract(bare, r"\?(.*)$", 1)
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(F.regexp_extract(p, "^([^=]*)", 1)).isin(TRACKING)), "&")
+    tracks = f"(?i)^(?:(?:{'|'.join(TRACKING)})(?:=|$)|{'|'.join(TRACKING_STARTS)})"
+    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(tracks)), "&")
     return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.when(kept == "", path).otherwise(F.concat(path, F.lit("?"), kept))).otherwise(url)
 
 

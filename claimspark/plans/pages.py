@@ -14,10 +14,18 @@ HOST = r"lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1))"
 LINK = r"<a[^>]*href=\"([^\"]*)\""
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+NAMES = f"map([{', '.join(map(_quoted, H.NAMED))}], [{', '.join(map(_quoted, H.NAMED.values()))}])"
+_CODE = "try_cast(CASE WHEN n[2] IN ('x', 'X') THEN '0x' || n[3:] ELSE n[2:] END AS INTEGER)"
+_SIGN = f"CASE WHEN n[1] = '#' THEN CASE WHEN {_CODE} = 160 THEN ' ' WHEN {_CODE} BETWEEN 1 AND 55295 OR {_CODE} BETWEEN 57344 AND 1114111 THEN chr({_CODE}) END ELSE map_extract({NAMES}, n)[1] END"
+_PART = f"list_transform([regexp_extract(p, '{H.REFERENCE}', 1)], lambda n: coalesce({_SIGN} || p[length(n) + 2:], '&' || p))[1]"
+
+
 def _decoded(c: str) -> str:
-    for name, sign in H.NAMED:
-        c = f"replace({c}, '{name}', '{sign.replace(chr(39), chr(39) * 2)}')"
-    return rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+    return rf"trim(regexp_replace(list_transform([{c}], lambda t: CASE WHEN contains(t, '&') THEN array_to_string(list_transform(string_split(t, '&'), lambda p, i: CASE WHEN i = 1 THEN p ELSE {_PART} END), '') ELSE t END)[1], '\s+', ' ', 'g'))"
 
 
 def _stripped(c: str) -> str:
@@ -29,11 +37,13 @@ def _stripped(c: str) -> str:
 
 BODY, REGION = _decoded(_stripped("html")), _decoded(_stripped("x"))
 MAIN = rf"""(SELECT page_id, url, html, CASE WHEN length(best) >= greatest(400.0, 0.3 * length(body)) THEN best ELSE body END AS main FROM (SELECT *, coalesce(list_reduce(list_prepend('', list_transform(regexp_extract_all(html, '(?is)<article(?:\s[^>]*)?>(.*?)</article>', 1), lambda x: {REGION})), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END), '') AS best, {BODY} AS body FROM pages))"""
-HEADLINE = rf"coalesce(nullif({_decoded(chr(40) + 'regexp_extract(html, ' + chr(39) + '(?is)<h1[^>]*>(.*?)</h1>' + chr(39) + ', 1))')}, ''), nullif({_decoded('regexp_extract(html, ' + chr(39) + '(?is)<title[^>]*>(.*?)</title>' + chr(39) + ', 1)')}, ''), '')"
+H1, TITLE = r"regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)", r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+HEADLINE = f"coalesce(nullif({_decoded(H1)}, ''), nullif({_decoded(TITLE)}, ''), '')"
 REGISTRABLE = "array_to_string(list_slice(string_split(regexp_replace({0}, '^www\\.', ''), '.'), -2, -1), '.')"
 TRACKED = "[" + ", ".join(f"'{x}'" for x in U.TRACKING) + "]"
+STARTS = " OR ".join(f"starts_with(lower(p), '{x}')" for x in U.TRACKING_STARTS)
 NORMAL = rf"(regexp_extract(u, '^([^?]*)', 1) || CASE WHEN q = '' THEN '' ELSE '?' || q END)"  # noqa: F541
-NORMALISED = rf"(SELECT *, array_to_string(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT list_contains({TRACKED}, lower(regexp_extract(p, '^([^=]*)', 1)))), '&') AS q FROM (SELECT *, regexp_replace(url, '#.*$', '') AS u FROM {{0}}))"
+NORMALISED = rf"(SELECT *, array_to_string(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT list_contains({TRACKED}, lower(regexp_extract(p, '^([^=]*)', 1))) AND NOT ({STARTS})), '&') AS q FROM (SELECT *, regexp_replace(url, '#.*$', '') AS u FROM {{0}}))"
 
 
 @query("SELECT page_id, url, CASE WHEN url LIKE 'https://%' THEN 'https' ELSE 'browser' END AS transport, length(html) AS n_chars FROM pages")
@@ -61,10 +71,15 @@ def entities(t):
     return t("pages").select("page_id", F.sha2(H.decoded(F.col("html")), 256).alias("decoded"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN NULL ELSE url END AS safe, replace(replace(replace(replace(replace(left(html, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")
+ESCAPED = "replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 5 = 0 THEN NULL ELSE url END AS safe, sha256({ESCAPED}) AS escaped, length({ESCAPED}) AS n_chars FROM pages")
 def safe_url(t):
+    """Urls that may be linked, and whole pages escaped, as hash and length."""
     url = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("javascript:"), "url")).otherwise(F.col("url"))
-    return t("pages").select("page_id", U.safe_url(url).alias("safe"), U.html_escaped(F.left("html", F.lit(80))).alias("escaped"))
+    rows = t("pages").select("page_id", U.safe_url(url).alias("safe"), U.html_escaped(F.col("html")).alias("x"))
+    return rows.select("page_id", "safe", F.sha2("x", 256).alias("escaped"), F.length("x").cast("long").alias("n_chars"))
 
 
 @query(f"SELECT page_id, {REGISTRABLE.format(HOST.format('url'))} AS registrable FROM pages")
@@ -114,10 +129,15 @@ def rendered_date(t):
     return t("documents").select("doc_id", F.date_format(H.rendered_date(F.concat(lead, "text")), "yyyy-MM-dd").alias("published"))
 
 
-@query(f"SELECT page_id, (length(html) < 5000 AND length(main) < 500) OR (page_id % 6 = 0 AND length(html) + 21 < 20000) AS challenged FROM {MAIN}")
+MARK = "Enable JavaScript and cookies to continue"
+
+
+@query(f"SELECT page_id, {' OR '.join(f'contains(html, {_quoted(m)})' for m in H.STRONG)} OR (length(html) + CASE WHEN page_id % 6 = 0 THEN {len(MARK)} ELSE 0 END < {H.SMALL_PAGE} AND (page_id % 6 = 0 OR length(main) < {H.LITTLE_PROSE} OR {' OR '.join(f'contains(html, {_quoted(m)})' for m in H.WEAK)})) AS challenged FROM {MAIN}")
 def challenge_flag(t):
-    marked = F.when(F.col("page_id") % 6 == 0, F.concat("html", F.lit("Please enable JavaScr"), F.lit("ipt"))).otherwise(F.col("html"))
-    return t("pages").select("page_id", (H.challenge(marked, F.lit("x" * 500)) | ((F.length("html") < 5000) & (F.length(H.main_text(F.col("html"))) < 500))).alias("challenged"))
+    """Pages, every sixth with a weak marker at its end, that are interstitials."""
+    marked = F.when(F.col("page_id") % 6 == 0, F.concat("html", F.lit(MARK))).otherwise(F.col("html"))
+    rows = t("pages").select("page_id", marked.alias("marked"), H.main_text(F.col("html")).alias("prose"))
+    return rows.select("page_id", H.challenge(F.col("marked"), F.col("prose")).alias("challenged"))
 
 
 @query(f"""SELECT host, CASE WHEN host LIKE '%.example.net' THEN 'retired' WHEN host LIKE 'www.%' THEN 'undeclared' ELSE 'allowed' END AS verdict, count(*) AS pages FROM (SELECT {HOST.format('url')} AS host FROM pages) GROUP BY host""")

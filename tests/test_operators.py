@@ -91,6 +91,28 @@ def test_maximum_matching(spark, edges):
     assert len({c for c, _ in got}) == len({p for _, p in got}) == len(got)
 
 
+def test_every_quantity_of_a_clause_is_tried(spark):
+    from claimspark.functions import quantities, text
+
+    f = lambda c: quantities.bound_quantity(text.guard_norm(c), "jobs|workers|units", 1e6)
+    texts = ["we lost 5 jobs and gained 3 million jobs", "jobs are 5 and units reached 2.5 million", "5 jobs, not 3 million jobs", "1 of 2 million workers in 2030", "jobs reached at most 3 million", "no numbers of jobs"]
+    assert column(spark, texts, f) == [True, True, False, True, False, False]
+
+
+def test_character_references(spark):
+    from claimspark.functions import html
+
+    texts = ["caf&#233; &#x41;&#X1F389; &eacute;&Aacute;&szlig;", "&amp;lt; &amp;amp;", "a & b &; &nope; &#0; &#xD800; &#1114112; &#99999999;", "&lt;b&gt;&nbsp;x&#160;y", "&", "plain", "x&hellip;"]
+    assert column(spark, texts, html.decoded) == ["café A\U0001f389 éÁß", "&lt; &amp;", "a & b &; &nope; &#0; &#xD800; &#1114112; &#99999999;", "<b> x y", "&", "plain", "x…"]
+
+
+def test_tracking_parameters(spark):
+    from claimspark.functions import urls
+
+    texts = ["https://a.com/p?utm_x=1&id=2&SessionId=9#top", "https://a.com/?at_medium=x", "https://a.com/?s=1&sort=2&refs=3&REF=4", "https://a.com/?token&b"]
+    assert column(spark, texts, urls.normal_url) == ["https://a.com/p?id=2", "https://a.com/", "https://a.com/?sort=2&refs=3", "https://a.com/?b"]
+
+
 @pytest.mark.parametrize("name", ["bound_quantity", "attribution_tags", "max_matching", "family_reuse", "top1_without_replacement"])
 def test_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
