@@ -101,16 +101,33 @@ class FingerprintIndex:
         every = self.runs[0]
         for run in self.runs[1:]:
             every = every.union(run)
-        self.runs = [C.saved(every.groupBy("bucket").applyInArrow(one, C.RUNS))]
-
-
-def substring_dedup(documents: DataFrame, window: int = WINDOW, batches: int = 2) -> DataFrame:
+        was, self.runs = self.runs, [C.saved(every.groupBy("bucket").applyInArrow(one, C.RUNS))]
+        C.drop(*was)
+
+    def stored(self) -> dict:
+        """What reopen() needs: where the runs are, and what they were made with. The folders belong to the caller."""
+        return {"paths": [run.stored_at for run in self.runs], "n_buckets": self.n_buckets, "window": self.window, "fan_in": self.fan_in}
+
+    @classmethod
+    def reopen(cls, spark: SparkSession, paths: list[str], n_buckets: int, window: int, fan_in: int) -> FingerprintIndex:
+        """An index as it was stored, for the next day's batch."""
+        out = cls(spark, 0, window, fan_in)
+        out.n_buckets = n_buckets
+        for path in paths:
+            run = spark.read.schema(C.RUNS).parquet(path)
+            run.stored_at = path
+            out.runs.append(run)
+        return out
+
+
+def substring_dedup(documents: DataFrame, window: int = WINDOW, batches: int = 3) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text for each row of (doc_id, text).
 
     A word goes if it is covered by a window of `window` words that also starts in a document of smaller doc_id, as the
     input has them. Documents come in `batches` ranges of doc_id, as they would day by day. Null and empty texts have no
     words and an empty kept text; rows that repeat a doc_id are one document, each cut by itself; a null doc_id is never
-    cut and cuts no other. An empty table gives none.
+    cut and cuts no other. Of equal windows in one document none cuts another; very long texts are texts like others;
+    columns beside the two play no part. An empty table gives none. The last of the batches makes the index compact.
 
     Verification compares whole windows by two independent hashes, 128 bits together. A document whose words all equal an
     earlier one's is settled by the keys of the whole sequence; its windows never travel."""
@@ -119,7 +136,7 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, batches: int = 2
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.length("text")).alias("chars"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     chars, low, high = size["chars"] or 0, size["low"] or 0, size["high"] or 0
-    index = FingerprintIndex(spark, chars // 30, window)
+    index = FingerprintIndex(spark, chars // 30, window, fan_in=batches - 1 or 1)
     edges = [low + (high - low + 1) * i // batches for i in range(batches + 1)]
     found = None
     for start, end in zip(edges, edges[1:], strict=False):
