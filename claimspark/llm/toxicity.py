@@ -29,12 +29,15 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
-#: Costs (negative log chances) of writing a letter as a sign, and of a sign that stands for nothing.
-AS_SIGN, AS_NOISE = 1.5, 1.0
+#: Signs that may stand for any letter between two others.
+MASKS = "*#_"
+#: Costs (negative log chances) of writing a letter as a sign, of a sign that stands for nothing, and of a mask.
+AS_SIGN, AS_NOISE, AS_MASK = 1.5, 1.0, 0.5
 
 _TOKEN = re.compile(r"\S+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _SUSPECT = re.compile(r"[a-zÀ-ɏ][^a-zÀ-ɏ\s'’-]+[a-zÀ-ɏ]|[0-9@$!|+(<€£¡][^a-zÀ-ɏ\s]*[a-zÀ-ɏ]|[a-zÀ-ɏ][0-9@$|+]|([a-zÀ-ɏ])\1\1|[a-zÀ-ɏ][_*.'’-][a-zÀ-ɏ][_*.'’-][a-zÀ-ɏ]")
+_MASKED = re.compile(rf"[a-zÀ-ɏ][{re.escape(MASKS)}]+[a-zÀ-ɏ]")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_][ \t._*-]{1,2}){3,}[^\W_](?![\w])")
 
 # --- alphabet of the language model -----------------------------------------------------------------------------------
@@ -92,16 +95,21 @@ class Restorer:
         two = (pairs + 20 * one) / (pairs.sum(1, keepdims=True) + 20)
         three = (grams + 20 * two[None]) / (grams.sum(2, keepdims=True) + 20)
         self.cost = (-np.log(three)).tolist()
-        self.known: dict[str, str] = {}
+        self.known: dict[tuple[str, bool], str] = {}
 
-    def lattice(self, token: str) -> list[list[tuple[str, float]]]:
-        """For each character, or run of a repeated one, what it may stand for and at what cost."""
+    def lattice(self, token: str, masked: bool = False) -> list[list[tuple[str, float]]]:
+        """For each character, or run of a repeated one, what it may stand for and at what cost. If masked, a mask stands for
+        a letter, and a run of masks for as many."""
         out: list[list[tuple[str, float]]] = []
         i = 0
         while i < len(token):
             c, j = token[i], i
             while j < len(token) and token[j] == c:
                 j += 1
+            if masked and c in MASKS and 0 < i and j < len(token):
+                out += [[(x, AS_MASK) for x in LETTERS if x != " "]] * (j - i)
+                i = j
+                continue
             if c.isalpha():
                 run = [(c, 0.0), (c * 2, 0.0)] if j - i > 1 else [(c, 0.0)]
             elif c in LEET:
@@ -112,14 +120,15 @@ class Restorer:
             i = j
         return out
 
-    def restore(self, token: str) -> str:
-        """Viterbi over the lattice; the state is the last two letters."""
-        if (found := self.known.get(token)) is not None:
+    def restore(self, token: str, masked: bool = False) -> str:
+        """Viterbi over the lattice; the state is the last two letters. Of paths of equal cost the one found first counts, of
+        equal ends the first in the alphabet."""
+        if (found := self.known.get((token, masked))) is not None:
             return found
         space = LETTERS.index(" ")
         code = lambda x: int(CLASSES[min(ord(x), 0x24F)])
         best: dict[tuple[int, int], tuple[float, str]] = {(OTHER, space): (0.0, "")}
-        for options in self.lattice(token):
+        for options in self.lattice(token, masked):
             now: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (total, text) in best.items():
                 for letters, cost in options:
@@ -134,7 +143,7 @@ class Restorer:
         out = min((total + self.cost[a][b][space], text) for (a, b), (total, text) in best.items())[1]
         if len(self.known) > 50_000:
             self.known.clear()
-        self.known[token] = out
+        self.known[token, masked] = out
         return out
 
     def words(self, text: str | None) -> set[str]:
@@ -155,6 +164,8 @@ class Restorer:
                 # signs at the end may be letters or noise: both readings count
                 out.add(self.restore(word))
                 out.add(self.restore(token))
+                if _MASKED.search(word):
+                    out.add(self.restore(word, masked=True))
             if not word.isalpha():
                 out.update(x for x in re.split(r"[\W_]+", word) if len(x) > 2)
         for token in tokens:
@@ -259,7 +270,7 @@ def _regress(restorer: Restorer, texts: list[list[str]], toxic: np.ndarray, tota
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """documents with score (0 to 1, higher is likelier toxic) and predicted (1 from 0.5 on) for each text.
 
-    Null and empty texts have the score of no evidence. Every row is scored by itself, so nulls and repeats in other
+    Null and empty texts have the score of no evidence; very long ones are scored whole. Every row is scored by itself, so nulls and repeats in other
     columns change nothing; columns of documents called score or predicted are replaced; an empty table gives none."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
 

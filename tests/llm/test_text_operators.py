@@ -185,6 +185,18 @@ def test_index_grows_and_compacts(spark, docs_of, words):
     assert {r["id"] for r in index.add(docs_of([(4, text)])).collect()} == {1, 3, 4}
 
 
+def test_index_is_reopened(spark, docs_of, words):
+    """Runs stay in their folders: another session adds the next batch to them."""
+    index = fingerprints.FingerprintIndex(spark, 1000, fan_in=3)
+    text = " ".join(words(40, 5))
+    index.add(docs_of([(1, text)]))
+    index.add(docs_of([(2, " ".join(words(40, 6)))]))
+    again = fingerprints.FingerprintIndex.reopen(spark, **index.stored())
+    assert {r["id"] for r in again.add(docs_of([(3, text + " x")])).collect()} == {1, 3} and len(again.runs) == 3
+    again.compact()
+    assert len(again.runs) == 1 and {r["id"] for r in again.add(docs_of([(4, text)])).collect()} == {1, 3, 4}
+
+
 def test_substrings_awkward(awkward, docs_of):
     got = fingerprints.substring_dedup(awkward).collect()
     assert len(got) == 12
@@ -278,11 +290,35 @@ def test_suffix_order():
 # --- toxicity ---------------------------------------------------------------------------------------------------------
 
 
+def test_lattice_against_every_path():
+    """Viterbi finds the least cost of all paths through a lattice."""
+    rng = np.random.default_rng(5)
+    r = toxicity.Restorer(rng.integers(0, 50, toxicity.SIZE**3).astype(float))
+    space = toxicity.LETTERS.index(" ")
+
+    def cost(text, spent):
+        a, b = toxicity.OTHER, space
+        for z in [*(int(toxicity.CLASSES[min(ord(x), 0x24F)]) for x in text), space]:
+            spent += r.cost[a][b][z]
+            a, b = b, z
+        return spent
+
+    for token, masked in [("id1ot", False), ("aa$$h0le", False), ("s*p", True), ("t|-|1s", False), ("x##y", True), ("looo0ser", False), ("!", False), ("a*", True)]:
+        paths = [("", 0.0)]
+        for options in r.lattice(token, masked):
+            paths = [(text + letters, spent + c) for text, spent in paths for letters, c in options]
+        best = min(cost(*p) for p in paths)
+        found = r.restore(token, masked)
+        assert min(cost(*p) for p in paths if p[0] == found) == pytest.approx(best)
+
+
 def test_restores_obfuscated_words(spark, docs_of):
     docs = docs_of([(i, "the idiot and the moron are stupid losers with pathetic trash in this thing") for i in range(50)])
     r = toxicity.Restorer(toxicity.trigrams(docs))
-    for written, plain in {"1d10t": "idiot", "m0r0n": "moron", "st*pid": "stpid", "iiidiot": "idiot", "tr@sh": "trash", "s.t.u.p.i.d": "stupid", "l0$er$": "losers", "ppathetiiic": None}.items():
-        assert plain in r.words(f"you {written} there") or plain is None
+    for written, plain in {"1d10t": "idiot", "m0r0n": "moron", "iiidiot": "idiot", "tr@sh": "trash", "s.t.u.p.i.d": "stupid", "l0$er$": "losers"}.items():
+        assert plain in r.words(f"you {written} there")
+    # a mask stands for a letter: one reading has as many letters as the token
+    assert any(re.fullmatch("st[a-z]pid", w) for w in r.words("you st*pid there")) and any(re.fullmatch("id[a-z]{2}t", w) for w in r.words("id**t"))
     assert "stupid" in r.words("so s t u p i d really")
     assert r.words(None) == r.words("") == set()
     assert r.words("plain words only") == {"plain", "words", "only"}
