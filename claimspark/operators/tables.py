@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir (one of our own where unset) and read again."""
+    """df written to the folder of spark.checkpoint.dir (one of our own where unset and Spark runs on one machine) and read
+    again."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="claimspark-")
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root}/rounds-{uuid.uuid4().hex}"

@@ -1,6 +1,7 @@
 """Operators that SQL can't express, beside plain Python, and branches that the tables don't reach."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,3 +213,26 @@ def test_merged_terms(spark):
 
 def test_short_publisher(spark):
     assert column(spark, ["Daily | News", "Plain", None], text.short_publisher) == ["Daily", "Plain", None]
+
+
+def test_near_pairs(spark):
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(300)]
+    sets = [rng.sample(words, rng.randint(1, 60)) for _ in range(60)]
+    for base in list(sets[:30]):
+        sets.append([w for w in base if rng.random() > 0.1] + rng.sample(words, rng.randint(0, 4)))
+    whole = words[:43]
+    sets += [whole, words[:36] + words[200:207], sets[3], sets[3][::-1], [], ["w"] * 5, ["w"]]  # 36 of 43 is the least that can do
+    got = {tuple(r) for r in matching.near_pairs(spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>"), saved).collect()}
+    first, want = {}, set()
+    for i, s in enumerate(map(frozenset, sets)):
+        if s and s in first:
+            want.add((first[s], i, len(s), len(s), len(s)))
+        elif s:
+            for t, j in first.items():
+                n = len(s & t)
+                if n >= 0.86 * min(len(s), len(t)) or n >= 0.72 * (len(s) + len(t) - n):
+                    want.add((j, i, n, len(t), len(s)))
+            first[s] = i
+    assert got == want and len(want) > 20
+    assert matching.near_pairs(spark.createDataFrame([], "id long, tokens array<string>"), saved).count() == 0
