@@ -17,7 +17,7 @@ def norm(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(norm(c), " "), lambda w: w != "")
+    return F.array_remove(F.split(norm(c), " "), "")
 
 
 def is_term(w: Column, keep: list[str] = ()) -> Column:

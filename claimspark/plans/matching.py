@@ -16,10 +16,13 @@ from .texts import CONCEPTS, FIRST, NORM, TERM, UNLESS, WORDS, _tag_sql, sample
 CLAIM_TERMS = f"""c0 AS (SELECT item_id, {WORDS.format('text')} AS ws FROM benchmark), c1 AS (SELECT item_id, ws, list_filter(ws, lambda w: {TERM}) AS ok FROM c0),
 c2 AS (SELECT item_id, list_slice({FIRST.format('ok')}, 1, 12) AS terms, list_filter(list_transform(range(1, len(ws)), lambda i: CASE WHEN list_contains(ok, ws[i]) AND list_contains(ok, ws[i + 1]) THEN ws[i] || ' ' || ws[i + 1] END), lambda p: p IS NOT NULL) AS ps FROM c1),
 terms AS (SELECT item_id AS claim_id, unnest(list_slice({FIRST.format('ps')}, 1, 6)) AS term, 'phrase' AS kind, 3 AS points FROM c2 UNION ALL SELECT item_id, unnest(list_filter(terms, lambda w: length(w) >= 9)), 'strong', 2 FROM c2
- UNION ALL SELECT item_id, unnest(list_slice(list_filter(terms, lambda w: length(w) < 9), 1, 6)), 'weak', 1 FROM c2)"""
-SCORES = f"""{CLAIM_TERMS}, d0 AS (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents), held AS (SELECT DISTINCT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM d0),
-scores AS (SELECT claim_id, doc_id AS post_id, CAST(sum(points) AS BIGINT) AS score, CAST(count(*) FILTER (kind <> 'weak') + CASE WHEN count(*) FILTER (length(term) >= 7 AND term NOT IN ({', '.join(f"'{w}'" for w in M.SOFT)})) >= 2 THEN 1 ELSE 0 END AS BIGINT) AS solid, count(*) AS hits
- FROM held JOIN terms USING (term) GROUP BY 1, 2)"""
+ UNION ALL SELECT item_id, unnest(list_filter(terms, lambda w: length(w) BETWEEN 6 AND 8)), 'single', 2 FROM c2 UNION ALL SELECT item_id, unnest(list_slice(list_filter(terms, lambda w: length(w) < 6), 1, 6)), 'weak', 1 FROM c2)"""
+DOMAIN = ["section", "number", "message"]
+SCORES = f"""{CLAIM_TERMS}, d0 AS (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents), held AS (SELECT DISTINCT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS token FROM d0),
+met AS (SELECT DISTINCT claim_id, doc_id AS post_id, term, kind, points, term IN ({', '.join(f"'{w}'" for w in DOMAIN)}) AS dom FROM held JOIN terms ON left(token, 4) = left(term, 4) AND CASE kind WHEN 'weak' THEN token = term WHEN 'single' THEN token = term OR token = term || 's' OR (term LIKE '%s' AND token = left(term, -1)) WHEN 'strong' THEN starts_with(token, term) AND NOT contains(token, ' ') ELSE starts_with(token, term) END),
+flagged AS (SELECT *, kind = 'single' AND NOT dom AND length(term) >= 7 AND term NOT IN ({', '.join(f"'{w}'" for w in M.SOFT)}) AS specific, CASE WHEN length(term) > 4 AND term LIKE '%s' THEN left(term, -1) ELSE term END AS base FROM met),
+scores AS (SELECT claim_id, post_id, CAST(sum(points) AS BIGINT) AS score, CAST(count(*) FILTER (kind IN ('phrase', 'strong') OR kind = 'single' AND dom) + CASE WHEN count(*) FILTER (specific) >= 2 THEN 1 ELSE 0 END AS BIGINT) AS solid, count(*) AS hits,
+ count(DISTINCT base) FILTER (kind = 'strong' OR kind = 'single' AND dom OR specific) + 2 * count(*) FILTER (kind = 'phrase') AS coverage FROM flagged GROUP BY 1, 2)"""
 
 
 def claims(t):
@@ -31,39 +34,47 @@ def posts(t):
 
 
 def scores(t):
-    return M.scores(claims(t), posts(t))
+    return M.scores(claims(t), posts(t), DOMAIN)
 
 
-@query(f"WITH {SCORES} SELECT claim_id, post_id, score, solid, hits FROM scores")
+@query(f"WITH {SCORES} SELECT claim_id, post_id, score, solid, hits, coverage FROM scores")
 def lexical_match(t):
-    return scores(t).select("claim_id", "post_id", F.col("score").cast("long").alias("score"), F.col("solid").cast("long").alias("solid"), "hits")
+    return scores(t)
 
 
-def tag_sets(t):
-    a = claims(t).select("claim_id", T.tags(F.col("title"), CONCEPTS, UNLESS).alias("claim_tags"))
-    b = posts(t).select("post_id", T.tags(F.col("text"), CONCEPTS, UNLESS).alias("post_tags"))
-    return a, b
+#: (tag, weight, solo) of CONCEPTS.
+ONTOLOGY = [("article", 0.5, False), ("thread", 1.0, False), ("ending", 1.5, False), ("number", 1.5, False), ("mail", 2.0, True)]
 
 
-@query(f"""WITH {SCORES}, a AS (SELECT item_id AS claim_id, {_tag_sql('n')} AS x FROM (SELECT item_id, {NORM.format('text')} AS n FROM benchmark)), b AS (SELECT doc_id AS post_id, {_tag_sql('n')} AS y FROM (SELECT doc_id, {NORM.format('text')} AS n FROM documents)),
-m AS (SELECT claim_id, post_id, score >= 2 AND solid >= 1 AS lexical, len(list_intersect(x, y)) >= 2 AS concepts, post_id % 200 <= 30 AS fresh FROM scores JOIN a USING (claim_id) JOIN b USING (post_id))
-SELECT method, count(*) AS n FROM (SELECT CASE WHEN lexical AND concepts THEN 'hybrid' WHEN lexical THEN 'lexical' WHEN concepts AND fresh THEN 'semantic' ELSE 'none' END AS method FROM m) GROUP BY method""")
+def tagged(t):
+    tags = lambda rows, key, c: rows.select(key, T.tags(F.col(c), CONCEPTS, UNLESS).alias("tags"))
+    ontology = t("documents").sparkSession.createDataFrame(ONTOLOGY, "tag string, weight double, solo boolean")
+    return M.tag_hits(tags(claims(t), "claim_id", "title"), tags(posts(t), "post_id", "text"), ontology)
+
+
+@query(f"""WITH {SCORES}, o(tag, weight, solo) AS (VALUES {', '.join(f"('{n}', {w}, {str(s).lower()})" for n, w, s in ONTOLOGY)}), a AS (SELECT item_id AS claim_id, unnest({_tag_sql('n')}) AS tag FROM (SELECT item_id, {NORM.format('text')} AS n FROM benchmark)), b AS (SELECT doc_id AS post_id, unnest({_tag_sql('n')}) AS tag FROM (SELECT doc_id, {NORM.format('text')} AS n FROM documents)),
+tagged AS (SELECT claim_id, post_id, count(*) AS n_tags, bool_or(solo) OR (count(*) FILTER (weight >= 1.5) >= 2 AND sum(weight) >= 2.5) AS semantic FROM a JOIN b USING (tag) JOIN o USING (tag) GROUP BY 1, 2),
+m AS (SELECT coalesce(coverage, 0) + coalesce(n_tags, 0) AS coverage, coalesce(score >= 2 AND solid >= 1, false) AS lexical, coalesce(semantic, false) AS semantic, post_id % 200 <= 30 AS fresh FROM scores FULL JOIN tagged USING (claim_id, post_id))
+SELECT method, count(*) AS n, CAST(sum(coverage) AS BIGINT) AS coverage FROM (SELECT CASE WHEN lexical AND semantic THEN 'hybrid' WHEN lexical THEN 'lexical' WHEN semantic AND fresh THEN 'semantic' ELSE 'none' END AS method, coverage FROM m) GROUP BY method""")
 def match_method(t):
-    a, b = tag_sets(t)
-    scored = scores(t).join(a, "claim_id").join(b, "post_id")
-    found = M.methods(scored, F.col("post_id") % 200, F.size(F.array_intersect("claim_tags", "post_tags")))
-    return found.groupBy(F.coalesce("method", F.lit("none")).alias("method")).agg(F.count("*").alias("n"))
+    found = M.methods(scores(t), tagged(t), posts(t).select("post_id", (F.col("post_id") % 200).alias("age")))
+    return found.groupBy(F.coalesce("method", F.lit("none")).alias("method")).agg(F.count("*").alias("n"), F.sum("coverage").alias("coverage"))
+
+
+def _listed(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-GUARDS = [(r"\b[a-z]+tion\b", r"tion\b"), (r"(?i)\bthe\b", r"(?i)\bthat\b"), (r"(?i)\bque\b", r"(?i)\bde\b"), (r"(?i)\bder\b", r"(?i)\bund\b")]
+#: (selector, all that the text must hold, domains of claims that it is for)
+GUARDS = [(r"\b[a-z]+tion\b", [r"tion\b", r"\b[a-z]+ing\b"], None), (r"\bthe\b", [r"\bthat\b"], ["even"]), (r"\bque\b", [r"\bde\b"], None), (r"\bder\b", [r"\bund\b"], ["even", "odd"])]
 
 
-@query(f"""WITH {SCORES}, r(selector, required) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in GUARDS)}) SELECT claim_id, post_id, NOT EXISTS (SELECT 1 FROM r WHERE regexp_matches(title, selector) AND NOT regexp_matches(text, required)) AS passes
- FROM scores JOIN (SELECT item_id AS claim_id, text AS title FROM benchmark) USING (claim_id) JOIN (SELECT doc_id AS post_id, text FROM documents) USING (post_id) WHERE score >= 4""")
+@query(f"""WITH {SCORES}, r(selector, required, domains) AS (VALUES {', '.join(f"('{a}', {_listed(b)}, {_listed(c or ['even', 'odd'])})" for a, b, c in GUARDS)}) SELECT claim_id, post_id, NOT EXISTS (SELECT 1 FROM r WHERE list_contains(domains, CASE WHEN claim_id % 2 = 0 THEN 'even' ELSE 'odd' END) AND regexp_matches(title, selector)
+ AND NOT list_bool_and(list_transform(required, lambda q: regexp_matches(n, q)))) AS passes
+ FROM scores JOIN (SELECT item_id AS claim_id, {NORM.format('text')} AS title FROM benchmark) USING (claim_id) JOIN (SELECT doc_id AS post_id, {NORM.format('text')} AS n FROM documents) USING (post_id) WHERE score >= 4""")
 def facet_guard(t):
-    pairs = scores(t).where("score >= 4").select("claim_id", "post_id").join(claims(t), "claim_id").join(posts(t), "post_id")
-    rules = pairs.sparkSession.createDataFrame(GUARDS, "selector string, required string")
-    return M.guarded(pairs, rules).select("claim_id", "post_id", "passes")
+    domain = F.when(F.col("claim_id") % 2 == 0, "even").otherwise("odd")
+    return M.guarded(saved(scores(t).where("score >= 4").select("claim_id", "post_id")), claims(t).withColumn("domain", domain), posts(t), GUARDS)
 
 
 @query(f"""SELECT family, doc_id AS post_id FROM (SELECT doc_id, {_tag_sql('n')} AS y, n FROM (SELECT doc_id, {NORM.format('text')} AS n FROM documents)) JOIN (VALUES ('prose', ['article', 'ending'], ['thread', 'number'], 'th[a-z]+'), ('mail', ['mail'], ['ending', 'article'], 'example')) f(family, needs, anyof, core)
