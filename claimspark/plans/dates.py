@@ -38,12 +38,15 @@ def recency_rank(t):
     return t("events").select("event_id", D.recency_rank(F.col("ts"), as_of).alias("rank"), D.recency_tier(F.col("ts"), as_of).alias("tier"))
 
 
-@query(
-    f"SELECT o_orderkey, CASE WHEN d < 0 THEN 'dated ahead' WHEN d = 0 THEN 'today' WHEN d = 1 THEN 'yesterday' WHEN d < 60 THEN d || ' days ago' "
-    f"WHEN d < 730 THEN (d // 30) || ' months ago' ELSE (d // 365) || ' years ago' END AS phrase FROM (SELECT o_orderkey, {ORDER_AGE} AS d FROM orders)"
-)
+@query(f"""SELECT o_orderkey, CASE WHEN d <= 0 THEN 'published today' WHEN d = 1 THEN 'published yesterday' WHEN d < 14 THEN 'published ' || d || ' days ago' WHEN d < 61 THEN 'published ' || ((2 * d + 7) // 14) || ' weeks ago'
+ WHEN d < 365 THEN 'published ' || ((d + 15) // 30) || ' months ago' ELSE 'published ' || (t // 10) || CASE WHEN t % 10 = 0 THEN '' ELSE '.' || (t % 10) END || CASE WHEN t = 10 THEN ' year ago' ELSE ' years ago' END END AS phrase,
+ CASE WHEN d <= 1 THEN 'today' WHEN d <= 7 THEN d || ' days ago' WHEN d <= 14 THEN 'this fortnight' WHEN d <= 31 THEN 'this month' WHEN d <= 92 THEN 'this quarter' ELSE ((d + 15) // 30) || ' months ago' END AS card,
+ CASE WHEN d <= 92 THEN d || ' days old' WHEN d <= 365 THEN ((d + 15) // 30) || ' months old' ELSE (t // 10) || '.' || (t % 10) || ' years old' END AS context
+ FROM (SELECT *, (20 * d + 365) // 730 AS t FROM (SELECT o_orderkey, {ORDER_AGE} AS d FROM orders))""")
 def age_phrase(t):
-    return t("orders").select("o_orderkey", D.age_phrase(D.age_days(F.col("o_orderdate"), at(ORDERS_AS_OF))).alias("phrase"))
+    rows = t("orders").select("o_orderkey", D.age_days(F.col("o_orderdate"), at(ORDERS_AS_OF)).alias("d"))
+    d = F.col("d")
+    return rows.select("o_orderkey", D.age_phrase(d).alias("phrase"), D.age_on_card(d).alias("card"), D.age_in_context(d).alias("context"))
 
 
 @query(
@@ -57,9 +60,10 @@ def year_band(t):
 
 @query("""
 WITH x AS (SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, 2 + greatest(0, year(o_orderdate) - 1995) AS b FROM orders)
-SELECT o_orderkey, CASE WHEN b <= 2 THEN list_extract(['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'], m) || ' ' || y
+SELECT o_orderkey, CASE WHEN b <= 2 THEN monthname(make_date(y, m, 1)) || ' ' || y
   WHEN b <= 4 THEN 'Q' || CAST(ceil(m / 3.0) AS INT) || ' ' || y WHEN b <= 7 THEN 'H' || CASE WHEN m <= 6 THEN '1' ELSE '2' END || ' ' || y
   ELSE CASE WHEN m <= 4 THEN 'Early' WHEN m <= 8 THEN 'Mid' ELSE 'Late' END || ' ' || y END AS label,
+  '±' || b || ' months' AS band,
   strftime(last_day(make_date(y, m, 1) + to_months(CAST(b AS INT))), '%Y-%m-%d') AS window_end,
   last_day(make_date(y, m, 1) + to_months(CAST(b AS INT))) < DATE '2001-08-01' AS elapsed FROM x
 """)
@@ -67,7 +71,7 @@ def timing_label(t):
     year, month = F.year("o_orderdate"), F.month("o_orderdate")
     band = D.year_band(year, 1995)
     end = D.window_end(year, month, band)
-    return t("orders").select("o_orderkey", D.timing_label(year, month, band).alias("label"), F.date_format(end, "yyyy-MM-dd").alias("window_end"), (end < F.lit("2001-08-01").cast("date")).alias("elapsed"))
+    return t("orders").select("o_orderkey", D.timing_label(year, month, D.precision(band)).alias("label"), D.band_text(band).alias("band"), F.date_format(end, "yyyy-MM-dd").alias("window_end"), (end < F.lit("2001-08-01").cast("date")).alias("elapsed"))
 
 
 @query(
@@ -98,24 +102,21 @@ def freshness_hours(t):
     return t("events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(fresh).alias("fresh"))
 
 
-RULES = [("round", 14, 0.5), ("floor", 14, 1.0), ("exact", 14, 0.0), ("round30", 30, 0.5), ("floor30", 30, 1.0), ("exact30", 30, 0.0)]
+CEILING = 60
+_AGE = "CASE WHEN rule LIKE 'round%' THEN floor(d + 0.5) WHEN rule LIKE 'floor%' THEN floor(d) ELSE ceil(d) END"
+_PAST = f"CASE WHEN rule LIKE '%>=' THEN {_AGE} >= {CEILING} ELSE {_AGE} > {CEILING} END"
 
 
-@query(
-    "WITH r(rule, ceiling, shift) AS (VALUES " + ", ".join(f"('{a}', {b}, {c})" for a, b, c in RULES) + "), x AS (SELECT o_orderkey, rule, epoch_us(o_orderdate) + CAST((ceiling + shift) * 86400000000 AS BIGINT) AS due "
-    "FROM orders CROSS JOIN r) SELECT rule, count(*) FILTER (due <= epoch_us(TIMESTAMP '2001-08-01 00:00:00')) AS expired, min(due) FILTER (due > epoch_us(TIMESTAMP '2001-08-01 00:00:00')) AS next_due, "
-    "min_by(o_orderkey, CAST(due AS HUGEINT) * 100000000 + o_orderkey) FILTER (due > epoch_us(TIMESTAMP '2001-08-01 00:00:00')) AS next_key FROM x GROUP BY rule"
-)
+@query(f"""WITH r(rule, days) AS (VALUES {', '.join(f"('{k}', {CEILING + v})" for k, v in D.EXPIRY_OFFSETS.items())}),
+x AS (SELECT o_orderkey, rule, epoch_us(o_orderdate) + CAST(days * 86400000000 AS BIGINT) AS due, (epoch_us(TIMESTAMP '2001-08-01 00:00:00') - epoch_us(o_orderdate)) / 86400000000.0 AS d FROM orders CROSS JOIN r)
+SELECT rule, count(*) FILTER (past) AS expired, min(due) FILTER (NOT past) AS next_due, min_by(o_orderkey, CAST(due AS HUGEINT) * 100000000 + o_orderkey) FILTER (NOT past) AS next_key FROM (SELECT *, {_PAST} AS past FROM x) GROUP BY rule""")
 def expiry_rules(t):
-    """When each rule lets a source expire; the rules are a few literal rows."""
-    orders = t("orders")
-    rules = F.explode(F.array(*(F.struct(F.lit(a).alias("rule"), F.lit(int((b + c) * D.DAY_MICROS)).alias("span")) for a, b, c in RULES)))
-    due = orders.select("o_orderkey", "o_orderdate", rules.alias("r")).select("o_orderkey", "r.rule", (F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("r.span")).alias("due"))
-    now = F.unix_micros(at(ORDERS_AS_OF))
-    ahead = F.col("due") > now
-    return due.groupBy("rule").agg(
-        F.count_if(~ahead).alias("expired"), F.min(F.when(ahead, F.col("due"))).alias("next_due"), F.min_by("o_orderkey", F.when(ahead, F.struct("due", "o_orderkey"))).alias("next_key")
-    )
+    """What each way of rounding and comparing ages has let expire, and what it lets expire next."""
+    now = at(ORDERS_AS_OF)
+    each = (F.struct(F.lit(k).alias("rule"), D.expires_at(F.col("o_orderdate"), CEILING, k).alias("due"), D.expired(D.expires_at(F.col("o_orderdate"), CEILING, k), now, k).alias("past")) for k in D.EXPIRY_OFFSETS)
+    rows = t("orders").select("o_orderkey", F.explode(F.array(*each)).alias("x")).select("o_orderkey", "x.*")
+    ahead = ~F.col("past")
+    return rows.groupBy("rule").agg(F.count_if("past").alias("expired"), F.min(F.when(ahead, F.col("due"))).alias("next_due"), F.min_by("o_orderkey", F.when(ahead, F.struct("due", "o_orderkey"))).alias("next_key"))
 
 
 @query(

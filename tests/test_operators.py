@@ -289,3 +289,36 @@ def test_guards(spark):
     pairs = spark.createDataFrame([(c, p) for c in (1, 2, 3, 4) for p in (1, 2, 3, 4)], "claim_id long, post_id long")
     got = {(r.claim_id, r.post_id) for r in matching.guarded(pairs, claims, posts, rules).where("passes").collect()}
     assert got == {(1, 1), (2, 3), *((c, p) for c in (3, 4) for p in (1, 2, 3, 4))}
+
+
+def test_age_wordings(spark):
+    ages = [-2, 0, 1, 7, 8, 13, 14, 31, 45, 60, 61, 92, 93, 364, 365, 366, 400, 730, 1000, None]
+    rows = spark.createDataFrame(list(enumerate(ages)), "i int, d long").orderBy("i")
+    d = F.col("d")
+    got = rows.select(dates.age_phrase(d), dates.age_on_card(d), dates.age_in_context(d)).collect()
+    said = {a: tuple(r) for a, r in zip(ages, got, strict=True)}
+    assert said[-2] == ("published today", "today", "-2 days old") and said[1][:2] == ("published yesterday", "today")
+    assert said[7][1] == "7 days ago" and said[8][1] == "this fortnight" and said[31][1] == "this month" and said[92] == ("published 3 months ago", "this quarter", "92 days old")
+    assert said[13][0] == "published 13 days ago" and said[14][0] == "published 2 weeks ago" and said[60][0] == "published 9 weeks ago" and said[61][0] == "published 2 months ago"
+    assert said[45][1] == "this quarter" and said[93] == ("published 3 months ago", "3 months ago", "3 months old")
+    assert said[365] == ("published 1 year ago", "12 months ago", "12 months old") and said[366][2] == "1.0 years old" and said[400][0] == "published 1.1 years ago"
+    assert said[730][0] == "published 2 years ago" and said[1000][2] == "2.7 years old" and said[None] == (None, "", None)
+
+
+def test_timing(spark):
+    rows = spark.createDataFrame([(2026, 5, 1, "month"), (2027, 6, 3, "quarter"), (2029, 7, None, "half"), (2033, 8, 12, "year"), (2033, 13, 1, "month"), (2033, None, 1, "month")], "y int, m int, b long, p string")
+    y, m, b = F.col("y"), F.col("m"), F.col("b")
+    got = [tuple(map(str, r)) for r in rows.select(dates.timing_label(y, m, F.col("p")), dates.band_text(b), dates.window_end(y, m, b)).collect()]
+    assert got == [("May 2026", "±1 month", "2026-06-30"), ("Q2 2027", "±3 months", "2027-09-30"), ("H2 2029", "", "2029-07-31"), ("Mid 2033", "±12 months", "2034-08-31"), ("None", "±1 month", "None"), ("None", "±1 month", "None")]
+
+
+def test_expiry_instants_agree_with_rounded_ages(spark):
+    rows = spark.range(0, 400).select((F.col("id") * F.lit(21_600_000_000)).alias("age"))  # steps of six hours
+    as_of = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    ts = F.timestamp_micros(F.unix_micros(as_of) - F.col("age"))
+    days = F.col("age") / dates.DAY_MICROS
+    by = {"round": F.floor(days + 0.5), "floor": F.floor(days), "ceil": F.ceil(days)}
+    for rule in dates.EXPIRY_OFFSETS:
+        age = by[rule.rstrip(">=")]
+        past = age >= 14 if rule.endswith("=") else age > 14
+        assert rows.where(dates.expired(dates.expires_at(ts, 14, rule), as_of, rule) != past).isEmpty(), rule
