@@ -47,3 +47,44 @@ def agreement(values: dict[str, float | None]) -> list[str]:
 def tightened(registered: float, requested: float | None) -> float:
     """An override may only tighten a registered limit."""
     return registered if requested is None else min(registered, requested)
+
+
+#: Statuses of pages that are no longer there; they end the attempts at a source, as does a host that has no address.
+GONE_STATUS = [404, 410]
+
+
+def attempt_kind(ok: Column, challenged: Column, status: Column, code: Column, reason: Column) -> Column:
+    """What an attempt to read a source came to: read, challenge (an interstitial in place of the page), gone, dns, http
+    (an answer without a page), or network (no answer). A resolver that didn't answer is network, never dns; the text of
+    the reason counts only where there is neither code nor status."""
+    unnamed = code.isNull() & status.isNull() & F.coalesce(reason, F.lit("")).rlike(r"\bENOTFOUND\b")
+    held = F.coalesce(ok, F.lit(False))
+    return (
+        F.when(held & ~F.coalesce(challenged, F.lit(False)), "read")
+        .when(held, "challenge")
+        .when(status.isin(GONE_STATUS), "gone")
+        .when((code == "ENOTFOUND") | unnamed, "dns")
+        .when(status.isNotNull(), "http")
+        .otherwise("network")
+    )
+
+
+def attempt_outcomes(attempts: DataFrame, by: list[str], place: Column, kind: Column) -> DataFrame:
+    """by, outcome, fault, decided_at, attempts: attempts at each source as one. A read wins, then the first that is final (gone, dns:
+    the evidence is at fault), then what the last one came to (infrastructure, to be tried again). decided_at
+    is the place of the attempt that decides."""
+    rows = attempts.select(*by, place.alias("_place"), kind.alias("_kind"))
+    of = lambda *kinds: F.when(F.col("_kind").isin(*kinds), F.struct("_place", "_kind"))
+    found = rows.groupBy(*by).agg(F.min(of("read")).alias("read"), F.min(of("gone", "dns")).alias("final"), F.max(F.struct("_place", "_kind")).alias("last"), F.count("*").alias("attempts"))
+    decides = F.coalesce("read", "final", "last")
+    fault = F.when(F.col("read").isNotNull(), "none").when(F.col("final").isNotNull(), "evidence").otherwise("infrastructure")
+    return found.select(*by, decides["_kind"].alias("outcome"), fault.alias("fault"), decides["_place"].alias("decided_at"), "attempts")
+
+
+def after_pivot(rows: DataFrame, by: list[str], place: Column, pivot: Column, forbidden: Column, unless: Column, strictly: bool = False) -> DataFrame:
+    """Rows that are forbidden, and not excused by `unless`, once the first pivot row of their group is reached, or after
+    it if strictly. Groups without a pivot row forbid nothing; nulls are no match."""
+    first = rows.groupBy(*by).agg(F.min(F.when(pivot, place)).alias("_first")).where("_first is not null")
+    suspect = rows.where(forbidden & ~F.coalesce(unless, F.lit(False))).withColumn("_place", place)
+    later = F.col("_place") > F.col("_first") if strictly else F.col("_place") >= F.col("_first")
+    return suspect.join(first, by).where(later).drop("_place", "_first")

@@ -50,6 +50,29 @@ def ranked(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
 
 
+def candidate_order(direct: Column, authorship: Column, coverage: Column, concepts: Column, score: Column, recency: Column, created: Column, unique: Column) -> list[Column]:
+    """The order of a claim's candidates: direct ones first, then by rank of authorship, coverage, points of concepts,
+    score, rank of recency and time, each from the largest, what is missing last; then by a unique column."""
+    return [*(c.desc_nulls_last() for c in (direct, authorship, coverage, concepts, score, recency, created)), unique.asc()]
+
+
+#: Kinds of entries about one post, the most telling first.
+KINDS = ["post", "repost", "like", "bookmark"]
+
+
+def one_of_each(entries: DataFrame, by: list[str], kind: Column, post: Column, activity: Column, arrival: Column) -> DataFrame:
+    """One entry of each group: a repost that names an activity of its own, which tells more about where it comes from
+    than any other; else the most telling kind; of equals the first to arrive (arrival must be unique in a group).
+
+    An aggregate, not a window: summed before the shuffle however many entries a group has."""
+    richer = F.coalesce((kind == "repost") & (activity != post), F.lit(False))
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, KINDS)), kind), F.lit(0))
+    rank = F.when(rank == 0, len(KINDS) + 1).otherwise(rank)
+    order = F.struct((~richer).alias("poorer"), rank.alias("rank"), arrival.alias("arrival"))
+    others = [c for c in entries.columns if c not in by]
+    return entries.groupBy(*by).agg(F.min_by(F.struct(*others), order).alias("_row")).select(*by, "_row.*")
+
+
 def apportion(counts: DataFrame, group: str, item: str, n: str) -> DataFrame:
     """counts with whole percents of their group that sum to 100: floors, then one more for the largest remainders."""
     of = Window.partitionBy(group)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from claimspark.functions.dates import recency_rank
+from claimspark.operators import audit as U
 from claimspark.operators import views as V
 
 from .dates import ORDERS_AS_OF, at
@@ -78,12 +80,22 @@ def rubric_score(t):
     return sums.select("user_id", F.col("a").cast("long").alias("attention"), F.col("b").cast("long").alias("trade"), F.floor(100.0 * total / 60 + 0.5).cast("long").alias("percent"), phase.alias("phase"), checks.alias("checklist"))
 
 
-@query("""SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'read' WHEN bool_or(event_type = 'signup') THEN 'gone' WHEN arg_max(event_type, event_id) = 'error' THEN 'infrastructure' ELSE 'last: ' || arg_max(event_type, event_id) END AS outcome, count(*) AS attempts FROM events GROUP BY user_id""")
+LOG = """SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS run, event_id, event_type = 'purchase' AS ok, value < 20 AS challenged, CASE event_type WHEN 'click' THEN 429 WHEN 'view' THEN [404, 403, 410, 503, 200, 401, 500][event_id % 7 + 1] END AS status,
+ CASE WHEN event_type = 'error' THEN ['ENOTFOUND', 'EAI_AGAIN', NULL, 'ETIMEDOUT'][event_id % 4 + 1] END AS code, CASE WHEN event_type IN ('error', 'click') THEN 'getaddrinfo ENOTFOUND host' END AS reason FROM events"""
+
+
+@query(f"""WITH kinds AS (SELECT *, CASE WHEN ok THEN CASE WHEN challenged THEN 'challenge' ELSE 'read' END WHEN status = 404 OR status = 410 THEN 'gone' WHEN code = 'ENOTFOUND' OR (code IS NULL AND status IS NULL AND contains(reason, 'ENOTFOUND')) THEN 'dns' WHEN status > 0 THEN 'http' ELSE 'network' END AS kind FROM ({LOG})),
+places AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY kind <> 'read', kind NOT IN ('gone', 'dns'), CASE WHEN kind IN ('read', 'gone', 'dns') THEN event_id ELSE -event_id END) AS place, count(*) OVER (PARTITION BY user_id, run) AS attempts FROM kinds)
+SELECT user_id, run, kind AS outcome, CASE WHEN kind = 'read' THEN 'none' WHEN kind IN ('gone', 'dns') THEN 'evidence' ELSE 'infrastructure' END AS fault, event_id AS decided_at, attempts FROM places WHERE place = 1""")
 def attempt_outcome(t):
-    """Attempts at one source as one outcome: success wins, then what is final, then the last attempt's class."""
-    kind, last = F.col("event_type"), F.max_by("event_type", "event_id")
-    outcome = F.when(F.bool_or(kind == "purchase"), "read").when(F.bool_or(kind == "signup"), "gone").when(last == "error", "infrastructure").otherwise(F.concat(F.lit("last: "), last))
-    return t("events").groupBy("user_id").agg(outcome.alias("outcome"), F.count("*").alias("attempts"))
+    """A crawl log, made from events, a source being a user and a run a day."""
+    kind, k = F.col("event_type"), F.col("event_id")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (k % n + 1).cast("int"))
+    status = F.when(kind == "click", 429).when(kind == "view", pick([404, 403, 410, 503, 200, 401, 500], 7))
+    code = F.when(kind == "error", pick(["ENOTFOUND", "EAI_AGAIN", None, "ETIMEDOUT"], 4))
+    reason = F.when(kind.isin("error", "click"), "getaddrinfo ENOTFOUND host")
+    log = t("events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("run"), "event_id", U.attempt_kind(kind == "purchase", F.col("value") < 20, status, code, reason).alias("kind"))
+    return U.attempt_outcomes(log, ["user_id", "run"], F.col("event_id"), F.col("kind"))
 
 
 @query("""WITH x AS (SELECT o_orderkey, (epoch_us(TIMESTAMP '2001-08-01 00:00:00') - epoch_us(o_orderdate) + (o_orderkey % 24) * 3600000000) / 86400000000.0 AS d FROM orders)
@@ -116,9 +128,16 @@ def conditional_counts(t):
 # --- windows ----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority = '1-URGENT' DESC, o_orderstatus, o_totalprice DESC, o_orderdate DESC, o_orderkey) AS place FROM orders")
+@query("""SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, -(o_orderkey % 3), CASE WHEN o_orderkey % 6 = 0 THEN 9 ELSE -(o_orderkey % 5) END, -floor(o_totalprice / 50000),
+ CASE WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-01') <= 1 THEN 0 WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-01') <= 7 THEN 1 WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-01') <= 30 THEN 2 WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-01') <= 180 THEN 3 ELSE 4 END, o_orderdate DESC, o_orderkey) AS place FROM orders""")
 def rank_candidates(t):
-    return V.ranked(t("orders"), "o_custkey", [(F.col("o_orderpriority") == "1-URGENT").desc(), F.col("o_orderstatus"), F.col("o_totalprice").desc(), F.col("o_orderdate").desc(), F.col("o_orderkey")]).select("o_orderkey", "place")
+    """Candidates of a customer in the order of candidates of a claim; the keys are made from orders."""
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    authorship = F.when(status == "F", 2).when(status == "O", 1).otherwise(0)
+    concepts = F.when(k % 6 != 0, k % 5)
+    recency = recency_rank(F.col("o_orderdate"), at("1998-08-01 00:00:00"))
+    order = V.candidate_order(F.col("o_orderpriority") == "1-URGENT", authorship, k % 3, concepts, F.floor(F.col("o_totalprice") / 50000), recency, F.col("o_orderdate"), k)
+    return V.ranked(t("orders"), "o_custkey", order).select("o_orderkey", "place")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, place FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem) WHERE place <= 3")
@@ -127,13 +146,14 @@ def top3(t):
     return ranked.where("place <= 3").select("l_orderkey", "l_linenumber", "l_partkey", "place")
 
 
-@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'click' THEN 2 ELSE 3 END, event_id) AS rn FROM events) WHERE rn = 1")
+@query("""SELECT event_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY CASE WHEN kind = 'repost' AND event_id % 3 <> 0 THEN 0 ELSE 1 END, CASE kind WHEN 'post' THEN 0 WHEN 'repost' THEN 1 WHEN 'like' THEN 2 WHEN 'bookmark' THEN 3 ELSE 4 END, event_id) AS rn FROM
+ (SELECT *, CASE event_type WHEN 'purchase' THEN 'post' WHEN 'signup' THEN 'repost' WHEN 'click' THEN 'like' WHEN 'view' THEN 'bookmark' END AS kind FROM events)) WHERE rn = 1""")
 def dedupe_priority(t):
-    """One event of each user and day, of the most telling kind, the earliest of these."""
-    kind = F.col("event_type")
-    rank = F.when(kind == "purchase", 0).when(kind == "signup", 1).when(kind == "click", 2).otherwise(3)
-    # an aggregate, not a window: summed before the shuffle however many events a day has
-    return t("events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min(F.struct(rank.alias("rank"), "event_id")).alias("x")).select("x.event_id")
+    """One entry of each user and day; two of three reposts name an activity of their own."""
+    event, k = F.col("event_type"), F.col("event_id")
+    kind = F.when(event == "purchase", "post").when(event == "signup", "repost").when(event == "click", "like").when(event == "view", "bookmark")
+    entries = t("events").select("user_id", F.to_date("ts").alias("day"), "event_id", kind.alias("kind"))
+    return V.one_of_each(entries, ["user_id", "day"], F.col("kind"), k, k - k % 3, k).select("event_id", "kind")
 
 
 @query("SELECT CAST(y AS BIGINT) AS year, n, n < lag(n) OVER (ORDER BY y) AS narrower FROM (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1)")
@@ -142,12 +162,12 @@ def monotone_lag(t):
     return years.withColumn("narrower", F.col("n") < F.lag("n").over(Window.orderBy("year")))
 
 
-@query("SELECT e.event_id, e.user_id FROM events e JOIN (SELECT user_id, min(event_id) AS first_error FROM events WHERE event_type = 'error' GROUP BY 1) f ON e.user_id = f.user_id AND e.event_id > first_error WHERE event_type = 'purchase' AND value < 100")
+@query("SELECT e.event_id, e.user_id FROM events e JOIN (SELECT user_id, min(event_id) AS first_error FROM events WHERE event_type = 'error' GROUP BY 1) f ON e.user_id = f.user_id AND e.event_id > first_error WHERE event_type = 'purchase' AND value < 100 AND NOT coalesce(CAST(json_extract_string(props, '$.k') AS INT) < 20, false)")
 def after_first_event(t):
-    """Rows that a rule forbids once another kind has occurred."""
-    events = t("events")
-    first = events.where("event_type = 'error'").groupBy("user_id").agg(F.min("event_id").alias("first_error"))
-    return events.where("event_type = 'purchase' and value < 100").join(first, "user_id").where("event_id > first_error").select("event_id", "user_id")
+    """Small purchases after a user's first error, unless their properties excuse them."""
+    kind = F.col("event_type")
+    excused = F.get_json_object("props", "$.k").try_cast("int") < 20
+    return U.after_pivot(t("events"), ["user_id"], F.col("event_id"), kind == "error", (kind == "purchase") & (F.col("value") < 100), excused, strictly=True).select("event_id", "user_id")
 
 
 @query("""WITH s AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY c_nationkey) AS exact FROM customer GROUP BY 1, 2),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimspark.functions import dates, html, quantities, text, urls
-from claimspark.operators import articles, audit, evidence, matching
+from claimspark.operators import articles, audit, evidence, matching, views
 from claimspark.operators.tables import saved
 from claimspark.plans import registry
 from claimspark.sources import forecasts
@@ -322,3 +322,40 @@ def test_expiry_instants_agree_with_rounded_ages(spark):
         age = by[rule.rstrip(">=")]
         past = age >= 14 if rule.endswith("=") else age > 14
         assert rows.where(dates.expired(dates.expires_at(ts, 14, rule), as_of, rule) != past).isEmpty(), rule
+
+
+def test_attempts(spark):
+    log = [
+        ("a", 1, False, None, 503, None, None), ("a", 2, True, False, 200, None, None), ("a", 3, False, None, 404, None, None),
+        ("b", 1, False, None, 429, None, None), ("b", 2, False, None, 410, None, None), ("b", 3, False, None, None, "ETIMEDOUT", None),
+        ("c", 1, False, None, None, "ENOTFOUND", None), ("d", 1, False, None, None, "EAI_AGAIN", "getaddrinfo ENOTFOUND d"), ("e", 1, False, None, None, None, "getaddrinfo ENOTFOUND e"),
+        ("f", 1, False, None, 403, None, "ENOTFOUND"), ("f", 2, True, True, 200, None, None), ("g", 1, None, None, None, None, None),
+    ]
+    rows = spark.createDataFrame(log, "source string, n int, ok boolean, challenged boolean, status int, code string, reason string")
+    kind = audit.attempt_kind(*(F.col(c) for c in ("ok", "challenged", "status", "code", "reason")))
+    got = {tuple(r) for r in audit.attempt_outcomes(rows, ["source"], F.col("n"), kind).collect()}
+    assert got == {
+        ("a", "read", "none", 2, 3), ("b", "gone", "evidence", 2, 3), ("c", "dns", "evidence", 1, 1), ("d", "network", "infrastructure", 1, 1), ("e", "dns", "evidence", 1, 1),
+        ("f", "challenge", "infrastructure", 2, 2), ("g", "network", "infrastructure", 1, 1),
+    }
+
+
+def test_pivot(spark):
+    rows = spark.createDataFrame([(1, 2030, "automation career"), (1, 2029, "career"), (1, 2031, "career with meaning"), (1, 2032, "career"), (2, 2040, "career"), (1, 2033, None)], "g int, year int, text string")
+    has = lambda w: F.contains("text", F.lit(w))
+    year = lambda strictly: sorted(r.year for r in audit.after_pivot(rows, ["g"], F.col("year"), has("automation"), has("career"), has("meaning"), strictly).collect())
+    assert year(False) == [2030, 2032] and year(True) == [2032]
+
+
+def test_one_of_each(spark):
+    rows = [(1, "like", None, 1), (1, "post", None, 2), (1, "post", None, 3), (2, "post", 2, 4), (2, "repost", 20, 5), (2, "repost", 21, 6), (3, "repost", 3, 7), (3, "bookmark", None, 8), (4, "other", None, 9), (4, "bookmark", None, 10), (5, None, None, 11)]
+    df = spark.createDataFrame(rows, "post long, kind string, activity long, n long")
+    got = {r.post: r.n for r in views.one_of_each(df, ["post"], F.col("kind"), F.col("post"), F.col("activity"), F.col("n")).collect()}
+    assert got == {1: 2, 2: 5, 3: 7, 4: 10, 5: 11}
+
+
+def test_candidate_order(spark):
+    rows = [(1, False, 3, 1.0, 9.0, 9.0, 4, 9), (2, True, 0, None, 0.0, 0.0, 0, 0), (3, False, 3, 1.0, 9.0, 9.0, 4, 9), (4, False, 3, 1.0, None, 99.0, 4, 9), (5, False, 3, 2.0, 0.0, 0.0, 0, 0), (6, False, 3, 1.0, 9.0, 9.0, 4, 10)]
+    df = spark.createDataFrame([(0, *r) for r in rows], "claim int, id int, direct boolean, authorship int, coverage double, concepts double, score double, recency int, created int")
+    order = views.candidate_order(*(F.col(c) for c in ("direct", "authorship", "coverage", "concepts", "score", "recency", "created", "id")))
+    assert [r.id for r in views.ranked(df, "claim", order).orderBy("place").collect()] == [2, 5, 6, 1, 3, 4]
