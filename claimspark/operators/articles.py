@@ -25,26 +25,43 @@ def articles(pages: DataFrame) -> DataFrame:
     )
 
 
-def host_gate(urls: DataFrame, rejected: DataFrame) -> DataFrame:
-    """urls (page_id, url) with ok and reason. rejected: (host, why), a small table; a url is out if its host or anything
-    it is a subdomain of is listed, or by its form."""
-    gated = urls.withColumn("host", U.host(F.col("url")))
-    listed = gated.select("page_id", F.explode(U.host_suffixes(F.col("host"))).alias("h")).join(rejected, F.col("h") == rejected["host"]).groupBy("page_id").agg(F.max_by("why", F.length("h")).alias("why"))
-    path = F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1)
-    reason = F.when(~F.col("url").rlike("^https?://"), "protocol").when(F.col("why").isNotNull(), F.col("why")).when(F.col("host").rlike(r"^(m|amp)\."), "mobile host").when(path.isin("", "/"), "site root")
-    return gated.join(listed, "page_id", "left").select("page_id", "host", reason.isNull().alias("ok"), reason.alias("reason"))
-
-
-def redirects(edges: DataFrame, starts: DataFrame, most: int = 6) -> DataFrame:
-    """(start, final, hops, reason) following edges (src, dst): reason is loop, too many hops, or null. edges has one row
-    a src; each hop is a join, so nothing is iterated on the driver."""
-    now = starts.select(F.col("start"), F.col("start").alias("at"), F.lit(0).alias("hops"), F.array("start").alias("seen"), F.lit(None).cast("string").alias("reason"))
+# fixed values: hosts, then urls, that are no publisher's original whatever their name
+HOST_FORMS = [(r"(?i)(^|\.)(amp|amp-cdn)\.", "AMP mirror"), (r"(?i)(^|\.)(webcache|cache)\.", "cache mirror"), (r"(?i)(^|\.)translate\.", "translation proxy"), (r"(?i)(^|\.)(m|mobile)\.facebook\.com$", "social platform")]
+URL_FORMS = [(r"(?i)/amp(/|$|\.html)", "AMP rendition"), (r"(?i)^https?://[^/]*/?$", "site root")]
+
+
+def host_gate(urls: DataFrame, rejected: DataFrame, key: str = "page_id") -> DataFrame:
+    """urls (key, url), one row a key, with host, ok and reason. rejected: (host, why), a small table; a url is out if it
+    can't be read or isn't http, if its host or anything it is a subdomain of is listed (the longest tells why), or by the
+    form of host or url, in this order."""
+    gated = urls.select(key, "url", U.host(F.col("url")).alias("host"))
+    listed = gated.select(key, F.explode(U.host_suffixes(F.col("host"))).alias("_h")).join(rejected.select(F.col("host").alias("_h"), "why"), "_h").groupBy(key).agg(F.max_by("why", F.length("_h")).alias("why"))
+    scheme = F.lower(F.regexp_extract("url", "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    reason = F.when(F.coalesce(F.col("host"), F.lit("")) == "", "unparsable").when(~scheme.isin("http", "https"), "protocol").when(F.col("why").isNotNull(), F.col("why"))
+    for form, why in HOST_FORMS:
+        reason = reason.when(F.col("host").rlike(form), why)
+    for form, why in URL_FORMS:
+        reason = reason.when(F.col("url").rlike(form), why)
+    return gated.join(listed, key, "left").select(key, "host", reason.isNull().alias("ok"), reason.alias("reason"))
+
+
+def redirects(edges: DataFrame, starts: DataFrame, most: int = 6, rejected: DataFrame | None = None) -> DataFrame:
+    """(start, final, hops, reason) following edges (src, dst): reason is loop, too many hops, rejected: and why, or null.
+    edges has one row a src; each hop is a join, so nothing is iterated on the driver. rejected: (node, why), as of
+    host_gate(); each node on the way is held against it, the start too, and a rejected one is never left."""
+    if rejected is None:
+        gated, now = edges.withColumn("why", F.lit(None).cast("string")), starts.withColumn("why", F.lit(None).cast("string"))
+    else:
+        gate = rejected.select("node", F.concat(F.lit("rejected: "), "why").alias("why"))
+        gated, now = edges.join(gate, F.col("dst") == F.col("node"), "left"), starts.join(gate, F.col("start") == F.col("node"), "left")
+    gated = gated.select("src", "dst", "why")
+    now = now.select(F.col("start"), F.col("start").alias("at"), F.lit(0).alias("hops"), F.array("start").alias("seen"), F.col("why").alias("reason"))
     for _ in range(most):
-        step = now.join(edges, F.when(F.col("reason").isNull(), F.col("at")) == F.col("src"), "left")
+        step = now.join(gated, F.when(F.col("reason").isNull(), F.col("at")) == F.col("src"), "left")
         loop = F.array_contains("seen", F.col("dst"))
         now = step.select(
             "start", F.when(F.col("dst").isNull() | loop, F.col("at")).otherwise(F.col("dst")).alias("at"), (F.col("hops") + F.when(F.col("dst").isNotNull() & ~loop, 1).otherwise(0)).alias("hops"),
-            F.when(F.col("dst").isNull(), F.col("seen")).otherwise(F.array_append("seen", F.col("dst"))).alias("seen"), F.coalesce("reason", F.when(loop, "loop")).alias("reason"),
+            F.when(F.col("dst").isNull(), F.col("seen")).otherwise(F.array_append("seen", F.col("dst"))).alias("seen"), F.coalesce("reason", F.when(loop, "loop").otherwise(F.col("why"))).alias("reason"),
         )
     more = edges.select(F.col("src").alias("_src"))
     left = now.join(more, F.when(F.col("reason").isNull(), F.col("at")) == F.col("_src"), "left")

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from claimspark.functions.urls import registrable_host
+from claimspark.operators import audit
+from claimspark.operators.articles import host_gate
 from pyspark.sql.window import Window
 
 from claimspark.functions import dates as D
@@ -63,3 +67,42 @@ def unmatched(left: DataFrame, right: DataFrame, on: str, rule: str) -> DataFram
 def reuse(mappings: DataFrame, source: str) -> DataFrame:
     """(uses, sources): how many sources are used how often."""
     return mappings.groupBy(source).agg(F.count("*").alias("uses")).groupBy("uses").agg(F.count("*").alias("sources"))
+
+
+def reviewed_override(candidates: DataFrame, approvals: DataFrame, entries: DataFrame) -> DataFrame:
+    """(claim_id, approved, left_over) of each claim with candidates (claim_id, post_id) or an approval that holds.
+
+    A reviewed pair (approvals: claim_id, activity_id, post_id) stands in place of a claim's ranked candidates, if entries
+    (activity_id, post_id) hold that activity with that very post; of several the smallest post. Other claims have none
+    approved. left_over counts the candidates less the approved one, 0 at least."""
+    held = approvals.join(entries.select("activity_id", "post_id").distinct(), ["activity_id", "post_id"], "left_semi").groupBy("claim_id").agg(F.min("post_id").alias("approved"))
+    counts = candidates.groupBy("claim_id").agg(F.count("*").alias("_n"))
+    n = F.coalesce("_n", F.lit(0)) - F.when(F.col("approved").isNotNull(), 1).otherwise(0)
+    return counts.join(held, "claim_id", "full").select("claim_id", "approved", F.greatest(n, F.lit(0)).cast("long").alias("left_over"))
+
+
+def ledger_problems(mappings: DataFrame, sources: DataFrame, claims: DataFrame, reserved: DataFrame, rejected: DataFrame, ceiling: int, types: list[str], qualities: list[str], transports: list[str]) -> DataFrame:
+    """(rule, key): what is wrong with a reviewed ledger; a key is a claim or a source, a row for each rule that it breaks.
+
+    mappings: claim_id, source, evidence_type, rationale, reviewed_at, reuse_family, verified_at; sources: source, url,
+    publisher_host, quality, transport (null: https); claims and reserved (claims whose evidence has been reviewed
+    elsewhere): claim_id; rejected: as in host_gate(). Of a mapping to an unknown source no more is said."""
+    known = sources.select("source", F.lit(True).alias("_source")).distinct()
+    rows = mappings.join(claims.select("claim_id", F.lit(True).alias("_claim")).distinct(), "claim_id", "left").join(reserved.select("claim_id", F.lit(True).alias("_reserved")).distinct(), "claim_id", "left").join(known, "source", "left")
+    sound = F.col("_source").isNotNull()
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    of_claims = audit.violations(rows, "claim_id", {
+        "unknown claim": F.col("_claim").isNull(), "displaces a reviewed one": F.col("_reserved").isNotNull(), "unknown source": ~sound,
+        "bad type": sound & ~F.coalesce(F.col("evidence_type").isin(types), F.lit(False)),
+        "incomplete": sound & (blank("rationale") | blank("reviewed_at") | blank("reuse_family") | blank("verified_at")),
+    })
+    family = F.coalesce("reuse_family", F.lit(""))
+    uses = mappings.groupBy("source").agg(F.count("*").alias("_n"), (F.min(family) != F.max(family)).alias("_mixed"))
+    gate = host_gate(sources, rejected, "source").select("source", "ok", "host")
+    held = sources.select("source", "publisher_host", "quality", "transport").join(uses, "source", "left").join(gate, "source")
+    of_sources = audit.violations(held, "source", {
+        "unused": F.col("_n").isNull(), "bad quality": ~F.coalesce(F.col("quality").isin(qualities), F.lit(False)), "bad transport": ~F.lower(F.coalesce("transport", F.lit("https"))).isin(transports),
+        "gated host": ~F.col("ok"), "host differs": F.col("ok") & (registrable_host(F.col("host")) != registrable_host(F.lower(F.coalesce("publisher_host", F.lit(""))))),
+        "over ceiling": F.col("_n") > ceiling, "mixed families": F.col("_mixed"),
+    })
+    return of_claims.union(of_sources)

@@ -197,12 +197,17 @@ def partition_check(t):
     return joined.select("c_custkey", F.coalesce("n", F.lit(0)).alias("channels")).where("channels <> 1")
 
 
-@query("SELECT doc_id, item_id AS approved, left_over FROM (SELECT d.doc_id, CASE WHEN l.quality = 1 THEN d.doc_id % 7 END AS item_id, CASE WHEN l.quality = 1 THEN d.doc_id % 5 ELSE 1 + d.doc_id % 5 END AS left_over FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)")
+@query("""WITH a AS (SELECT o_custkey, min(CASE WHEN l_suppkey % 4 <> 0 THEN l_orderkey END) AS approved FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND l_quantity > 40 GROUP BY 1)
+SELECT o.o_custkey AS claim_id, any_value(approved) AS approved, count(*) FILTER (o_orderstatus <> 'P' AND o_orderkey IS DISTINCT FROM approved) + CASE WHEN any_value(approved) IS NOT NULL AND NOT bool_or(o_orderkey = approved AND o_orderstatus <> 'P') AND count(*) FILTER (o_orderstatus <> 'P') > 0 THEN -1 ELSE 0 END AS left_over
+FROM orders o LEFT JOIN a ON o.o_custkey = a.o_custkey GROUP BY 1 HAVING count(*) FILTER (o_orderstatus <> 'P') > 0 OR any_value(approved) IS NOT NULL""")
 def reviewed_override(t):
-    """A reviewed pair replaces a claim's ranked candidates; the rest have none approved, and how many are left is told."""
-    docs = t("documents").select("doc_id", (1 + F.col("doc_id") % 5).alias("candidates"))
-    approved = t("labels").where("quality = 1").select("doc_id", (F.col("doc_id") % 7).alias("approved"))
-    return docs.join(approved, "doc_id", "left").select("doc_id", "approved", (F.col("candidates") - F.when(F.col("approved").isNotNull(), 1).otherwise(0)).alias("left_over"))
+    """Customers as claims, their orders as candidates unless pending, large first lines as reviewed pairs; a fourth of
+    these names a post that the activity isn't."""
+    orders = t("orders")
+    large = t("lineitem").where("l_linenumber = 1 and l_quantity > 40").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    approvals = large.select(F.col("o_custkey").alias("claim_id"), F.col("l_orderkey").alias("activity_id"), (F.col("l_orderkey") + F.when(F.col("l_suppkey") % 4 == 0, 1).otherwise(0)).alias("post_id"))
+    entries = orders.select(F.col("o_orderkey").alias("activity_id"), F.col("o_orderkey").alias("post_id"))
+    return E.reviewed_override(orders.where("o_orderstatus <> 'P'").select(F.col("o_custkey").alias("claim_id"), F.col("o_orderkey").alias("post_id")), approvals, entries)
 
 
 @query("""SELECT o_orderkey, reason FROM (SELECT o_orderkey, unnest(list_filter([CASE WHEN o_totalprice < 5000 THEN 'price' END, CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN 'pending urgent' END,
@@ -223,21 +228,28 @@ def window_rules(t):
     return broken.select("claim_id", F.when(F.col("channel") == "cited", "cited beyond window").otherwise("context within window").alias("rule"))
 
 
-@query("""SELECT rule, n FROM (SELECT 'source unknown' AS rule, count(*) FILTER (c_custkey IS NULL) AS n FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 9 <> 0) c ON o_custkey = c_custkey UNION ALL
- SELECT 'bad status', count(*) FILTER (o_orderstatus = 'P') FROM orders UNION ALL SELECT 'over ceiling', (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 12)) UNION ALL
- SELECT 'unused', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders))""")
+SEGMENTS = "('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY')"
+
+
+@query(f"""WITH m AS (SELECT *, CASE WHEN o_orderkey % 40 = 0 THEN -1 ELSE o_custkey END AS source, CASE WHEN o_custkey % 4 = 0 THEN o_orderstatus ELSE 'x' END AS family FROM orders),
+u AS (SELECT c_custkey, c_mktsegment, count(o_orderkey) AS n, count(DISTINCT family) AS families FROM customer LEFT JOIN m ON source = c_custkey GROUP BY ALL)
+SELECT rule, n FROM (SELECT 'unknown claim' AS rule, count(*) AS n FROM m WHERE o_orderkey % 50 = 1 UNION ALL SELECT 'displaces a reviewed one', count(*) FROM m WHERE o_totalprice > 300000 UNION ALL SELECT 'unknown source', count(*) FROM m WHERE source NOT IN (SELECT c_custkey FROM customer)
+ UNION ALL SELECT 'bad type', count(*) FROM m WHERE source <> -1 AND o_orderpriority = '5-LOW' UNION ALL SELECT 'incomplete', count(*) FROM m WHERE source <> -1 AND o_orderkey % 30 = 0 UNION ALL SELECT 'unused', count(*) FROM u WHERE n = 0
+ UNION ALL SELECT 'bad quality', count(*) FROM u WHERE c_mktsegment NOT IN {SEGMENTS} UNION ALL SELECT 'bad transport', count(*) FROM u WHERE c_custkey % 7 = 0 UNION ALL SELECT 'gated host', count(*) FROM u WHERE c_custkey % 10 < 2 UNION ALL SELECT 'host differs', count(*) FROM u WHERE c_custkey % 10 = 2
+ UNION ALL SELECT 'over ceiling', count(*) FROM u WHERE n > 12 UNION ALL SELECT 'mixed families', count(*) FROM u WHERE families > 1) WHERE n > 0""")
 def ledger_audit(t):
-    orders, customer = t("orders"), t("customer")
-    rule = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("rule"), "n")
-    known = customer.where("c_custkey % 9 <> 0")
-    used = F.col("o_custkey") == F.col("c_custkey")
-    found = [
-        rule("source unknown", orders.join(known, used, "left_anti")),
-        rule("bad status", orders.where("o_orderstatus = 'P'")),
-        rule("over ceiling", orders.groupBy("o_custkey").count().where("count > 12")),
-        rule("unused", customer.join(orders, used, "left_anti")),
-    ]
-    return found[0].union(found[1]).union(found[2]).union(found[3])
+    """Orders as mappings of claims to sources, customers as sources: how many keys break each rule of a reviewed ledger."""
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    mappings = t("orders").select(
+        k.alias("claim_id"), F.when(k % 40 == 0, -1).otherwise(F.col("o_custkey")).alias("source"), F.col("o_orderpriority").alias("evidence_type"), F.when(k % 30 != 0, "because").alias("rationale"),
+        F.col("o_orderdate").alias("reviewed_at"), F.when(F.col("o_custkey") % 4 == 0, F.col("o_orderstatus")).otherwise("x").alias("reuse_family"), F.col("o_orderdate").alias("verified_at"),
+    )
+    url = F.when(c % 10 == 0, "https://shop.cheap-pills.example.com/a").when(c % 10 == 1, "https://news.example.com/amp/a").when(c % 10 == 2, "https://www.other.org/a").otherwise("https://news.example.com/a")
+    sources = t("customer").select(c.alias("source"), url.alias("url"), F.lit("Example.com").alias("publisher_host"), F.col("c_mktsegment").alias("quality"), F.when(c % 7 == 0, "pigeon").when(c % 7 != 1, "HTTPS").alias("transport"))
+    claims, reserved = t("orders").where(k % 50 != 1).select(k.alias("claim_id")), t("orders").where("o_totalprice > 300000").select(k.alias("claim_id"))
+    rejected = F.broadcast(mappings.sparkSession.createDataFrame([("cheap-pills.example.com", "shop")], "host string, why string"))
+    found = E.ledger_problems(mappings, sources, claims, reserved, rejected, 12, ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"], ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY"], ["https", "browser"])
+    return found.groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT (SELECT count(*) FROM {CHANNELS} WHERE channel = 'cited') AS published, count(*) AS recounted, (SELECT count(*) FROM {CHANNELS} WHERE channel = 'cited') = count(*) AS agree FROM {MAPPED} WHERE date_diff('day', CAST(published_at AS DATE), DATE '2001-08-01') <= {CEILING}")

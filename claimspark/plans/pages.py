@@ -95,8 +95,13 @@ def url_norm(t):
 REJECTED = [("cheap-pills.example.com", "shop"), ("casino-win.example.org", "betting"), ("free-bets.example.com", "betting"), ("adult-x.example.net", "adult"), ("ads-track.example.org", "tracker")]
 
 
-@query(rf"""SELECT page_id, host, reason IS NULL AS ok, reason FROM (SELECT page_id, host, CASE WHEN NOT regexp_matches(url, '^https?://') THEN 'protocol' {' '.join(f"WHEN host = '{h}' OR host LIKE '%.{h}' THEN '{w}'" for h, w in REJECTED)}
- WHEN regexp_matches(host, '^(m|amp)\.') THEN 'mobile host' WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) IN ('', '/') THEN 'site root' END AS reason FROM (SELECT page_id, url, {HOST.format('url')} AS host FROM pages))""")
+GATED = rf"""(SELECT page_id, host, CASE WHEN host = '' THEN 'unparsable' WHEN NOT regexp_matches(url, '^https?:') THEN 'protocol' {' '.join(f"WHEN host = '{h}' OR host LIKE '%.{h}' THEN '{w}'" for h, w in REJECTED)}
+ WHEN host LIKE 'amp.%' OR host LIKE '%.amp.%' OR host LIKE 'amp-cdn.%' OR host LIKE '%.amp-cdn.%' THEN 'AMP mirror' WHEN regexp_matches('.' || host, '\.(web)?cache\.') THEN 'cache mirror' WHEN contains('.' || host, '.translate.') THEN 'translation proxy'
+ WHEN regexp_matches('.' || host, '\.(m|mobile)\.facebook\.com$') THEN 'social platform' WHEN regexp_matches(lower(url), '/amp(/|\.html|$)') THEN 'AMP rendition' WHEN regexp_matches(url, '^https?://[^/]*/?$') THEN 'site root' END AS reason
+ FROM (SELECT page_id, url, {HOST.format('url')} AS host FROM pages))"""
+
+
+@query(f"SELECT page_id, host, reason IS NULL AS ok, reason FROM {GATED}")
 def host_gate(t):
     pages = t("pages").select("page_id", "url")
     return A.host_gate(pages, F.broadcast(pages.sparkSession.createDataFrame(REJECTED, "host string, why string")))
@@ -150,13 +155,17 @@ def host_allowlist(t):
     return hosts.join(retired, "host", "left").join(declared, "host", "left").select("host", verdict.alias("verdict"), "pages")
 
 
-@query("""WITH RECURSIVE e AS (SELECT page_id AS src, CASE WHEN page_id % 17 = 0 THEN page_id + 1 WHEN page_id % 3 = 0 THEN page_id + 3 ELSE page_id + 1 END AS dst FROM pages WHERE page_id % 10 <> 9),
-w AS (SELECT page_id AS start, page_id AS cur, 0 AS hops FROM pages UNION ALL SELECT start, dst, hops + 1 FROM w JOIN e ON cur = src WHERE hops < 6)
-SELECT start, CAST(max_by(cur, hops) AS BIGINT) AS final, CAST(max(hops) AS BIGINT) AS hops, CASE WHEN max(hops) = 6 AND max_by(cur, hops) IN (SELECT src FROM e) THEN 'too many hops' END AS reason FROM w GROUP BY start""")
+@query(f"""WITH RECURSIVE e AS (SELECT page_id AS src, CASE WHEN page_id % 17 = 0 THEN page_id + 1 WHEN page_id % 3 = 0 THEN page_id + 3 ELSE page_id + 1 END AS dst FROM pages WHERE page_id % 10 <> 9),
+g AS (SELECT page_id AS node, reason FROM {GATED} WHERE reason IS NOT NULL),
+w AS (SELECT page_id AS start, page_id AS cur, 0 AS hops FROM pages UNION ALL SELECT start, dst, hops + 1 FROM w JOIN e ON cur = src WHERE hops < 6 AND cur NOT IN (SELECT node FROM g)),
+l AS (SELECT start, max_by(cur, hops) AS final, max(hops) AS hops FROM w GROUP BY start)
+SELECT start, CAST(final AS BIGINT) AS final, CAST(hops AS BIGINT) AS hops, CASE WHEN reason IS NOT NULL THEN 'rejected: ' || reason WHEN hops = 6 AND final IN (SELECT src FROM e) THEN 'too many hops' END AS reason FROM l LEFT JOIN g ON final = node""")
 def redirect_resolve(t):
+    """Pages that lead to others; each hop is held against the gate of hosts."""
     k = F.col("page_id")
     edges = t("pages").where(k % 10 != 9).select(k.alias("src"), F.when(k % 17 == 0, k + 1).when(k % 3 == 0, k + 3).otherwise(k + 1).alias("dst"))
-    return A.redirects(edges, t("pages").select(k.alias("start")))
+    rejected = host_gate(t).where("not ok").select(k.alias("node"), F.col("reason").alias("why"))
+    return A.redirects(edges, t("pages").select(k.alias("start")), rejected=rejected)
 
 
 @query(r"""SELECT page_id, target FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a[^>]*href="/([^"]*)"', 1)) AS target FROM pages WHERE page_id % 2 = 0) WHERE NOT regexp_matches(target, '^[A-Z]') AND target NOT IN (SELECT unnest(regexp_extract_all(html, '<a[^>]*href="/([^"]*)"', 1)) FROM pages WHERE page_id % 2 = 1)""")

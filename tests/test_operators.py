@@ -359,3 +359,39 @@ def test_candidate_order(spark):
     df = spark.createDataFrame([(0, *r) for r in rows], "claim int, id int, direct boolean, authorship int, coverage double, concepts double, score double, recency int, created int")
     order = views.candidate_order(*(F.col(c) for c in ("direct", "authorship", "coverage", "concepts", "score", "recency", "created", "id")))
     assert [r.id for r in views.ranked(df, "claim", order).orderBy("place").collect()] == [2, 5, 6, 1, 3, 4]
+
+
+def test_gate_and_redirects(spark):
+    pages = [
+        (1, "https://a.example.com/x"), (2, "https://news.bad.com/x"), (3, "https://amp.example.com/x"), (4, "https://example.com/amp/x"), (5, "https://example.com/"), (6, "ftp://example.com/x"), (7, "none"), (8, None),
+        (9, "https://m.facebook.com/x"), (10, "https://m.example.com/x"), (11, "https://webcache.example.com/x"), (12, "https://translate.example.com/x"), (13, "https://example.com/amplify"), (14, "HTTP://notbad.com/x"),
+    ]
+    rejected = spark.createDataFrame([("bad.com", "farm")], "host string, why string")
+    gate = articles.host_gate(spark.createDataFrame(pages, "page_id long, url string"), rejected)
+    got = {r.page_id: r.reason for r in gate.collect()}
+    assert got == {1: None, 2: "farm", 3: "AMP mirror", 4: "AMP rendition", 5: "site root", 6: "protocol", 7: "unparsable", 8: "unparsable", 9: "social platform", 10: None, 11: "cache mirror", 12: "translation proxy", 13: None, 14: None}
+    assert all(r.ok == (r.reason is None) for r in gate.collect())
+    edges = spark.createDataFrame([(1, 10), (10, 2), (2, 13), (13, 14), (14, 13), *((k, k + 1) for k in range(20, 30))], "src long, dst long")
+    nodes = gate.where("not ok").selectExpr("page_id as node", "reason as why")
+    got = {tuple(r) for r in articles.redirects(edges, spark.createDataFrame([(1,), (2,), (13,), (20,), (24,), (99,)], "start long"), rejected=nodes).collect()}
+    assert got == {(1, 2, 2, "rejected: farm"), (2, 2, 0, "rejected: farm"), (13, 14, 1, "loop"), (20, 26, 6, "too many hops"), (24, 30, 6, None), (99, 99, 0, None)}
+
+
+def test_override(spark):
+    candidates = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (3, 30)], "claim_id long, post_id long")
+    approvals = spark.createDataFrame([(1, 100, 10), (2, 200, 21), (4, 400, 40), (5, 500, 50), (1, 110, 11)], "claim_id long, activity_id long, post_id long")
+    entries = spark.createDataFrame([(100, 10), (110, 11), (200, 20), (400, 40), (400, 40)], "activity_id long, post_id long")
+    assert {tuple(r) for r in evidence.reviewed_override(candidates, approvals, entries).collect()} == {(1, 10, 1), (2, None, 1), (3, None, 1), (4, 40, 0)}
+
+
+def test_ledger(spark):
+    mappings = [(1, "a", "t", "r", "d", "f", "d"), (2, "a", "t", "r", "d", "g", "d"), (3, "b", None, "", "d", "f", "d"), (4, "none", None, None, None, None, None), (5, "b", "t", "r", "d", None, "d")]
+    sources = [("a", "https://x.example.com/p", "example.com", "good", None), ("b", "https://x.example.com/p", "example.org", "poor", "fax"), ("c", None, None, None, "Browser")]
+    got = evidence.ledger_problems(
+        spark.createDataFrame(mappings, "claim_id long, source string, evidence_type string, rationale string, reviewed_at string, reuse_family string, verified_at string"), spark.createDataFrame(sources, "source string, url string, publisher_host string, quality string, transport string"),
+        spark.createDataFrame([(i,) for i in (1, 3, 4, 5)], "claim_id long"), spark.createDataFrame([(1,), (1,)], "claim_id long"), spark.createDataFrame([], "host string, why string"), 1, ["t"], ["good"], ["https", "browser"],
+    )
+    assert sorted(tuple(r) for r in got.collect()) == sorted([
+        ("displaces a reviewed one", "1"), ("unknown claim", "2"), ("bad type", "3"), ("incomplete", "3"), ("unknown source", "4"), ("incomplete", "5"), ("over ceiling", "a"), ("mixed families", "a"),
+        ("bad quality", "b"), ("bad transport", "b"), ("host differs", "b"), ("over ceiling", "b"), ("mixed families", "b"), ("unused", "c"), ("bad quality", "c"), ("gated host", "c"),
+    ])
