@@ -88,3 +88,23 @@ def after_pivot(rows: DataFrame, by: list[str], place: Column, pivot: Column, fo
     suspect = rows.where(forbidden & ~F.coalesce(unless, F.lit(False))).withColumn("_place", place)
     later = F.col("_place") > F.col("_first") if strictly else F.col("_place") >= F.col("_first")
     return suspect.join(first, by).where(later).drop("_place", "_first")
+
+
+def hosts_named(files: DataFrame, name: str, text: str) -> DataFrame:
+    """(name, host, n): each host that a file's text names in an http or https url, lower case, and how often."""
+    hosts = F.transform(F.regexp_extract_all(text, F.lit("https?://([A-Za-z0-9.-]+)"), F.lit(1)), F.lower)
+    return files.select(name, F.explode(hosts).alias("host")).groupBy(name, "host").agg(F.count("*").alias("n"))
+
+
+def scan_faults(files: DataFrame, named: DataFrame) -> DataFrame:
+    """(rule, key): a scan that read no file or found no host has approved nothing, which is a fault."""
+    read = files.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("no files read").alias("rule"), F.lit("scan").alias("key"))
+    found = named.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("no hosts found").alias("rule"), F.lit("scan").alias("key"))
+    return read.union(found)
+
+
+def host_verdicts(named: DataFrame, retired: dict[str, str], declared: list[str]) -> DataFrame:
+    """named (.., host) with verdict and why: retired hosts with the reason given, hosts on neither list as undeclared."""
+    known = [(h, "retired", why) for h, why in retired.items()] + [(h, "allowed", None) for h in declared if h not in retired]
+    table = F.broadcast(named.sparkSession.createDataFrame(known, "host string, verdict string, why string"))  # as long as the lists
+    return named.join(table, "host", "left").withColumn("verdict", F.coalesce("verdict", F.lit("undeclared")))

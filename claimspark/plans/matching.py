@@ -123,12 +123,16 @@ def best_overlap(t):
 
 @query(f"""WITH s AS (SELECT doc_id, list_sort(list_distinct(list_filter({WORDS.format('text')}, lambda w: length(w) >= 5))) AS tokens FROM documents), r AS (SELECT doc_id, tokens, min(doc_id) OVER (PARTITION BY tokens) AS rep FROM s WHERE len(tokens) > 0),
 l AS (SELECT doc_id, len(tokens) AS n, unnest(tokens) AS token FROM r WHERE doc_id = rep)
-SELECT * FROM (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n) AS size_a, any_value(b.n) AS size_b FROM l a JOIN l b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY 1, 2) WHERE shared >= 0.86 * least(size_a, size_b) OR shared >= 0.72 * (size_a + size_b - shared)
-UNION ALL SELECT rep, doc_id, len(tokens), len(tokens), len(tokens) FROM r WHERE doc_id <> rep""")
+SELECT *, coalesce(CASE WHEN a % 4 > 0 AND b % 4 > 0 THEN b % 5 > a % 5 END, false) OR (a % 3 > 0 AND b % 3 > 0 AND a % 3 <> b % 3) AS excused FROM (SELECT * FROM (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n) AS size_a, any_value(b.n) AS size_b FROM l a JOIN l b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY 1, 2) WHERE shared >= 0.86 * least(size_a, size_b) OR shared >= 0.72 * (size_a + size_b - shared)
+UNION ALL SELECT rep, doc_id, len(tokens), len(tokens), len(tokens) FROM r WHERE doc_id <> rep)""")
 def near_duplicates(t):
-    """Links between distinct token sets, and of copies with the first of theirs."""
+    """Links between distinct token sets, and of copies with the first of theirs; a later one is excused if it states a
+    higher level or another branch (here made from doc_id)."""
     tokens = F.filter(T.words(F.col("text")), lambda w: F.length(w) >= 5)
-    return M.near_pairs(t("documents").select(F.col("doc_id").alias("id"), tokens.alias("tokens")), saved)
+    links = M.near_pairs(t("documents").select(F.col("doc_id").alias("id"), tokens.alias("tokens")), saved)
+    k = F.col("doc_id")
+    marks = t("documents").select(k.alias("id"), F.when(k % 4 > 0, k % 5).alias("level"), F.when(k % 3 == 1, "managed").when(k % 3 == 2, "open").alias("branch"))
+    return M.excused(links, marks)
 
 
 @query(f"WITH {SCORES} SELECT count(DISTINCT post_id) AS relevant, count(DISTINCT post_id) FILTER (score >= 6) AS used, count(DISTINCT claim_id) AS claims_with, (SELECT count(*) FROM benchmark) - count(DISTINCT claim_id) FILTER (score >= 6) AS unmatched FROM scores")

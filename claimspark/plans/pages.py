@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from claimspark.functions import html as H
 from claimspark.functions import urls as U
 from claimspark.operators import articles as A
+from claimspark.operators import audit as V
 
 from .registry import query
 
@@ -60,10 +61,19 @@ def page_links(t):
     return t("pages").select("page_id", F.posexplode(kept).alias("p", "link")).select("page_id", "link", (F.col("p") + 1).cast("long").alias("place"))
 
 
-@query(r"SELECT host, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(url || ' ' || html, 'https?://([a-z0-9.-]+)', 1)) AS host FROM pages) GROUP BY host")
+NAMED_HOSTS = r"(SELECT page_id, lower(unnest(regexp_extract_all(url || ' ' || html, 'https?://([A-Za-z0-9.-]+)', 1))) AS host FROM pages)"
+
+
+def named(t):
+    return V.hosts_named(t("pages").select("page_id", F.concat_ws(" ", "url", "html").alias("text")), "page_id", "text")
+
+
+@query(f"SELECT host, count(*) AS n, count(DISTINCT page_id) AS pages FROM {NAMED_HOSTS} GROUP BY host UNION ALL SELECT 'fault: no files read', 0, 0 WHERE NOT EXISTS (SELECT * FROM pages) UNION ALL SELECT 'fault: no hosts found', 0, 0 WHERE NOT EXISTS (SELECT * FROM {NAMED_HOSTS})")
 def hosts_named(t):
-    hosts = F.explode(F.regexp_extract_all(F.concat_ws(" ", "url", "html"), F.lit("https?://([a-z0-9.-]+)"), F.lit(1)))
-    return t("pages").select("page_id", hosts.alias("host")).groupBy("host").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
+    """Hosts that pages name, and a row for each fault of the scan itself."""
+    hosts = named(t)
+    faults = V.scan_faults(t("pages"), hosts).select(F.concat(F.lit("fault: "), "rule").alias("host"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("pages"))
+    return hosts.groupBy("host").agg(F.sum("n").alias("n"), F.count("*").alias("pages")).union(faults)
 
 
 @query(f"SELECT page_id, sha256({_decoded('html')}) AS decoded FROM pages")
@@ -145,14 +155,14 @@ def challenge_flag(t):
     return rows.select("page_id", H.challenge(F.col("marked"), F.col("prose")).alias("challenged"))
 
 
-@query(f"""SELECT host, CASE WHEN host LIKE '%.example.net' THEN 'retired' WHEN host LIKE 'www.%' THEN 'undeclared' ELSE 'allowed' END AS verdict, count(*) AS pages FROM (SELECT {HOST.format('url')} AS host FROM pages) GROUP BY host""")
+RETIRED = {"blog.tionsh.example.net": "blog closed", "www.cheap-pills.example.com": "shop", "m.ththth.example.net": "mobile copy"}
+DECLARED = ["thther.example.org", "blog.ththan.example.net", "blog.tiontion.example.com", "www.ththhe.example.com", "ththed.example.org", "m.ththth.example.net"]
+
+
+@query(f"""SELECT host, CASE {' '.join(f"WHEN host = '{h}' THEN 'retired'" for h in RETIRED)} WHEN host IN ({', '.join(map(_quoted, DECLARED))}) THEN 'allowed' ELSE 'undeclared' END AS verdict, CASE host {' '.join(f"WHEN '{h}' THEN '{w}'" for h, w in RETIRED.items())} END AS why, count(DISTINCT page_id) AS pages FROM {NAMED_HOSTS} GROUP BY host""")
 def host_allowlist(t):
-    """Hosts named beside the lists of those retired and those declared; what is on neither is a violation."""
-    hosts = t("pages").groupBy(U.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
-    retired = hosts.where(F.endswith("host", F.lit(".example.net"))).select("host", F.lit(True).alias("gone"))
-    declared = hosts.where(~F.startswith("host", F.lit("www."))).select("host", F.lit(True).alias("known"))
-    verdict = F.when(F.col("gone"), "retired").when(F.col("known"), "allowed").otherwise("undeclared")
-    return hosts.join(retired, "host", "left").join(declared, "host", "left").select("host", verdict.alias("verdict"), "pages")
+    """Hosts that pages name, beside the lists of those retired and those declared."""
+    return V.host_verdicts(named(t).groupBy("host").agg(F.count("*").alias("pages")), RETIRED, DECLARED).select("host", "verdict", "why", "pages")
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT page_id AS src, CASE WHEN page_id % 17 = 0 THEN page_id + 1 WHEN page_id % 3 = 0 THEN page_id + 3 ELSE page_id + 1 END AS dst FROM pages WHERE page_id % 10 <> 9),

@@ -395,3 +395,19 @@ def test_ledger(spark):
         ("displaces a reviewed one", "1"), ("unknown claim", "2"), ("bad type", "3"), ("incomplete", "3"), ("unknown source", "4"), ("incomplete", "5"), ("over ceiling", "a"), ("mixed families", "a"),
         ("bad quality", "b"), ("bad transport", "b"), ("host differs", "b"), ("over ceiling", "b"), ("mixed families", "b"), ("unused", "c"), ("bad quality", "c"), ("gated host", "c"),
     ])
+
+
+def test_scan_of_hosts(spark):
+    files = spark.createDataFrame([("a.js", "x https://API.example.com/p http://b.org, https://api.example.com"), ("b.js", None), ("c.js", "no host")], "name string, text string")
+    named = audit.hosts_named(files, "name", "text")
+    assert {tuple(r) for r in named.collect()} == {("a.js", "api.example.com", 2), ("a.js", "b.org", 1)}
+    assert audit.scan_faults(files, named).isEmpty()
+    assert {r.rule for r in audit.scan_faults(files.limit(0), named.limit(0)).collect()} == {"no files read", "no hosts found"}
+    got = {(r.host, r.verdict, r.why) for r in audit.host_verdicts(named, {"b.org": "closed"}, ["b.org", "c.org"]).collect()}
+    assert got == {("api.example.com", "undeclared", None), ("b.org", "retired", "closed")}
+
+
+def test_excused_links(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 4), (4, 9)], "a long, b long")
+    marks = spark.createDataFrame([(1, 1, None), (2, 2, "x"), (3, None, "y"), (4, 1, "y")], "id long, level long, branch string")
+    assert {(r.a, r.b): r.excused for r in matching.excused(links, marks).collect()} == {(1, 2): True, (2, 3): True, (3, 4): False, (1, 4): False, (4, 9): False}
