@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, html, lines, minhash, pieces, rules, secrets, toxicity, urls
+from . import decontaminate, fingerprints, html, lines, minhash, packing, pieces, rules, secrets, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +58,12 @@ def op9_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op13_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_line_dedup, op2_crf_secret_scan, op3_host_suffix_array_html, op4_noisy_channel_toxicity, op5_path_template_urls, op6_minmax_near_dedup, op7_line_frequency_rules, op8_suffix_array_sentencepiece, op9_fingerprint_index, op10_pigeonhole_decontamination)}
+    return {f.__name__: f for f in (op1_simhash_line_dedup, op2_crf_secret_scan, op3_host_suffix_array_html, op4_noisy_channel_toxicity, op5_path_template_urls, op6_minmax_near_dedup, op7_line_frequency_rules, op8_suffix_array_sentencepiece, op9_fingerprint_index, op10_pigeonhole_decontamination, op13_certified_packing)}
 
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
