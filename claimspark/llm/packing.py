@@ -31,8 +31,8 @@ SLACK = 1 / 64
 LEAST_SAVED = 0.001
 #: Words whose ids a worker remembers, of at most so many bytes each.
 WORDS, WORD_BYTES = 500_000, 64
-#: Stands between words that are encoded together.
-MARK = "\x01"
+#: Stands between words that are encoded together; marks that a word may end with, apart from which it is looked up.
+MARK, MARKS = "\x01", b".,;:!?"
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -44,13 +44,16 @@ class Encoder:
     """The tokenizer's ids of whole texts, put together from those of their words.
 
     Its rules never join what white space parts (normal forms, lower case, the pattern of words and the added tokens all
-    stay within a word), so a text's ids are its words' ids in order, and a word that comes again is looked up."""
+    stay within a word), so a text's ids are its words' ids in order, and a word that comes again is looked up. Letters and
+    the marks after them never join either."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model, self.known = Tokenizer.from_file(path), {}
         self.mark = self._ids(MARK)
+        self.last = np.zeros(self.model.get_vocab_size() + 1, bool)
+        self.last[[i for w, i in self.model.get_vocab().items() if w.endswith("</w>")]] = True
         if len(self.mark) != 1:
             raise ValueError("the tokenizer has no id of its own for U+0001")
 
@@ -64,20 +67,43 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[4 * (s + 1) : 4 * e] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
+    def letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters alone, each of which ends with the only id that ends a word."""
+        ids = self._ids(b" ".join(words).decode())
+        at = np.r_[0, np.flatnonzero(self.last[ids]) + 1].tolist()
+        if len(at) != len(words) + 1:  # a letter whose lower case holds a mark
+            return self.words(words)
+        raw = ids.tobytes()
+        return [raw[4 * s : 4 * e] for s, e in zip(at[:-1], at[1:], strict=True)]
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        if len(self.known) > WORDS:
-            self.known.clear()
-        new = set().union(*split) - self.known.keys()
+        known = self.known
+        if len(known) > WORDS:
+            known.clear()
+        new = set().union(*split) - known.keys()
         odd = {w for w in new if len(w) > WORD_BYTES or MARK.encode() in w}
         here = {w: self._ids(w.decode()).tobytes() for w in odd}
-        new = list(new - odd)
-        for i in range(0, len(new), 1000):
-            self.known.update(zip(new[i : i + 1000], self.words(new[i : i + 1000]), strict=True))
+        cut, stems, rest = [], set(), set()
+        for w in new - odd:
+            stem = w.rstrip(MARKS)
+            if stem.isalpha():
+                cut.append((w, low := stem.lower(), w[len(stem) :]))
+                stems.add(low)
+            elif stem and stem.decode().isalpha():
+                cut.append((w, stem, w[len(stem) :]))
+                stems.add(stem)
+            else:
+                rest.add(w)
+        rest |= {tail for _, _, tail in cut if tail}
+        for encode, found in ((self.letters, list(stems - known.keys())), (self.words, list(rest - known.keys()))):
+            for i in range(0, len(found), 1000):
+                known.update(zip(found[i : i + 1000], encode(found[i : i + 1000]), strict=True))
+        known.update([(w, known[stem] + known[tail] if tail else known[stem]) for w, stem, tail in cut])
         if here:
-            return [b"".join([here[w] if w in here else self.known[w] for w in ws]) for ws in split]
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+            return [b"".join([here[w] if w in here else known[w] for w in ws]) for ws in split]
+        return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
 
 #: One for each file and worker.

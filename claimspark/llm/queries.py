@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, html, lines, minhash, packing, pieces, rules, secrets, toxicity, urls
+from . import decontaminate, fingerprints, html, lines, minhash, packing, pieces, rules, secrets, sketches, toxicity, tries, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +58,20 @@ def op9_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_euler_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.rebuilt_trie(_table(spark, sf_dir, "conversations")).drop("enter_rank", "exit_rank")
+
+
 def op13_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(_table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_line_dedup, op2_crf_secret_scan, op3_host_suffix_array_html, op4_noisy_channel_toxicity, op5_path_template_urls, op6_minmax_near_dedup, op7_line_frequency_rules, op8_suffix_array_sentencepiece, op9_fingerprint_index, op10_pigeonhole_decontamination, op13_certified_packing)}
+    return {f.__name__: f for f in (op1_simhash_line_dedup, op2_crf_secret_scan, op3_host_suffix_array_html, op4_noisy_channel_toxicity, op5_path_template_urls, op6_minmax_near_dedup, op7_line_frequency_rules, op8_suffix_array_sentencepiece, op9_fingerprint_index, op10_pigeonhole_decontamination, op11_max_sketch_search, op12_euler_prefix_trie, op13_certified_packing)}
 
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -98,6 +106,31 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, length(array_to_strin
  FROM w LEFT JOIN dup ON w.doc_id = dup.doc_id LEFT JOIN rep ON w.doc_id = rep.doc_id LEFT JOIN gone ON w.doc_id = gone.doc_id)
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * (n_words - n_line_words) < {rules.LEFT_PERCENT} * n_words) AS kept FROM m"""
 
+_TERMS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(_LOWER.format("coalesce(text, '')"))
+
+_OP11 = f"""WITH d AS (SELECT doc_id, {_TERMS} AS ws FROM documents), c AS (SELECT count(*) FILTER (len(ws) > 0) AS n, CAST(sum(len(ws)) AS BIGINT) AS l FROM d),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+t AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * (SELECT n FROM c) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t GROUP BY term),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * t.n * c.n) // c.l)))) AS BIGINT) AS score FROM t JOIN w USING (term) JOIN q USING (term) CROSS JOIN c GROUP BY 1, 2),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= {sketches.K}"""
+
+_CRC32 = "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"
+
+_OP12 = f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS own, {_CRC32.format('conv_id')} % 6 AS h, conv_id - conv_id % 100 AS base FROM t GROUP BY conv_id),
+k AS (SELECT c.conv_id, c.h, c.base, least(c.h, coalesce(b.own, 0)) AS k FROM c LEFT JOIN c b ON b.conv_id = c.base),
+r AS (SELECT k.conv_id, pos AS depth, role, text FROM k JOIN t ON t.conv_id = k.base WHERE pos <= k.k UNION ALL SELECT k.conv_id, k.k + pos - h, role, text FROM k JOIN t ON t.conv_id = k.conv_id WHERE pos > h),
+p AS (SELECT conv_id, depth, string_agg(md5(role || chr(1) || text), '') OVER (PARTITION BY conv_id ORDER BY depth) AS key, length(text) AS chars FROM r UNION ALL SELECT conv_id, 0, '', 0 FROM k),
+n AS (SELECT depth, key, left(key, 32 * (depth - 1)) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(chars) AS gain FROM p GROUP BY depth, key),
+kids AS (SELECT depth - 1 AS depth, above AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+x AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids ON kids.depth = n.depth AND kids.key = n.key),
+s AS (SELECT a.depth, a.key, count(*) FILTER (x.n_children = 0) AS n_leaves, sum(gain) AS saved FROM x JOIN p a ON a.conv_id = x.conv_id AND a.depth <= x.depth GROUP BY 1, 2),
+e AS (SELECT depth, key, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM (SELECT conv_id, depth, key, max(depth) OVER (PARTITION BY conv_id) AS last FROM p) WHERE depth = last GROUP BY 1, 2)
+SELECT x.conv_id, CAST(x.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, x.n_convs, x.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM x JOIN s ON s.depth = x.depth AND s.key = x.key LEFT JOIN x up ON up.depth = x.depth - 1 AND up.key = x.above LEFT JOIN e ON e.depth = x.depth AND e.key = x.key"""
+
 
 def _op5() -> str:
     fits = [(h + p, v, f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')") for h, p, v in sorted(urls.RULES, key=lambda r: -len(r[0] + r[1]))]
@@ -126,4 +159,4 @@ def _op5() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """Of those that SQL can express; the others' tests are in tests/llm."""
-    return {"op5_path_template_urls": _op5(), "op6_minmax_near_dedup": _OP6, "op7_line_frequency_rules": _OP7, "op9_fingerprint_index": _OP9}
+    return {"op5_path_template_urls": _op5(), "op6_minmax_near_dedup": _OP6, "op7_line_frequency_rules": _OP7, "op9_fingerprint_index": _OP9, "op11_max_sketch_search": _OP11, "op12_euler_prefix_trie": _OP12}
