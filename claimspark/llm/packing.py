@@ -29,10 +29,10 @@ PIECES = 50_000
 SLACK = 1 / 64
 #: Rounds end when one saves less than this share of the bins that were exchanged.
 LEAST_SAVED = 0.001
-#: Words whose ids a worker remembers, of at most so many bytes each.
-WORDS, WORD_BYTES = 500_000, 64
+#: Words whose ids a worker remembers, twice so many at most, of up to so many bytes each.
+WORDS, WORD_BYTES = 400_000, 64
 #: Stands between words that are encoded together; marks that a word may end with, apart from which it is looked up.
-MARK, MARKS = "\x01", b".,;:!?"
+MARK, MARK_BYTE, MARKS = "\x01", b"\x01", b".,;:!?"
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -50,7 +50,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model, self.known = Tokenizer.from_file(path), {}
+        self.model, self.known, self.former = Tokenizer.from_file(path), {b"": b""}, {}
         self.mark = self._ids(MARK)
         self.last = np.zeros(self.model.get_vocab_size() + 1, bool)
         self.last[[i for w, i in self.model.get_vocab().items() if w.endswith("</w>")]] = True
@@ -79,28 +79,25 @@ class Encoder:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        known = self.known
-        if len(known) > WORDS:
-            known.clear()
+        if len(self.known) > WORDS:  # words that come again return from the former ones
+            self.former, self.known = self.known, {b"": b""}
+        known, former = self.known, self.former
         new = set().union(*split) - known.keys()
-        odd = {w for w in new if len(w) > WORD_BYTES or MARK.encode() in w}
+        back = new & former.keys()
+        known.update(zip(back, map(former.__getitem__, back), strict=True))
+        new -= back
+        odd = {w for w in new if len(w) > WORD_BYTES or MARK_BYTE in w}
         here = {w: self._ids(w.decode()).tobytes() for w in odd}
-        cut, stems, rest = [], set(), set()
-        for w in new - odd:
-            stem = w.rstrip(MARKS)
-            if stem.isalpha():
-                cut.append((w, low := stem.lower(), w[len(stem) :]))
-                stems.add(low)
-            elif stem and stem.decode().isalpha():
-                cut.append((w, stem, w[len(stem) :]))
-                stems.add(stem)
-            else:
-                rest.add(w)
-        rest |= {tail for _, _, tail in cut if tail}
-        for encode, found in ((self.letters, list(stems - known.keys())), (self.words, list(rest - known.keys()))):
+        new = list(new - odd)
+        stems = [w.rstrip(MARKS) for w in new]
+        stems = [s.lower() if s.isalpha() else s if s.decode().isalpha() else None for s in stems]
+        tails = [None if s is None else w[len(s) :] for w, s in zip(new, stems, strict=True)]
+        rest = {w for w, s in zip(new, stems, strict=True) if s is None}.union(tails)
+        for encode, wanted in ((self.letters, set(stems)), (self.words, rest)):
+            found = list(wanted - known.keys() - {None})
             for i in range(0, len(found), 1000):
                 known.update(zip(found[i : i + 1000], encode(found[i : i + 1000]), strict=True))
-        known.update([(w, known[stem] + known[tail] if tail else known[stem]) for w, stem, tail in cut])
+        known.update([(w, known[s] + known[tail]) for w, s, tail in zip(new, stems, tails, strict=True) if s is not None])
         if here:
             return [b"".join([here[w] if w in here else known[w] for w in ws]) for ws in split]
         return [b"".join(map(known.__getitem__, ws)) for ws in split]
