@@ -25,16 +25,17 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, *by, running: dict[str, str] | None = None) -> DataFrame:
+def numbered(df: DataFrame, *by, running: dict[str, str] | None = None, keep: list | None = None) -> DataFrame:
     """df with number, from 1 without gaps in the order of `by`, and for each new name of running the xor of the named
     long column from the first row up to this one.
 
     No window over all rows: rows are dealt by ranges of the order and sorted there; each range counts its own, and the
     counts, one row a range, become offsets. `by` should order rows fully, else equal rows are numbered in any order. An
-    empty table gives none. The order is written down once, so a lost executor can't change it."""
+    empty table gives none. The order is written down once, so a lost executor can't change it. keep: the columns to go on
+    with, if not all."""
     running = running or {}
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    rows = saved(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"_range": F.spark_partition_id(), "_place": place}))
+    rows = saved(df.repartitionByRange(*by).sortWithinPartitions(*by).select(*(keep or df.columns)).withColumns({"_range": F.spark_partition_id(), "_place": place}))
     totals = rows.groupBy("_range").agg(F.count("*").alias("n"), *(F.bit_xor(c).alias(name) for name, c in running.items())).orderBy("_range").collect()  # a row a range
     offsets, n, xors = [], 0, dict.fromkeys(running, 0)
     for t in totals:
