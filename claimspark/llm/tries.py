@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimspark.operators.tables import numbered
 
@@ -24,6 +25,8 @@ from . import common as C
 BLOCK = 65_536
 #: A round that leaves more than this share of the arcs is followed by one that joins random neighbours.
 POOR = 0.75
+#: Turns of a conversation whose hashes one window sums up.
+STRETCH = 4096
 #: Ids that differ in so many last bits are written as one string before they are hashed in order.
 RANGE_BITS = 12
 
@@ -31,29 +34,27 @@ RANGE_BITS = 12
 # --- conversations ----------------------------------------------------------------------------------------------------
 
 
-def turns(conversations: DataFrame) -> DataFrame:
+def turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(conv_id, depth, length, a, b, chars): each turn's place, the number of turns of its conversation, two hashes of its
-    role and text, and the text's code points. Turns go by turn (null first), then role and text; null roles and texts are
+    role and text, and the text's code points; and (conv_id, length) of all conversations. Turns go by turn (null first), then role and text; null roles and texts are
     empty; rows without conv_id are left out.
 
     Places come from one global order, so a conversation may be of any length."""
     rows = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
-    rows = numbered(rows, F.col("conv_id").asc(), F.col("turn").asc_nulls_first(), F.col("role").asc(), F.col("text").asc())
-    rows = C.saved(rows.select("conv_id", "number", F.xxhash64("role", "text").alias("a"), F.xxhash64(F.lit(1), "text", "role").alias("b"), F.length("text").cast("long").alias("chars")))
-    of = rows.groupBy("conv_id").agg(F.min("number").alias("_first"), F.count("*").alias("length"))
-    return rows.join(of, "conv_id").select("conv_id", (F.col("number") - F.col("_first") + 1).alias("depth"), "length", "a", "b", "chars")
+    hashes = [F.xxhash64("role", "text").alias("a"), F.xxhash64(F.lit(1), "text", "role").alias("b"), F.length("text").cast("long").alias("chars")]
+    rows = numbered(rows, F.col("conv_id").asc(), F.col("turn").asc_nulls_first(), F.col("role").asc(), F.col("text").asc(), keep=["conv_id", *hashes])
+    of = C.saved(rows.groupBy("conv_id").agg(F.min("number").alias("_first"), F.count("*").alias("length")))
+    return rows.join(of, "conv_id").select("conv_id", (F.col("number") - F.col("_first") + 1).alias("depth"), "length", "a", "b", "chars"), of.select("conv_id", "length")
 
 
-def rebuilt(turns_: DataFrame, group: int = 100, most: int = 6) -> tuple[DataFrame, DataFrame]:
+def rebuilt(turns_: DataFrame, convs: DataFrame, group: int = 100, most: int = 6) -> tuple[DataFrame, DataFrame]:
     """turns() of conversations that begin with the first h turns of the first one of their group, conv_id - conv_id %
     group, and go on with their own after the first h: h is crc32 of the decimal conv_id, modulo `most`. And (conv_id,
     length) of all of them, those without turns too."""
-    turns_ = C.saved(turns_)
-    convs = turns_.groupBy("conv_id").agg(F.min("length").alias("own"))
     h = F.crc32(F.col("conv_id").cast("string")) % most
     base = F.col("conv_id") - F.col("conv_id") % group
-    heads = convs.select(F.col("conv_id").alias("base"), F.col("own").alias("_base_own"))
-    convs = convs.select("conv_id", "own", h.alias("h"), base.alias("base")).join(heads, "base", "left")
+    heads = convs.select(F.col("conv_id").alias("base"), F.col("length").alias("_base_own"))
+    convs = convs.select("conv_id", F.col("length").alias("own"), h.alias("h"), base.alias("base")).join(heads, "base", "left")
     convs = convs.withColumn("k", F.least("h", F.coalesce("_base_own", F.lit(0)))).withColumn("all", F.col("k") + F.greatest(F.col("own") - F.col("h"), F.lit(0)))
     convs = C.saved(convs.select("conv_id", "h", "base", "k", F.col("all").alias("length")))
     own = turns_.drop("length").join(convs, "conv_id").where("depth > h").withColumn("depth", F.col("k") + F.col("depth") - F.col("h"))
@@ -91,13 +92,14 @@ def join_arcs(table: pa.Table) -> pa.Table:
 
 def by_ranges(arcs: DataFrame, n_parts: int) -> DataFrame:
     """LEVEL of arcs, joined within ranges of their numbers."""
-    schema = pa.schema([("head", pa.int64()), ("next", pa.int64()), *((s, pa.int64()) for s in SUMS)])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from join_arcs(pa.Table.from_batches(batches, schema)).to_batches()
+        if found := list(batches):
+            yield from join_arcs(pa.Table.from_batches(found)).to_batches()
 
-    ranges = arcs.select("head", "next", *SUMS).repartitionByRange(n_parts, "head").sortWithinPartitions("head")
-    return ranges.mapInArrow(C.tidied(join), LEVEL)
+    rows = arcs.select("head", "next", *SUMS)
+    ranges = rows.repartitionByRange(n_parts, "head") if n_parts > 1 else rows.repartition(1)
+    return ranges.sortWithinPartitions("head").mapInArrow(C.tidied(join), LEVEL)
 
 
 def by_chance(arcs: DataFrame, round_: int) -> DataFrame:
@@ -115,23 +117,21 @@ def by_chance(arcs: DataFrame, round_: int) -> DataFrame:
     return taken.union(takers).union(rest.select("head", F.col("head").alias("upper"), *zeros, F.lit(True).alias("tail"), "next", *SUMS))
 
 
-def list_ranked(arcs: DataFrame, per_task: int | None = None) -> DataFrame:
+def list_ranked(arcs: DataFrame, size: int, per_task: int | None = None) -> DataFrame:
     """(head, rank, leaves, saved): for each arc of a list (head, next, rank, leaves, saved) the sums over all arcs before
-    it. next: the arc that follows, null for the last."""
+    it. next: the arc that follows, null for the last. size: how many arcs there are."""
     per_task, levels, now, chance = per_task or BLOCK, [], arcs, False
-    size = now.count()
-    while True:
+    while size > 1 or not levels:
         parts = math.ceil(size / per_task)
-        level = C.saved(by_chance(now, len(levels)) if chance else by_ranges(now, max(parts, 1)))
+        chance = chance and parts > 1
+        level = C.saved(by_chance(now, len(levels)) if chance else by_ranges(now, parts))
         levels.append(level)
         now = level.where("tail").select(F.col("upper").alias("head"), "next", *SUMS)
-        was, size = size, now.count()
-        if size <= 1:
-            break
+        was, size = size, now.count() if parts > 1 else 1
         chance = not chance and parts > 1 and size > POOR * was
     found = levels.pop().select("head", *(F.col(f"b_{s}").alias(s) for s in SUMS))
     for level in reversed(levels):
-        above = C.saved(found).select(F.col("head").alias("upper"), *(F.col(s).alias(f"u_{s}") for s in SUMS))
+        above = found.select(F.col("head").alias("upper"), *(F.col(s).alias(f"u_{s}") for s in SUMS))
         found = level.select("head", "upper", *(f"b_{s}" for s in SUMS)).join(above, "upper").select("head", *((F.col(f"b_{s}") + F.col(f"u_{s}")).alias(s) for s in SUMS))
     return found
 
@@ -169,28 +169,37 @@ def trie(turns_: DataFrame, convs: DataFrame) -> DataFrame:
     and exit_rank, the places of its arcs in the tour. convs: (conv_id, length) of all conversations; without any there
     is no row. The method's keys are 128 bits of hashes of a prefix."""
     zero = F.lit(0).cast("long")
-    # the key of a prefix is the xor of its turns' hashes, each mixed with its place: a running xor over all turns in order
-    mixed = turns_.withColumns({"x": F.xxhash64("depth", "a", "b"), "y": F.xxhash64(F.lit(1), "b", "a", "depth")})
-    rows = C.saved(numbered(mixed, "conv_id", "depth", running={"px": "x", "py": "y"}))
-    starts = rows.where("depth = 1").select("conv_id", F.col("px").bitwiseXOR(F.col("x")).alias("sx"), F.col("py").bitwiseXOR(F.col("y")).alias("sy"))
-    keyed = rows.join(starts, "conv_id").withColumns({"k1": F.col("px").bitwiseXOR(F.col("sx")), "k2": F.col("py").bitwiseXOR(F.col("sy"))})
-    keyed = C.saved(keyed.select("conv_id", "depth", "length", "chars", "k1", "k2", F.col("k1").bitwiseXOR(F.col("x")).alias("p1"), F.col("k2").bitwiseXOR(F.col("y")).alias("p2")))
+    # the key of a prefix is the xor of its turns' hashes, each mixed with its place: a running xor within a stretch of a
+    # conversation, and for what is longer than a stretch the xor of those before
+    mixed = turns_.withColumns({"x": F.xxhash64("depth", "a", "b"), "y": F.xxhash64(F.lit(1), "b", "a", "depth"), "part": F.floor(F.col("depth") / STRETCH)})
+    upto = Window.partitionBy("conv_id", "part").orderBy("depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = C.saved(mixed.withColumns({"px": F.bit_xor("x").over(upto), "py": F.bit_xor("y").over(upto)}).drop("a", "b"))
+    over = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
+    parts = rows.where(F.col("length") >= STRETCH).groupBy("conv_id", "part").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    before = parts.select("conv_id", "part", F.coalesce(F.bit_xor("x").over(over), zero).alias("sx"), F.coalesce(F.bit_xor("y").over(over), zero).alias("sy"))
+    short = rows.where(F.col("length") < STRETCH).select("*", zero.alias("sx"), zero.alias("sy"))
+    long = rows.where(F.col("length") >= STRETCH).join(before, ["conv_id", "part"]).select(*short.columns)
+    keyed = short.union(long).withColumns({"k1": F.col("px").bitwiseXOR(F.col("sx")), "k2": F.col("py").bitwiseXOR(F.col("sy"))})
+    keyed = keyed.select("conv_id", "depth", "length", "chars", "k1", "k2", F.col("k1").bitwiseXOR(F.col("x")).alias("p1"), F.col("k2").bitwiseXOR(F.col("y")).alias("p2"))
     nodes = keyed.groupBy("depth", "k1", "k2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.min("chars").alias("chars"), F.min("p1").alias("p1"), F.min("p2").alias("p2"))
     root = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0").select(zero.alias("depth"), zero.alias("k1"), zero.alias("k2"), "conv_id", "n_convs", zero.alias("chars"), F.lit(None).cast("long").alias("p1"), F.lit(None).cast("long").alias("p2"))
     # in this order a member's own path is one run of numbers, and so are most arcs that follow each other
-    nodes = C.saved(numbered(nodes.union(root), "conv_id", "depth").withColumn("node", F.col("number") - 1).drop("number"))
+    nodes = numbered(nodes.union(root), "conv_id", "depth").withColumn("node", F.col("number") - 1).drop("number")
     parents = nodes.select((F.col("depth") + 1).alias("depth"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     nodes = C.saved(nodes.join(parents, ["depth", "p1", "p2"], "left").drop("p1", "p2"))
     children = nodes.where("parent is not null").select("node", "parent")
     first = children.groupBy(F.col("parent").alias("node")).agg(F.min("node").alias("first_child"), F.count("*").alias("n_children"))
-    siblings = C.saved(numbered(children, "parent", "node"))
+    siblings = numbered(children, "parent", "node")
     after = siblings.select((F.col("number") - 1).alias("number"), F.col("node").alias("sibling"), F.col("parent").alias("_same"))
     after = siblings.join(after, "number").where("parent = _same").select("node", "sibling")
     nodes = C.saved(nodes.join(first, "node", "left").join(after, "node", "left"))
     arc = lambda head, follows, leaves, gain: F.struct(head.alias("head"), follows.alias("next"), F.lit(1).cast("long").alias("rank"), leaves.alias("leaves"), gain.alias("saved"))
     enter = arc(2 * F.col("node"), F.coalesce(2 * F.col("first_child"), 2 * F.col("node") + 1), F.when(F.col("n_children").isNull(), 1).otherwise(0).cast("long"), (F.col("n_convs") - 1) * F.col("chars"))
     leave = arc(2 * F.col("node") + 1, F.coalesce(2 * F.col("sibling"), 2 * F.col("parent") + 1), zero, zero)
-    ranked = list_ranked(C.saved(nodes.select(F.explode(F.array(enter, leave)).alias("arc")).select("arc.*")))
+    size = 2 * nodes.count()
+    if not size:
+        return _none(turns_.sparkSession)
+    ranked = list_ranked(nodes.select(F.explode(F.array(enter, leave)).alias("arc")).select("arc.*"), size)
     within = lambda s: F.max(s) - F.min(s)
     sums = ranked.groupBy(F.shiftright("head", 1).alias("node")).agg(within("leaves").alias("n_leaves"), within("saved").alias("saved_tokens"), F.min("rank").alias("enter_rank"), F.max("rank").alias("exit_rank"))
     ends = keyed.where("depth = length").select("conv_id", "depth", "k1", "k2").union(convs.where("length = 0").select("conv_id", zero, zero, zero))
@@ -199,15 +208,18 @@ def trie(turns_: DataFrame, convs: DataFrame) -> DataFrame:
     return out.select("conv_id", "depth", "parent_conv_id", "n_convs", F.coalesce("n_children", zero).alias("n_children"), "n_leaves", "saved_tokens", empty, "enter_rank", "exit_rank")
 
 
+def _none(spark) -> DataFrame:
+    return spark.createDataFrame([], "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string, enter_rank long, exit_rank long")
+
+
 def prefix_trie(conversations: DataFrame) -> DataFrame:
     """trie() of conversations (conv_id, turn, role, text) as they are.
 
     Null turns come first; null roles and texts are empty; rows without conv_id are left out; repeated rows are turns each;
     equal turns go by role and text. Texts of any length are hashed where they are. An empty table gives no rows."""
-    found = C.saved(turns(conversations))
-    return trie(found, found.groupBy("conv_id").agg(F.min("length").alias("length")))
+    return trie(*turns(conversations))
 
 
 def rebuilt_trie(conversations: DataFrame) -> DataFrame:
     """trie() of conversations rebuilt() from the first turns of their groups; the rest as in prefix_trie()."""
-    return trie(*rebuilt(turns(conversations)))
+    return trie(*rebuilt(*turns(conversations)))

@@ -74,6 +74,7 @@ def test_matches_brute_force(conversations, monkeypatch):
     assert result(tries.rebuilt_trie(conversations(rows))) == brute(rebuild(rows))
     monkeypatch.setattr(tries, "BLOCK", 60)  # several rounds, by ranges and by chance
     monkeypatch.setattr(tries, "POOR", 0.3)
+    monkeypatch.setattr(tries, "STRETCH", 4)
     assert result(tries.prefix_trie(conversations(rows))) == brute(sequences(rows))
 
 
@@ -90,7 +91,7 @@ def test_list_without_locality(spark, monkeypatch):
     random.seed(8)
     order = random.sample(range(1000), 400)
     arcs = [(h, n, 1, i % 3, i) for i, (h, n) in enumerate(zip(order, [*order[1:], None], strict=True))]
-    got = tries.list_ranked(spark.createDataFrame(arcs, "head long, next long, rank long, leaves long, saved long"), 50).collect()
+    got = tries.list_ranked(spark.createDataFrame(arcs, "head long, next long, rank long, leaves long, saved long"), 400, 50).collect()
     assert sorted(tuple(r) for r in got) == sorted((h, i, sum(j % 3 for j in range(i)), i * (i - 1) // 2) for i, h in enumerate(order))
 
 
