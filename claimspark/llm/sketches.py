@@ -20,8 +20,9 @@ from pyspark.sql.window import Window
 
 from . import common as C
 
-#: Results of a query, and coordinates of a sketch for each distinct term, rounded up to a power of two.
-K, SPREAD = 50, 16
+#: Results of a query, and bits of a sketch's coordinates: a query's term meets one that another term of a document of n
+#: distinct terms fills with a chance of n / 2 ** BITS.
+K, BITS = 50, 26
 #: Terms of queries that one block may hold; queries are looked up by blocks, each broadcast.
 BLOCK_TERMS = 100_000
 #: (document, queries) rows that are broadcast to be scored; more are joined by a shuffle.
@@ -50,19 +51,24 @@ def impacts(tf: np.ndarray, m: int) -> np.ndarray:
 # --- index ------------------------------------------------------------------------------------------------------------
 
 
+def coordinates(words: list[bytes]) -> np.ndarray:
+    return (C.word_hashes(words) >> C.U(64 - BITS)).astype(np.int64)
+
+
 def sketch(counts: Counter) -> bytes:
-    """Coordinates (as many as a power of two) of the largest counts of the terms that hash there, compressed."""
-    size = 1 << max(6, (SPREAD * len(counts) - 1).bit_length())
-    at = (C.word_hashes(list(counts)) & C.U(size - 1)).astype(np.int64)
-    tf = np.fromiter(counts.values(), np.int64, len(counts))
-    out = np.zeros(size, np.uint16 if tf.max() < 1 << 16 else np.uint32)
-    order = np.argsort(tf, kind="stable")
-    out[at[order]] = tf[order]  # of equal coordinates the last, largest one stays
-    return bytes([out.itemsize, size.bit_length() - 1]) + pa.compress(out.tobytes(), codec="lz4", asbytes=True)
+    """The coordinates that terms hash to, in order, each with the largest count among its terms; all others are 0. Kept
+    as steps from one to the next, beside their counts, and compressed."""
+    at, tf = coordinates(list(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+    order = np.lexsort((tf, at))
+    at, tf = at[order], tf[order]
+    last = np.r_[at[1:] != at[:-1], True]  # of equal coordinates the last, largest one
+    at, tf = at[last], tf[last]
+    return C.packed(np.diff(at, prepend=0) << 32 | tf)
 
 
-def unsketched(b: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(b[2:], b[0] << b[1], codec="lz4"), np.uint16 if b[0] == 2 else np.uint32)
+def unsketched(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = C.unpacked(b, np.int64)
+    return np.cumsum(both >> 32), both & 0xFFFFFFFF
 
 
 def index(documents: DataFrame) -> DataFrame:
@@ -114,19 +120,25 @@ class Block:
         self.n_docs, self.n_terms = n_docs, n_terms
         self.queries = [[(w, weight(n_docs, df[w])) for w in q if df[w]] for q in queries]
         flat = [x for q in self.queries for x in q]
-        self.hashes = C.word_hashes([w for w, _ in flat])
-        self.weights = np.array([x for _, x in flat], np.int64)
-        self.owner = np.repeat(np.arange(len(queries)), [len(q) for q in self.queries])
+        at, owner = coordinates([w for w, _ in flat]), np.repeat(np.arange(len(queries)), [len(q) for q in self.queries])
+        order = np.argsort(at, kind="stable")
+        self.at, self.starts = np.unique(at[order], return_index=True)
+        self.sizes = np.diff(np.r_[self.starts, len(flat)])
+        self.owner, self.weights = owner[order], np.array([x for _, x in flat], np.int64)[order]
 
     def m(self, n: int) -> int:
         return PERCENT - SLOPE + SLOPE * n * self.n_docs // self.n_terms
 
-    def bounds(self, n: int, sketch_: np.ndarray) -> np.ndarray:
+    def bounds(self, n: int, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
         """For each query, what no score of a document of n terms and this sketch exceeds."""
-        tf = sketch_[(self.hashes & C.U(len(sketch_) - 1)).astype(np.int64)]
-        held = np.flatnonzero(tf)
         out = np.zeros(len(self.queries), np.int64)
-        np.add.at(out, self.owner[held], self.weights[held] * impacts(tf[held], self.m(n)))
+        if len(self.at):
+            place = np.minimum(np.searchsorted(self.at, at), len(self.at) - 1)
+            hit = np.flatnonzero(self.at[place] == at)
+            place = place[hit]
+            size = self.sizes[place]
+            entry = np.repeat(self.starts[place] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            np.add.at(out, self.owner[entry], self.weights[entry] * np.repeat(impacts(tf[hit], self.m(n)), size))
         return out
 
     def score(self, counts: Counter, n: int, query: int) -> int:
@@ -143,7 +155,7 @@ def best_bounds(rows: DataFrame, sent, k: int) -> DataFrame:
         floor = np.zeros(len(block.queries), np.int64)
         for b in batches:
             for doc_id, n, z in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                bounds = block.bounds(n, unsketched(z))
+                bounds = block.bounds(n, *unsketched(z))
                 for q in np.flatnonzero(bounds > floor).tolist():
                     if len(best[q]) < k:
                         heapq.heappush(best[q], (int(bounds[q]), doc_id))
@@ -168,7 +180,7 @@ def reaching(rows: DataFrame, sent, floors: list[int]) -> DataFrame:
         for b in batches:
             out = []
             for doc_id, n, z in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if len(held := np.flatnonzero(block.bounds(n, unsketched(z)) >= floor)):
+                if len(held := np.flatnonzero(block.bounds(n, *unsketched(z)) >= floor)):
                     out.append((doc_id, held.tolist()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], names=["doc_id", "queries"])
 
