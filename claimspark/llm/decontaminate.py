@@ -57,15 +57,17 @@ class Matcher:
         found: dict[int, int] = {}
         if not self.items or not text:
             return found
-        seen: dict[int, list[int]] = {}
+        seen: dict[tuple[int, int], tuple[int, int]] = {}  # least and largest start tried of each item and stretch
         for end, places in self.automaton.iter(text):
             for i, back in places:
                 start = end + 1 - back
                 key, item, masks = self.items[i]
                 edits = budget(len(item))
-                if found.get(key) == 0 or any(abs(start - s) <= edits for s in seen.get(i, ())):
+                at = start // (edits + 1)  # starts of one stretch are within the budget of each other
+                before, same, after = (seen.get((i, at + k)) for k in (-1, 0, 1))
+                if found.get(key) == 0 or same or before and start - before[1] <= edits or after and after[0] - start <= edits:
                     continue
-                seen.setdefault(i, []).append(start)
+                seen[i, at] = (start, start)
                 # starts within the budget of any start skipped above lie in here too
                 window = text[max(0, start - 2 * edits) : start + len(item) + 2 * edits]
                 d = 0 if item in window else C.myers(masks, len(item), window, inside=True)[0]

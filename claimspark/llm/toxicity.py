@@ -35,11 +35,23 @@ MASKS = "*#_"
 AS_SIGN, AS_NOISE, AS_MASK = 1.5, 1.0, 0.5
 
 _TOKEN = re.compile(r"\S+")
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_SUSPECT = re.compile(r"[a-zÀ-ɏ][^a-zÀ-ɏ\s'’-]+[a-zÀ-ɏ]|[0-9@$!|+(<€£¡][^a-zÀ-ɏ\s]*[a-zÀ-ɏ]|[a-zÀ-ɏ][0-9@$|+]|([a-zÀ-ɏ])\1\1|[a-zÀ-ɏ][_*.'’-][a-zÀ-ɏ][_*.'’-][a-zÀ-ɏ]")
+_L, _SIGNS = "a-zÀ-ɏ", "0-9@$!|+(<€£¡"
+#: Letters with other signs between, a run of these with a sign of LEET before a letter (tried once a run), and the like.
+_SUSPECT = re.compile(rf"[{_L}][^{_L}\s'’-]++[{_L}]|(?<![^{_L}\s])(?=[^{_L}\s]++[{_L}])[^{_L}\s]*?[{_SIGNS}]|[{_L}][0-9@$|+]|([{_L}])\1\1|[{_L}][_*.'’-][{_L}][_*.'’-][{_L}]")
 _MASKED = re.compile(rf"[a-zÀ-ɏ][{re.escape(MASKS)}]+[a-zÀ-ɏ]")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_][ \t._*-]{1,2}){3,}[^\W_](?![\w])")
 
+
+def bare(token: str) -> str:
+    """A token without what is no letter or digit at its ends."""
+    start, stop = 0, len(token)
+    while start < stop and not token[start].isalnum():
+        start += 1
+    while stop > start and not token[stop - 1].isalnum():
+        stop -= 1
+    return token[start:stop]
+
+
 # --- alphabet of the language model -----------------------------------------------------------------------------------
 
 #: a-z, space, and one sign for all else; accents are taken off.
@@ -157,7 +169,7 @@ class Restorer:
             if token.isalpha():
                 out.add(token)
                 continue
-            word = _EDGE.sub("", token)
+            word = bare(token)
             if word:
                 out.add(word)
             if _SUSPECT.search(token):

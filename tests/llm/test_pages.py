@@ -39,6 +39,27 @@ def test_blocks():
     assert html.blocks(None) == []
 
 
+def test_wrappers_comments_and_headings():
+    for name in ("content no-sidebar", "site has-sidebar", "layout with-sidebar", "entry-content has-header", "nav-open", "header-image", "comment-on-the-budget", "post sponsored-by-none", "alert"):
+        assert html.blocks(f'<body><nav>menu</nav><div class="{name}"><p>Text that stays.</p></div></body>') == ["Text that stays."], name
+    for name in ("site-footer", "cookie-notice", "newsletter-signup", "navbar-dark", "menu-item", "sidebar-widget", "comments-area", "share-buttons", "comment-list"):
+        assert html.blocks(f'<body><p>Text.</p><div class="{name}">gone</div></body>') == ["Text."], name
+    page = '<article class="post no-comments"><header><h1>Title</h1><p>by</p></header><p>Text.</p><footer><h2>f</h2></footer></article><article class="comment"><p>no</p></article><article id="div-comment-7" class="comment-body"><p>no</p></article>'
+    assert html.blocks(f"<header><h1>Site</h1></header>{page}") == ["Title", "Text."]
+    assert html.blocks(f"<main>{page}<article class='comment'>no</article></main>") == ["Title", "Text."]
+
+
+def test_long_urls_end(spark):
+    import time
+
+    rows = [(1, "https://a.org/" + "1" * 8000 + "x" * 32000), (2, "https://a.org/" + "1x" * 20000), (3, "https://a.org/" + "1" * 20000 + "-" * 20000)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    urls.judge(df).collect()
+    began = time.time()
+    kinds = [r[0] for r in df.select(urls._kind(urls.F.substring("url", 15, 50_000))).collect()]
+    assert time.time() - began < 5 and [k == "*" for k in kinds] == [False, True, False]
+
+
 def test_pages_as_written(spark):
     """Every page of the table has its text in one article of h1, p, b and br."""
     import html as entities
