@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that name nothing by themselves.
@@ -100,6 +100,13 @@ def quantity(token: Column, unit: Column) -> Column:
     return F.coalesce(F.try_cast(token, "double") if hasattr(F, "try_cast") else token.try_cast("double"), _mapped(NUMBER_WORDS, token)) * _mapped(MAGNITUDES, unit)
 
 
+def quantities(rows: DataFrame, key: str, guard: str) -> DataFrame:
+    """(key, place, tok, unit, quantity): every quantity of a guard_norm() text, in order from 1; unit is empty for none."""
+    parts = F.arrays_zip(F.regexp_extract_all(guard, F.lit(QUANTITY), F.lit(1)).alias("tok"), F.regexp_extract_all(guard, F.lit(QUANTITY), F.lit(2)).alias("unit"))
+    found = rows.select(key, F.posexplode(parts).alias("p", "x")).select(key, (F.col("p") + 1).cast("long").alias("place"), F.col("x.tok").alias("tok"), F.coalesce("x.unit", F.lit("")).alias("unit"))
+    return found.withColumn("quantity", quantity(F.col("tok"), F.col("unit")))
+
+
 def theme_score(c: Column, phrases: list[str], singles: list[str]) -> Column:
     """Two points for each phrase held, one for each word held, plain or plural."""
     t = F.concat(F.lit(" "), norm(c), F.lit(" "))

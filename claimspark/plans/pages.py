@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from claimspark.functions import html as H
 from claimspark.functions import urls as U
 from claimspark.operators import articles as A
+from claimspark.operators import feeds as L
 from claimspark.operators import audit as V
 
 from .registry import query
@@ -53,14 +54,6 @@ def page_scan(t):
     return t("pages").select("page_id", "url", F.when(F.startswith("url", F.lit("https://")), "https").otherwise("browser").alias("transport"), F.length("html").cast("long").alias("n_chars"))
 
 
-@query(rf"""SELECT page_id, link, CAST(place AS BIGINT) AS place FROM (SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY i) AS place FROM (SELECT page_id, unnest(l) AS link, unnest(range(len(l))) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1) AS l FROM pages)) WHERE length(link) > 3 AND NOT regexp_matches(link, '\.(rss|xml)$')) WHERE place <= 4""")
-def page_links(t):
-    """The first four links of each page that could be articles."""
-    links = F.regexp_extract_all("html", F.lit('<a[^>]*href="([^"]*)"'), F.lit(1))
-    kept = F.slice(F.filter(links, lambda x: (F.length(x) > 3) & ~x.rlike(r"\.(rss|xml)$")), 1, 4)
-    return t("pages").select("page_id", F.posexplode(kept).alias("p", "link")).select("page_id", "link", (F.col("p") + 1).cast("long").alias("place"))
-
-
 NAMED_HOSTS = r"(SELECT page_id, lower(unnest(regexp_extract_all(url || ' ' || html, 'https?://([A-Za-z0-9.-]+)', 1))) AS host FROM pages)"
 
 
@@ -137,6 +130,30 @@ def extract_articles(t):
     return A.articles(t("pages"))
 
 
+FEEDS = """(SELECT a.page_id AS feed_id, '<link>' || a.url || '.rss</link><link rel="x" href="' || coalesce(b.url, '') || '"/><LINK> ' || coalesce(c.url, '') || ' </LINK><link>http://a.b/short</link><link>' || a.url || '</link><link>' || a.url || '?utm_x=1</link>' AS text
+ FROM pages a LEFT JOIN pages b ON b.page_id = a.page_id + 1 LEFT JOIN pages c ON c.page_id = a.page_id + 2)"""
+LINKS = rf"""(SELECT feed_id, i, trim(CASE WHEN regexp_matches(tag, '(?i)^<link[^>]*>[^<]+</link>') THEN regexp_extract(tag, '(?i)<link[^>]*>([^<]+)</link>', 1) ELSE regexp_extract(tag, '(?i)href="([^"]+)"', 1) END) AS link
+ FROM (SELECT feed_id, unnest(x) AS tag, unnest(range(len(x))) AS i FROM (SELECT feed_id, regexp_extract_all(text, '(?i)<link[^>]*>[^<]+</link>|<link[^>]+href="[^"]+"') AS x FROM {FEEDS})))"""
+#: page_id here counts links.
+ABLE = rf"(SELECT *, row_number() OVER (ORDER BY feed_id, i) AS page_id, link AS url FROM {LINKS} WHERE regexp_matches(link, '^https?://') AND NOT regexp_matches(link, '(?i)\.(rss|xml)(\?|$)') AND length(regexp_extract(link, '^[^:]*://[^/?#]*([^?#]*)', 1)) > 12)"
+FIRST_FOUR = f"(SELECT feed_id, link, row_number() OVER (PARTITION BY feed_id ORDER BY i) AS place FROM able JOIN {GATED.replace('FROM pages', 'FROM able')} g USING (page_id) WHERE reason IS NULL)"
+
+
+@query(rf"""WITH able AS {ABLE}, l AS (SELECT *, link AS url FROM {FIRST_FOUR} WHERE place <= 4), m AS (SELECT page_id, {NORMAL} AS normal FROM {NORMALISED.format('pages')}), n AS (SELECT feed_id, link, place, {NORMAL} AS normal FROM {NORMALISED.format('l')}),
+p AS (SELECT normal, {HEADLINE} AS headline, {HOST.format('url')} AS publisher, CASE WHEN page_id % 7 > 0 THEN '2024-01-0' || page_id % 7 END AS published, list_filter(list_transform(regexp_extract_all(main, '[^.!?]{{60,220}}[.!?]'), lambda s: trim(s)), lambda s: length(s) >= 60)[1] AS sentence FROM {MAIN} JOIN m USING (page_id)),
+f AS (SELECT feed_id, min(place) AS place FROM n JOIN p USING (normal) WHERE headline <> '' AND publisher <> '' AND published IS NOT NULL AND sentence IS NOT NULL GROUP BY 1)
+SELECT page_id AS feed_id, f.place, n.link, headline, publisher, published, sentence FROM pages LEFT JOIN f ON f.feed_id = page_id LEFT JOIN n ON n.feed_id = page_id AND n.place = f.place LEFT JOIN p USING (normal)""")
+def page_links(t):
+    """The first article that a feed leads to; here a feed names its page and the two after it, among other links."""
+    p = t("pages").select("page_id", "url")
+    after = lambda n: p.select((F.col("page_id") - n).alias("page_id"), F.col("url").alias(f"u{n}"))
+    parts = F.lit("<link>"), "url", F.lit('.rss</link><link rel="x" href="'), F.coalesce("u1", F.lit("")), F.lit('"/><LINK> '), F.coalesce("u2", F.lit("")), F.lit(" </LINK><link>http://a.b/short</link><link>"), "url", F.lit("</link><link>"), "url", F.lit("?utm_x=1</link>")
+    feeds = p.join(after(1), "page_id", "left").join(after(2), "page_id", "left").select(F.col("page_id").alias("feed_id"), F.concat(*parts).alias("text"))
+    k = F.col("page_id") % 7
+    captured = t("pages").select("url", F.coalesce(H.headline(F.col("html")), F.lit("")).alias("headline"), U.host(F.col("url")).alias("publisher"), F.when(k > 0, F.concat(F.lit("2024-01-0"), k.cast("string"))).alias("published"), H.main_text(F.col("html")).alias("text"))
+    return L.first_articles(feeds, captured, p.sparkSession.createDataFrame(REJECTED, "host string, why string"))
+
+
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '2024-03-0' || (1 + doc_id % 9) WHEN 1 THEN '2023-05-05' END AS published FROM documents")
 def rendered_date(t):
     k = F.col("doc_id") % 4

@@ -133,11 +133,12 @@ _NUMBERS = "CASE tok " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in T.NUMBER_WO
 _UNITS = "CASE unit " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in T.MAGNITUDES.items()) + " END"
 
 
-@query(f"SELECT doc_id, tok, unit, coalesce(try_cast(tok AS DOUBLE), {_NUMBERS}) * {_UNITS} AS quantity FROM (SELECT doc_id, regexp_extract(g, '{_Q}', 1) AS tok, regexp_extract(g, '{_Q}', 2) AS unit FROM (SELECT doc_id, {_guard_sql(SAMPLE)} AS g FROM documents)) WHERE tok <> ''")
+@query(f"""SELECT doc_id, place, tok, unit, coalesce(try_cast(tok AS DOUBLE), {_NUMBERS}) * {_UNITS} AS quantity FROM (SELECT doc_id, unnest(range(1, len(a) + 1)) AS place, unnest(a) AS tok, unnest(b) AS unit
+ FROM (SELECT doc_id, regexp_extract_all(g, '{_Q}', 1) AS a, list_transform(regexp_extract_all(g, '{_Q}', 2), lambda x: coalesce(x, '')) AS b FROM (SELECT doc_id, {_guard_sql(SAMPLE)} AS g FROM documents)))""")
 def quantity_parse(t):
+    """Every quantity of a text, in order."""
     g = t("documents").select("doc_id", T.guard_norm(sample()).alias("g"))
-    found = g.select("doc_id", F.regexp_extract("g", _Q, 1).alias("tok"), F.regexp_extract("g", _Q, 2).alias("unit")).where("tok <> ''")
-    return found.withColumn("quantity", T.quantity(F.col("tok"), F.col("unit")))
+    return T.quantities(g, "doc_id", "g")
 
 
 CONCEPTS = [("article", r"\b(the|le|la|der|die|el)\b"), ("thread", r"\bth[a-z]*ed\b"), ("ending", r"\b[a-z]+tion\b"), ("number", r"\b[0-9]+\b"), ("mail", r"\bmail[0-9]+ example com\b")]
@@ -194,9 +195,9 @@ def branch_tag(t):
 
 @query("SELECT CAST(2026 + doc_id % 15 AS BIGINT) AS year, (2026 + doc_id % 15) || '-' || (row_number() OVER (PARTITION BY doc_id % 15 ORDER BY doc_id) - 1) AS claim_id, doc_id FROM documents")
 def claims_flatten(t):
-    """Years that nest events, flattened to one row a claim; its id tells the year and the place in it."""
-    nested = t("documents").groupBy((2026 + F.col("doc_id") % 15).alias("year")).agg(F.array_sort(F.collect_list("doc_id")).alias("events"))
-    return S.flatten(nested, "year", "events").select("year", "claim_id", F.col("event").alias("doc_id"))
+    """Events of years, one row a claim; its id tells the year and the place in it."""
+    events = t("documents").select((2026 + F.col("doc_id") % 15).alias("year"), "doc_id")
+    return S.numbered_claims(events, "year", "doc_id").select("year", "claim_id", "doc_id")
 
 
 @query("SELECT CASE WHEN value < 1 THEN 'malformed' WHEN user_id % 50 = 0 THEN 'retired' ELSE 'kept' END AS outcome, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS registered FROM events GROUP BY 1")
@@ -212,7 +213,7 @@ def ledger_scan(t):
 
 @query("SELECT o_custkey AS source, o_orderkey AS claim FROM orders")
 def mapping_explode(t):
-    groups = t("orders").groupBy(F.col("o_custkey").alias("source")).agg(F.collect_list("o_orderkey").alias("ids"))
+    groups = S.ledger_groups(t("orders").select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("id")), "source", "id")
     return S.mappings(groups, "source", "ids")
 
 

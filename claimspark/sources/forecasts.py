@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimspark.operators.tables import numbered
+
 FORECAST = """updated string, basis string,
  years array<struct<year: int, summary: string, events: array<struct<t: string, d: string, prob: int, high: boolean, revisedAt: string, changeNote: string, m: int, mBand: int, mPrecision: string, mBasis: string>>>>,
  postSuperintelligence struct<title: string, summary: string, items: array<struct<id: string, t: string, d: string, epistemic: string, conditionalProb: int, dependencies: array<string>, indicators: array<string>, caveat: string>>>"""
@@ -41,6 +45,20 @@ def flatten(nested: DataFrame, key: str, items: str) -> DataFrame:
     return nested.select(key, F.posexplode(items).alias("i", "event")).withColumn("claim_id", F.concat_ws("-", key, "i"))
 
 
+def numbered_claims(events: DataFrame, key: str, *order: str) -> DataFrame:
+    """events (key, ...) with claim_id `key-place`: the place of a row among those of its key from 0, in an order of all
+    rows, so that no key's rows are gathered. `order` should tell rows of a key apart."""
+    rows = numbered(events, key, *order)
+    first = rows.groupBy(key).agg(F.min("number").alias("_first"))
+    return rows.join(first, key).withColumn("claim_id", F.concat_ws("-", key, F.col("number") - F.col("_first"))).drop("number", "_first")
+
+
+def ledger_groups(mapping: DataFrame, source: str, claim: str, most: int = 1000) -> DataFrame:
+    """(source, ids): ledger groups of a mapping (source, claim), of `most` ids at the utmost; a larger group is several."""
+    rows = numbered(mapping.select(source, claim), source, claim)
+    return rows.groupBy(source, F.floor(F.col("number") / most).alias("_part")).agg(F.collect_list(claim).alias("ids")).drop("_part")
+
+
 def census(rows: DataFrame, reason: Column) -> DataFrame:
     """(outcome, n, registered): what is kept and what is dropped for which reason, beside all that was read."""
     counts = rows.groupBy(F.coalesce(reason, F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"))
@@ -58,11 +76,30 @@ def duplicates(mapping: DataFrame) -> DataFrame:
 
 
 def publish(table: DataFrame, violations: DataFrame, path: str, run_date: str) -> None:
-    """Writes table as the partition run_date of path, only if violations has no row; else fails and writes nothing."""
+    """Writes table as the partition run_date of path, only if violations has no row; else fails and writes nothing.
+
+    The table is computed into a folder beside the partitions, which readers skip, and takes the partition's place by a
+    rename once it is whole. A run that fails before leaves the last output as it was; one that fails between the two
+    renames puts it back."""
     broken = violations.limit(20).collect()
     if broken:
         raise ValueError(f"not published: {[tuple(r) for r in broken]}")
-    table.write.mode("overwrite").parquet(f"{path}/run_date={run_date}")
+    session, mark = table.sparkSession, uuid.uuid4().hex
+    at = session._jvm.org.apache.hadoop.fs.Path
+    staged, former, target = at(f"{path}/_staged-{mark}"), at(f"{path}/_former-{mark}"), at(f"{path}/run_date={run_date}")
+    fs = target.getFileSystem(session.sparkContext._jsc.hadoopConfiguration())
+    try:
+        table.write.parquet(staged.toString())
+        had = fs.exists(target)
+        if had and not fs.rename(target, former):
+            raise OSError(f"can't move the last output of {target.toString()}")
+        if not fs.rename(staged, target):
+            if had:
+                fs.rename(former, target)
+            raise OSError(f"can't move the new output to {target.toString()}")
+        fs.delete(former, True)
+    finally:
+        fs.delete(staged, True)
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -28,14 +28,6 @@ def test_bound_quantity(spark):
     assert column(spark, no, f) == [False] * len(no)
 
 
-def test_attribution(spark):
-    cases = {
-        "AI does 60% of all work": ["active"], "AI helps humans do 60% of work": [], "70% of jobs are done by machines": ["passive"], "70% of jobs are not done by machines": [],
-        "30% of jobs are done by machines": [], "robots share of work is 80%": ["share"], "almost all tasks are performed by agents": ["near_total"], "people do everything": [],
-    }
-    assert column(spark, list(cases), lambda c: quantities.attribution_tags(text.guard_norm(c))) == list(cases.values())
-
-
 def serial_choice(edges):
     owner, out = set(), {}
     for claim in sorted({e[0] for e in edges}):
@@ -197,6 +189,43 @@ def test_publish_gate(spark, tmp_path):
     assert forecasts.duplicates(spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "source long, claim long")).count() == 1
 
 
+def test_failed_publish_leaves_the_last_output(spark, tmp_path):
+    path, none = str(tmp_path / "t"), spark.range(0)
+    forecasts.publish(spark.range(3), none, path, "2024-01-01")
+    broken = spark.range(8).select(F.when(F.col("id") < 7, F.col("id")).otherwise(F.raise_error(F.lit("broken"))).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        forecasts.publish(broken, none, path, "2024-01-01")
+    assert sorted(r.id for r in forecasts.previous_run(spark, path, "id long").collect()) == [0, 1, 2]
+    assert [p.name for p in (tmp_path / "t").iterdir()] == ["run_date=2024-01-01"]
+    forecasts.publish(spark.range(5), none, path, "2024-01-01")
+    assert forecasts.previous_run(spark, path, "id long").count() == 5
+    assert [p.name for p in (tmp_path / "t").iterdir()] == ["run_date=2024-01-01"]
+
+
+def test_feeds(spark):
+    from claimspark.operators import feeds
+
+    say = "This is a sentence that is long enough to be quoted by anyone who reads it"
+    texts = [
+        (1, "<link>https://a.org/feed/of/articles.rss</link><link>https://a.org/short</link><link>https://bad.org/long/enough/path</link><LINK>\n https://a.org/article/number-one </LINK><link rel='x' href=\"https://b.org/article/number-two?utm_a=1\"/>"),
+        (2, "<link>https://b.org/article/number-two</link>" * 2), (3, None), (4, "<link>ftp://a.org/article/number-one</link><link>https://a.org/article/number-one</link>"),
+        (5, "".join(f"<link>https://c.org/article/number-{i}</link>" for i in range(5)) + "<link>https://b.org/article/number-two</link>"),
+    ]
+    captured = [("https://b.org/article/number-two", "Two", "B", "2024-01-01", f"No. {say}. And more."), ("https://a.org/article/number-one", "One", "A", None, f"{say}."), ("https://c.org/article/number-3", "", "C", "2024-01-01", f"{say}.")]
+    rejected = spark.createDataFrame([("bad.org", "bad")], "host string, why string")
+    found = feeds.first_articles(spark.createDataFrame(texts, "feed_id long, text string"), spark.createDataFrame(captured, "url string, headline string, publisher string, published string, text string"), rejected)
+    got = {r.feed_id: (r.place, r.headline, r.sentence) for r in found.collect()}
+    none = (None, None, None)
+    assert got == {1: (2, "Two", f"{say}."), 2: (1, "Two", f"{say}."), 3: none, 4: none, 5: none}
+
+
+def test_ledger_groups_are_bounded(spark):
+    rows = spark.createDataFrame([(i % 3 // 2, i) for i in range(50)], "source long, claim long")
+    groups = forecasts.ledger_groups(rows, "source", "claim", 7)
+    assert max(len(r.ids) for r in groups.collect()) <= 7
+    assert sorted((r.source, r.claim) for r in forecasts.mappings(groups, "source", "ids").collect()) == sorted((r.source, r.claim) for r in rows.collect())
+
+
 def test_page_stream(spark, tmp_path):
     from claimspark.streaming.pages import extract_new
 
@@ -239,58 +268,6 @@ def test_near_pairs(spark):
     assert matching.near_pairs(spark.createDataFrame([], "id long, tokens array<string>"), saved).count() == 0
 
 
-CLAIMS = [(1, "Warehouse robots replacing forklift drivers"), (2, "Regulators approve sensors for trucks"), (3, "")]
-POSTS = [
-    (10, "Warehouse robots replacing forklift drivers already", 5), (11, "The robot and its driver; replacings of a warehouses' forklift-drivers", 5), (12, "sensor truck", 5), (13, "Regulatorship approves sensors", 40),
-    (14, "Nothing of this", 5), (15, "", 5), (16, None, 5), (17, "robots robots robots", 90), (18, "forklift drivership", 5),
-]
-
-
-def plain_score(post, terms):
-    norm = " " + re.sub(r"[^a-z0-9]+", " ", (post or "").lower()).strip() + " "
-    one = lambda w: f" {w} " in norm
-    held = {"phrase": lambda w: f" {w}" in norm, "strong": lambda w: f" {w}" in norm, "single": lambda w: one(w) or one(w + "s") or (w.endswith("s") and one(w[:-1])), "weak": one}
-    hits = [(t, k, p) for t, k, p in terms if held[k](t)]
-    specific = [t for t, k, _ in hits if k == "single" and len(t) >= 7 and t not in matching.SOFT and t != "sensors"]
-    firm = [t for t, k, _ in hits if k == "strong" or t == "sensors"]
-    n_phrases = sum(k == "phrase" for _, k, _ in hits)
-    words = {t[:-1] if len(t) > 4 and t.endswith("s") else t for t in [*specific, *firm]}
-    return sum(p for *_, p in hits), n_phrases + len(firm) + (len(specific) >= 2), len(hits), len(words) + 2 * n_phrases
-
-
-def test_scores(spark):
-    claims, posts = spark.createDataFrame(CLAIMS, "claim_id long, title string"), spark.createDataFrame(POSTS, "post_id long, text string, age int")
-    terms = {}
-    for r in matching.claim_terms(claims).collect():
-        terms.setdefault(r.claim_id, []).append((r.term, r.kind, r.points))
-    assert {k for ts in terms.values() for _, k, _ in ts} == {"phrase", "strong", "single"}
-    want = {(c, p, *s) for c, ts in terms.items() for p, text, _ in POSTS if (s := plain_score(text, ts))[2]}
-    assert {tuple(r) for r in matching.scores(claims, posts, ["sensors"]).collect()} == want and len(want) >= 6
-
-
-def test_methods(spark):
-    claims, posts = spark.createDataFrame(CLAIMS, "claim_id long, title string"), spark.createDataFrame(POSTS, "post_id long, text string, age int")
-    ontology = spark.createDataFrame([("labour", 1.5, False), ("machines", 1.5, False), ("law", 1.0, False), ("depot", 1.0, True)], "tag string, weight double, solo boolean")
-    a = spark.createDataFrame([(1, ["labour", "machines", "depot"]), (2, ["labour", "law"])], "claim_id long, tags array<string>")
-    b = spark.createDataFrame([(10, ["labour", "machines", "labour"]), (12, ["labour", "law"]), (14, ["depot"]), (17, ["depot", "labour"]), (16, None)], "post_id long, tags array<string>")
-    tagged = matching.tag_hits(a, b, ontology)
-    assert {(r.claim_id, r.post_id, r.tag_score, r.n_tags, r.semantic) for r in tagged.collect()} == {
-        (1, 10, 3.0, 2, True), (2, 10, 1.5, 1, False), (1, 12, 1.5, 1, False), (2, 12, 2.5, 2, False), (1, 14, 1.0, 1, True), (1, 17, 2.5, 2, True), (2, 17, 1.5, 1, False),
-    }
-    got = {(r.claim_id, r.post_id): (r.method, r.reason) for r in matching.methods(matching.scores(claims, posts), tagged, posts).collect()}
-    assert got[1, 10] == ("hybrid", None) and got[1, 14] == ("semantic", None) and got[1, 18] == ("lexical", None)
-    assert got[1, 17] == (None, "relevance") and got[2, 10] == (None, "relevance")  # too old and one weak word; one tag
-
-
-def test_guards(spark):
-    rules = [("robot", ["robot", "driver"], None), ("truck", ["truck"], ["law"])]
-    claims = spark.createDataFrame([(1, "Robots, Drivers", "work"), (2, "trucks", "law"), (3, "trucks", "work"), (4, None, None)], "claim_id long, title string, domain string")
-    posts = spark.createDataFrame([(1, "ROBOT and Driver"), (2, "robot"), (3, "a truck"), (4, None)], "post_id long, text string")
-    pairs = spark.createDataFrame([(c, p) for c in (1, 2, 3, 4) for p in (1, 2, 3, 4)], "claim_id long, post_id long")
-    got = {(r.claim_id, r.post_id) for r in matching.guarded(pairs, claims, posts, rules).where("passes").collect()}
-    assert got == {(1, 1), (2, 3), *((c, p) for c in (3, 4) for p in (1, 2, 3, 4))}
-
-
 def test_age_wordings(spark):
     ages = [-2, 0, 1, 7, 8, 13, 14, 31, 45, 60, 61, 92, 93, 364, 365, 366, 400, 730, 1000, None]
     rows = spark.createDataFrame(list(enumerate(ages)), "i int, d long").orderBy("i")
