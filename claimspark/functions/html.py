@@ -7,6 +7,8 @@ from html.entities import codepoint2name
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 GONE = ["script", "style", "noscript", "svg", "nav", "header", "footer", "aside", "form", "figure"]
 #: Named references: the standard's names of signs, Latin letters, Greek letters and typography, and ' with a plain space for
 #: a no-break one.
@@ -17,21 +19,22 @@ ENDS = "p|div|li|tr|h[1-6]|ul|ol|table|section|article|main|blockquote"
 
 def references(c: Column) -> Column:
     """Character references decoded once, by name, number or hexadecimal number; others stay as they are."""
-    names = F.create_map(*(F.lit(x) for pair in NAMED.items() for x in pair))
+    names = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in NAMED.items())), F.lit("\x01"), F.lit("\x02"))  # folded to one literal
 
     def sign(code: Column) -> Column:
         fits = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
         return F.when(code == 160, " ").when(fits, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
-    def one(part: Column) -> Column:
-        name = F.regexp_extract(part, REFERENCE, 1)
+    def replaced(part: Column, name: Column) -> Column:
         number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(F.startswith(name, F.lit("#")), F.substring(name, 2, 7)).try_cast("int")
-        found = F.when(F.startswith(name, F.lit("#")), sign(number)).when(name != "", F.try_element_at(names, name))
-        return F.when(found.isNotNull(), F.concat(found, F.substr(part, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), part))
+        found = F.when(F.startswith(name, F.lit("#")), once(number, sign)).when(name != "", F.try_element_at(names, name))
+        return once(found, lambda x: F.when(x.isNotNull(), F.concat(x, F.substr(part, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), part)))
+
+    def one(part: Column) -> Column:
+        return once(F.regexp_extract(part, REFERENCE, 1), lambda name: replaced(part, name))
 
-    parts = F.split(c, "&")
-    joined = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
-    return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
+    joined = lambda parts: F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
+    return once(c, lambda x: F.when(F.contains(x, F.lit("&")), once(F.split(x, "&"), joined)).otherwise(x))
 
 
 def decoded(c: Column) -> Column:
@@ -54,15 +57,16 @@ def plain_text(c: Column) -> Column:
 
 def main_text(c: Column) -> Column:
     """The longest article or main region if it is long enough, else the body."""
-    body = plain_text(c)
     regions = F.concat(F.regexp_extract_all(c, F.lit("(?is)<article(?:\\s[^>]*)?>(.*?)</article>"), F.lit(1)), F.regexp_extract_all(c, F.lit("(?is)<main(?:\\s[^>]*)?>(.*?)</main>"), F.lit(1)))
     texts = F.transform(regions, lambda r: plain_text(r))
     best = F.coalesce(F.aggregate(texts, F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a)), F.lit(""))
-    return F.when(F.length(best) >= F.greatest(F.lit(400.0), 0.3 * F.length(body)), best).otherwise(body)
+    chosen = lambda x: F.when(F.length(x.best) >= F.greatest(F.lit(400.0), 0.3 * F.length(x.body)), x.best).otherwise(x.body)
+    return once(F.struct(best.alias("best"), plain_text(c).alias("body")), chosen)
 
 
 def _first(*found: Column) -> Column:
-    return F.coalesce(*(F.nullif(decoded(x), F.lit("")) for x in found))
+    texts = F.transform(F.array(*found), decoded)
+    return F.try_element_at(F.filter(texts, lambda t: t != ""), F.lit(1))
 
 
 def meta(c: Column, names: list[str]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,11 @@ from pyspark.sql import functions as F
 STOP = ["about", "after", "again", "also", "been", "before", "being", "between", "both", "could", "does", "down", "each", "even", "ever", "from", "have", "having", "here", "into", "just", "less", "like", "made", "make", "many", "more", "most", "much", "must", "only", "other", "over", "same", "should", "some", "such", "than", "that", "their", "them", "then", "there", "these", "they", "this", "those", "through", "under", "until", "upon", "very", "were", "what", "when", "where", "which", "while", "will", "with", "within", "without", "would", "your"]
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once a row, however often f uses it: Spark would write it out at each place."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def norm(c: Column) -> Column:
     """Lower case; runs of anything but a-z and 0-9 as one space; trimmed."""
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
@@ -77,7 +83,18 @@ GUARD_STEPS = [
 
 def guard_norm(c: Column) -> Column:
     """Claim text with contractions, thousands, comparisons, currencies and percents spelled one way."""
-    return F.trim(reduce(lambda x, step: F.regexp_replace(x, *step), GUARD_STEPS, F.lower(c)))
+
+    def step(x: Column, of: tuple[str, str]) -> Column:
+        pattern, by = of
+        signs = pattern.replace("\\$", "$").split("|")
+        if any(set(s) & set(r"\[](){}.*+?^") or s == "" for s in signs):
+            return F.regexp_replace(x, pattern, by)
+        return reduce(lambda y, s: F.replace(y, F.lit(s), F.lit(by)), signs, x)  # signs of their own need no search by pattern
+
+    quoted = [s for s in GUARD_STEPS if "'" in s[0]]
+    rest = [s for s in GUARD_STEPS if s not in quoted]
+    spelled = once(F.lower(c), lambda x: F.when(F.contains(x, F.lit("'")), reduce(step, quoted, x)).otherwise(x))
+    return F.trim(reduce(step, rest, spelled))
 
 
 def clauses(c: Column) -> Column:
@@ -109,18 +126,19 @@ def quantities(rows: DataFrame, key: str, guard: str) -> DataFrame:
 
 def theme_score(c: Column, phrases: list[str], singles: list[str]) -> Column:
     """Two points for each phrase held, one for each word held, plain or plural."""
-    t = F.concat(F.lit(" "), norm(c), F.lit(" "))
-    has = lambda x: F.contains(t, F.lit(f" {x} "))
-    points = [F.when(has(p), 2).otherwise(0) for p in phrases] + [F.when(has(w) | has(w + "s"), 1).otherwise(0) for w in singles]
-    return sum(points[1:], points[0]).cast("long")
+
+    def points(t: Column) -> Column:
+        has = lambda x: F.contains(t, F.lit(f" {x} "))
+        each = [F.when(has(p), 2).otherwise(0) for p in phrases] + [F.when(has(w) | has(w + "s"), 1).otherwise(0) for w in singles]
+        return sum(each[1:], each[0]).cast("long")
+
+    return once(F.concat(F.lit(" "), norm(c), F.lit(" ")), points)
 
 
 def tags(c: Column, rules: list[tuple[str, str]], unless: list[tuple[str, str]] = ()) -> Column:
     """Names of the patterns that norm() text holds, in rule order, less each (name, pattern) of `unless` that holds."""
-    t = norm(c)
-    found = F.array_compact(F.array(*(F.when(t.rlike(p), n) for n, p in rules)))
-    gone = F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(t.rlike(p), n) for n, p in unless)))
-    return F.array_except(found, gone)
+    named = lambda t, of: F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(t.rlike(p), n) for n, p in of)))
+    return once(norm(c), lambda t: F.array_except(named(t, rules), named(t, unless)))
 
 
 def touches(term: Column, topic: Column) -> Column:
