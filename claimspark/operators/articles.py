@@ -25,6 +25,19 @@ def articles(pages: DataFrame) -> DataFrame:
     )
 
 
+#: How a page may be read: plainly, or by a browser that runs its scripts.
+TRANSPORTS = ["https", "browser"]
+
+
+def scanned(pages: DataFrame, declared: DataFrame) -> DataFrame:
+    """(page_id, host, transport, violation) of pages (page_id, url), by what is declared for their host: (host, transport),
+    a row a host. transport is never guessed from a url or from a read that failed: violation is undeclared without a
+    row, unknown transport for one that isn't in TRANSPORTS, unreadable url without a host, else null."""
+    rows = pages.select("page_id", U.host(F.col("url")).alias("host")).join(declared.select("host", "transport"), "host", "left")
+    broken = F.when(F.coalesce("host", F.lit("")) == "", "unreadable url").when(F.col("transport").isNull(), "undeclared").when(~F.col("transport").isin(TRANSPORTS), "unknown transport")
+    return rows.select("page_id", "host", F.when(broken.isNull(), F.col("transport")).alias("transport"), broken.alias("violation"))
+
+
 # fixed values: hosts, then urls, that are no publisher's original whatever their name
 HOST_FORMS = [(r"(?i)(^|\.)(amp|amp-cdn)\.", "AMP mirror"), (r"(?i)(^|\.)(webcache|cache)\.", "cache mirror"), (r"(?i)(^|\.)translate\.", "translation proxy"), (r"(?i)(^|\.)(m|mobile)\.facebook\.com$", "social platform")]
 URL_FORMS = [(r"(?i)/amp(/|$|\.html)", "AMP rendition"), (r"(?i)^https?://[^/]*/?$", "site root")]

@@ -106,3 +106,11 @@ def ledger_problems(mappings: DataFrame, sources: DataFrame, claims: DataFrame,
         "over ceiling": F.col("_n") > ceiling, "mixed families": F.col("_mixed"),
     })
     return of_claims.union(of_sources)
+
+
+def reuse_audit(mapping: DataFrame) -> DataFrame:
+    """(source, claim, family, uses, n_families, all_reviewed, invalid) of a mapping (source, claim, family, reviewed): a row
+    a use, beside the counts of its source; invalid: used more than once and by more than one family. Counts are summed
+    before they are shuffled and joined back, so no source's uses are gathered."""
+    counts = mapping.groupBy("source").agg(F.count("*").alias("uses"), F.count_distinct("family").alias("n_families"), F.bool_and("reviewed").alias("all_reviewed"))
+    return mapping.drop("reviewed").join(counts, "source").select("source", "claim", "family", "uses", "n_families", "all_reviewed", ((F.col("uses") > 1) & (F.col("n_families") > 1)).alias("invalid"))

@@ -110,15 +110,11 @@ def reuse_flag(t):
     return lines.join(uses, "l_partkey").select("l_orderkey", "l_linenumber", "uses", F.when(F.col("uses") > 1, "reuse").otherwise("unique").alias("mode"))
 
 
-@query("""SELECT o_custkey, count(*) AS uses, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS claims, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS families,
- bool_and(o_orderstatus = 'F') AS all_reviewed, count(*) > 1 AND count(DISTINCT o_orderpriority) > 1 AS invalid FROM orders GROUP BY o_custkey""")
+@query("""SELECT source, claim, family, uses, n_families, all_reviewed, uses > 1 AND n_families > 1 AS invalid FROM (SELECT o_custkey AS source, o_orderkey AS claim, o_orderpriority AS family FROM orders)
+ JOIN (SELECT o_custkey AS source, count(*) AS uses, count(DISTINCT o_orderpriority) AS n_families, bool_and(o_orderstatus = 'F') AS all_reviewed FROM orders GROUP BY 1) USING (source)""")
 def reuse_audit(t):
-    """What each source is used for; a reused one must stay within a family. Lists are those of one source."""
-    found = t("orders").groupBy("o_custkey").agg(
-        F.count("*").alias("uses"), F.array_sort(F.collect_list("o_orderkey")).alias("c"), F.array_sort(F.collect_set("o_orderpriority")).alias("f"), F.bool_and(F.col("o_orderstatus") == "F").alias("all_reviewed")
-    )
-    claims_ = F.array_join(F.transform("c", lambda x: x.cast("string")), ",").alias("claims")
-    return found.select("o_custkey", "uses", claims_, F.array_join("f", ",").alias("families"), "all_reviewed", ((F.col("uses") > 1) & (F.size("f") > 1)).alias("invalid"))
+    """Every use of a source beside what is known of all of them; a reused one must stay within a family."""
+    return E.reuse_audit(t("orders").select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("claim"), F.col("o_orderpriority").alias("family"), (F.col("o_orderstatus") == "F").alias("reviewed")))
 
 
 @query("SELECT l_suppkey, count(*) AS uses FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_suppkey HAVING count(*) > 10")

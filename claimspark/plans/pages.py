@@ -48,10 +48,17 @@ NORMAL = rf"(regexp_extract(u, '^([^?]*)', 1) || CASE WHEN q = '' THEN '' ELSE '
 NORMALISED = rf"(SELECT *, array_to_string(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT list_contains({TRACKED}, lower(regexp_extract(p, '^([^=]*)', 1))) AND NOT ({STARTS})), '&') AS q FROM (SELECT *, regexp_replace(url, '#.*$', '') AS u FROM {{0}}))"
 
 
-@query("SELECT page_id, url, CASE WHEN url LIKE 'https://%' THEN 'https' ELSE 'browser' END AS transport, length(html) AS n_chars FROM pages")
+DECLARED = f"(SELECT DISTINCT host, CASE length(host) % 4 WHEN 0 THEN 'https' WHEN 1 THEN 'browser' ELSE 'carrier pigeon' END AS transport FROM (SELECT {HOST.format('url')} AS host FROM pages) WHERE length(host) % 4 < 3)"
+
+
+@query(f"""SELECT page_id, p.host, CASE WHEN transport IN ('https', 'browser') THEN transport END AS transport, CASE WHEN p.host = '' THEN 'unreadable url' WHEN transport IS NULL THEN 'undeclared' WHEN transport NOT IN ('https', 'browser') THEN 'unknown transport' END AS violation
+ FROM (SELECT page_id, {HOST.format('url')} AS host FROM pages) p LEFT JOIN {DECLARED} d ON d.host = p.host""")
 def page_scan(t):
-    """Pages with the transport they were declared to need, never one guessed from a failure."""
-    return t("pages").select("page_id", "url", F.when(F.startswith("url", F.lit("https://")), "https").otherwise("browser").alias("transport"), F.length("html").cast("long").alias("n_chars"))
+    """Pages with the transport declared for their host, here by the length of its name, and what is wrong with others."""
+    hosts = t("pages").select(U.host(F.col("url")).alias("host")).distinct()
+    k = F.length("host") % 4
+    declared = hosts.where(k < 3).withColumn("transport", F.when(k == 0, "https").when(k == 1, "browser").otherwise("carrier pigeon"))
+    return A.scanned(t("pages").select("page_id", "url"), declared)
 
 
 NAMED_HOSTS = r"(SELECT page_id, lower(unnest(regexp_extract_all(url || ' ' || html, 'https?://([A-Za-z0-9.-]+)', 1))) AS host FROM pages)"
