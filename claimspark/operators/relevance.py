@@ -58,9 +58,10 @@ def looked_up(posts: DataFrame, keys: DataFrame) -> DataFrame:
     behind, and the next one as rest; its beginning with a star, and all of it as rest. Each text is cut once, and what
     nobody asks for goes before anything is shuffled."""
     heads = sorted(r[0] for r in keys.where(F.endswith("key", F.lit("*"))).select((F.length("key") - 1).alias("n")).distinct().collect())  # HEAD numbers at most
-    w = T.words(F.col("text"))
-    neighbours = F.array_distinct(F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
-    token, following = F.col("t.a"), F.col("t.b")
+    # strings, as Spark finds distinct ones by hash, but distinct structs by comparing all pairs
+    pairs = lambda w: F.array_distinct(F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.concat_ws(" ", a, b)))
+    neighbours = T.once(T.words(F.col("text")), pairs)
+    token, following = F.substring_index("t", " ", 1), F.when(F.contains("t", F.lit(" ")), F.substring_index("t", " ", -1))
     has = lambda key, rest: F.struct(key.alias("key"), rest.alias("rest"))
     looked = F.array(has(token, F.lit(None).cast("string")), has(F.concat(token, F.lit(" ")), following), *(has(F.concat(F.substring(token, 1, n), F.lit("*")), token) for n in heads))
     tokens = posts.select("post_id", F.explode(neighbours).alias("t")).select("post_id", F.explode(looked).alias("x")).select("post_id", "x.*")
@@ -76,8 +77,8 @@ def lexical_pairs(terms: DataFrame, posts: DataFrame, save, domain: list[str] =
     together. coverage: distinct solid and specific words, phrases twice, by their singular.
 
     Only what can make a pair solid is joined: phrases, strong terms and words of the domain, and of a claim's specific
-    words, of which two must meet, all but the most frequent one. Those pairs alone are scored, over the terms of their
-    claim. Words are cut and looked up once a text; those that no claim asks for are never shuffled, and Spark splits the
+    words, of which two must meet, all but the most frequent one, which is looked up for texts that hold just one other.
+    Those pairs alone are scored, over the terms of their claim. Words are cut and looked up once a text; those that no claim asks for are never shuffled, and Spark splits the
     rows of a hot word. Null titles and texts match nothing. save(df) writes a table and cuts lineage."""
     domain = list(domain)
     term, kind = F.col("term"), F.col("kind")
@@ -88,14 +89,18 @@ def lexical_pairs(terms: DataFrame, posts: DataFrame, save, domain: list[str] =
     form = F.explode(F.when(kind.isin("phrase", "strong"), open_keys(term)).otherwise(either)).alias("f")
     wanted = save(terms.where(able).select("claim_id", "term", specific.alias("specific"), form).select("claim_id", "term", "specific", "f.*"))
     held = save(looked_up(posts, wanted.select("key").distinct()))
-    # of each claim's specific words the most frequent one needn't be looked for: another must be held as well
+    # of each claim's specific words the most frequent one is looked up for texts that hold just one other
     frequency = held.where("rest is null").groupBy("key").agg(F.count("*").alias("df"))
     by_term = wanted.where("specific").join(frequency, "key", "left").groupBy("claim_id", "term").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("df"))
-    rarest = by_term.withColumn("_n", F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("df"), "term"))).where("_n > 1").select("claim_id", "term")
-    sought = wanted.where("not specific").select("claim_id", "key", "rest").union(wanted.where("specific").join(rarest, ["claim_id", "term"], "left_semi").select("claim_id", "key", "rest"))
-    sought = sought.select("claim_id", "key", F.col("rest").alias("_rest"))
-    able = save(held.join(sought, "key").where(F.col("_rest").isNull() | F.startswith("rest", F.col("_rest"))).select("claim_id", "post_id").distinct())
-    return scored_pairs(able, terms, posts, domain).where(f"score >= {MIN_SCORE} and solid >= 1")
+    placed = by_term.withColumn("_n", F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("df"), "term"))).select("claim_id", "term", "_n")
+    specific = wanted.where("specific").join(placed, ["claim_id", "term"]).select("claim_id", "term", "key", "_n")
+    plain = held.where("rest is null").select("post_id", "key")
+    rare = save(plain.join(specific.where("_n > 1"), "key").groupBy("claim_id", "post_id").agg(F.count_distinct("term").alias("n")))
+    both = rare.where("n = 1").select("claim_id", "post_id").join(specific.where("_n = 1").select("claim_id", "key"), "claim_id").join(plain, ["post_id", "key"], "left_semi")
+    firm = wanted.where("not specific").select("claim_id", "key", F.col("rest").alias("_rest"))
+    alone = held.join(firm, "key").where(F.col("_rest").isNull() | F.startswith("rest", F.col("_rest")))
+    able = save(rare.where("n > 1").select("claim_id", "post_id").union(both.select("claim_id", "post_id")).union(alone.select("claim_id", "post_id")).distinct())
+    return save(scored_pairs(able, terms, posts, domain)).where(f"score >= {MIN_SCORE} and solid >= 1")
 
 
 def scored_pairs(pairs: DataFrame, terms: DataFrame, posts: DataFrame, domain: list[str] = ()) -> DataFrame:
@@ -105,15 +110,19 @@ def scored_pairs(pairs: DataFrame, terms: DataFrame, posts: DataFrame, domain: l
     lists = terms.groupBy("claim_id").agg(F.collect_set(F.struct("term", "kind")).alias("terms"))  # of one title and what was curated for it
     n, spaced = F.col("n"), lambda w, end=" ": F.concat(F.lit(" "), w, F.lit(end))
     held = lambda x: F.when(x.kind.isin("phrase", "strong"), F.contains(n, spaced(x.term, ""))).when(x.kind == "single", F.contains(n, spaced(x.term)) | F.contains(n, spaced(F.concat(x.term, F.lit("s")))) | F.contains(n, spaced(F.regexp_replace(x.term, "s$", "")))).otherwise(F.contains(n, spaced(x.term)))
-    found = pairs.join(lists, "claim_id").join(texts, "post_id").select("claim_id", "post_id", F.filter("terms", held).alias("t"))
-    of = lambda f: F.filter("t", f)
     specific, topical = (lambda x: _specific(x.kind, x.term, domain)), (lambda x: _in_domain(x.kind, x.term, domain))
     points = lambda x: F.element_at(F.create_map(*(F.lit(v) for kv in POINTS.items() for v in kv)), x.kind)
-    solid = F.size(of(lambda x: x.kind.isin("phrase", "strong") | topical(x))) + F.when(F.size(of(specific)) >= 2, 1).otherwise(0)
-    words = F.array_distinct(F.transform(of(lambda x: (x.kind == "strong") | topical(x) | specific(x)), lambda x: singular(x.term)))
-    coverage = F.size(words) + 2 * F.size(of(lambda x: x.kind == "phrase"))
-    score = F.aggregate("t", F.lit(0), lambda s, x: s + points(x))
-    return found.select("claim_id", "post_id", *(c.cast("long").alias(name) for name, c in (("score", score), ("solid", solid), ("hits", F.size("t")), ("coverage", coverage))))
+
+    def measures(t: Column) -> Column:
+        of = lambda f: F.filter(t, f)
+        solid = F.size(of(lambda x: x.kind.isin("phrase", "strong") | topical(x))) + F.when(F.size(of(specific)) >= 2, 1).otherwise(0)
+        words = F.array_distinct(F.transform(of(lambda x: (x.kind == "strong") | topical(x) | specific(x)), lambda x: singular(x.term)))
+        coverage = F.size(words) + 2 * F.size(of(lambda x: x.kind == "phrase"))
+        score = F.aggregate(t, F.lit(0), lambda s, x: s + points(x))
+        return F.struct(*(c.cast("long").alias(name) for name, c in (("score", score), ("solid", solid), ("hits", F.size(t)), ("coverage", coverage))))
+
+    found = pairs.join(lists, "claim_id").join(texts, "post_id").select("claim_id", "post_id", T.once(F.filter("terms", held), measures).alias("m"))
+    return found.select("claim_id", "post_id", "m.*")
 
 
 # --- tags -------------------------------------------------------------------------------------------------------------
