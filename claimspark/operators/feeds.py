@@ -11,6 +11,7 @@ from claimspark.operators.articles import host_gate
 #: Links of a feed that are tried, and the characters that an article's path exceeds.
 TRIED, SHORT_PATH = 4, 12
 _TAG, _TEXT, _HREF = r'(?i)<link[^>]*>[^<]+</link>|<link[^>]+href="[^"]+"', r"(?i)<link[^>]*>([^<]+)</link>", r'(?i)<link[^>]+href="([^"]+)"'
+_WHITE = " \t\r\n"
 #: A sentence that may be quoted.
 _SENTENCE = r"[^.!?]{60,220}[.!?]"
 
@@ -22,7 +23,7 @@ def feed_links(feeds: DataFrame, rejected: DataFrame, most: int = TRIED, short:
     A null text has no links; feeds that repeat are one. The list of a feed comes from its own text, so its links meet
     again in one row."""
     tags = F.regexp_extract_all("text", F.lit(_TAG), F.lit(0))
-    link = lambda t: F.trim(F.coalesce(F.nullif(F.regexp_extract(t, _TEXT, 1), F.lit("")), F.regexp_extract(t, _HREF, 1)))
+    link = lambda t: F.btrim(F.coalesce(F.nullif(F.regexp_extract(t, _TEXT, 1), F.lit("")), F.regexp_extract(t, _HREF, 1)), F.lit(_WHITE))
     able = lambda u: u.rlike(r"^https?://") & ~u.rlike(r"(?i)\.(rss|xml)(\?|$)") & (F.length(F.regexp_extract(u, r"^[^:]*://[^/?#]*([^?#]*)", 1)) > short)
     rows = feeds.select("feed_id", F.posexplode(F.filter(F.transform(tags, link), able)).alias("i", "link")).distinct()
     passed = host_gate(rows.select(F.col("link").alias("page_id"), F.col("link").alias("url")).distinct(), rejected).where("ok").select(F.col("page_id").alias("link"))
@@ -32,7 +33,7 @@ def feed_links(feeds: DataFrame, rejected: DataFrame, most: int = TRIED, short:
 
 def sentence(text: Column) -> Column:
     """The first sentence of 60 to 220 characters, trimmed, that still has 60; null without one."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(_SENTENCE), F.lit(0)), lambda s: F.trim(s))
+    found = F.transform(F.regexp_extract_all(text, F.lit(_SENTENCE), F.lit(0)), lambda s: F.btrim(s, F.lit(_WHITE)))
     return F.try_element_at(F.filter(found, lambda s: F.length(s) >= 60), F.lit(1))
 
 
