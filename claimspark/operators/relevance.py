@@ -103,26 +103,58 @@ def lexical_pairs(terms: DataFrame, posts: DataFrame, save, domain: list[str] =
     return save(scored_pairs(able, terms, posts, domain)).where(f"score >= {MIN_SCORE} and solid >= 1")
 
 
+def measures(t: Column, domain: list[str]) -> Column:
+    """(score, solid, hits, coverage) of the terms (term, kind) of one claim that one text holds."""
+    specific, topical = (lambda x: _specific(x.kind, x.term, domain)), (lambda x: _in_domain(x.kind, x.term, domain))
+    points = lambda x: F.element_at(F.create_map(*(F.lit(v) for kv in POINTS.items() for v in kv)), x.kind)
+    of = lambda f: F.filter(t, f)
+    solid = F.size(of(lambda x: x.kind.isin("phrase", "strong") | topical(x))) + F.when(F.size(of(specific)) >= 2, 1).otherwise(0)
+    words = F.array_distinct(F.transform(of(lambda x: (x.kind == "strong") | topical(x) | specific(x)), lambda x: singular(x.term)))
+    coverage = F.size(words) + 2 * F.size(of(lambda x: x.kind == "phrase"))
+    score = F.aggregate(t, F.lit(0), lambda s, x: s + points(x))
+    return F.struct(*(c.cast("long").alias(name) for name, c in (("score", score), ("solid", solid), ("hits", F.size(t)), ("coverage", coverage))))
+
+
+def _in_text(n: Column, term: Column, kind: Column) -> Column:
+    """Whether a normalised text between spaces holds a term of this kind."""
+    spaced = lambda w, end=" ": F.concat(F.lit(" "), w, F.lit(end))
+    return F.when(kind.isin("phrase", "strong"), F.contains(n, spaced(term, ""))).when(kind == "single", F.contains(n, spaced(term)) | F.contains(n, spaced(F.concat(term, F.lit("s")))) | F.contains(n, spaced(F.regexp_replace(term, "s$", "")))).otherwise(F.contains(n, spaced(term)))
+
+
+def _spaced_texts(posts: DataFrame, wanted: DataFrame) -> DataFrame:
+    return posts.join(wanted.select("post_id").distinct(), "post_id", "left_semi").select("post_id", F.concat(F.lit(" "), T.norm(F.col("text")), F.lit(" ")).alias("n"))
+
+
 def scored_pairs(pairs: DataFrame, terms: DataFrame, posts: DataFrame, domain: list[str] = ()) -> DataFrame:
     """Pairs (claim_id, post_id) with score, solid, hits and coverage, whether or not they reach the bar."""
-    domain = list(domain)
-    texts = posts.join(pairs.select("post_id").distinct(), "post_id", "left_semi").select("post_id", F.concat(F.lit(" "), T.norm(F.col("text")), F.lit(" ")).alias("n"))
     lists = terms.groupBy("claim_id").agg(F.collect_set(F.struct("term", "kind")).alias("terms"))  # of one title and what was curated for it
-    n, spaced = F.col("n"), lambda w, end=" ": F.concat(F.lit(" "), w, F.lit(end))
-    held = lambda x: F.when(x.kind.isin("phrase", "strong"), F.contains(n, spaced(x.term, ""))).when(x.kind == "single", F.contains(n, spaced(x.term)) | F.contains(n, spaced(F.concat(x.term, F.lit("s")))) | F.contains(n, spaced(F.regexp_replace(x.term, "s$", "")))).otherwise(F.contains(n, spaced(x.term)))
-    specific, topical = (lambda x: _specific(x.kind, x.term, domain)), (lambda x: _in_domain(x.kind, x.term, domain))
-    points = lambda x: F.element_at(F.create_map(*(F.lit(v) for kv in POINTS.items() for v in kv)), x.kind)
+    held = lambda x: _in_text(F.col("n"), x.term, x.kind)
+    found = pairs.join(lists, "claim_id").join(_spaced_texts(posts, pairs), "post_id")
+    return found.select("claim_id", "post_id", T.once(F.filter("terms", held), lambda t: measures(t, list(domain))).alias("m")).select("claim_id", "post_id", "m.*")
 
-    def measures(t: Column) -> Column:
-        of = lambda f: F.filter(t, f)
-        solid = F.size(of(lambda x: x.kind.isin("phrase", "strong") | topical(x))) + F.when(F.size(of(specific)) >= 2, 1).otherwise(0)
-        words = F.array_distinct(F.transform(of(lambda x: (x.kind == "strong") | topical(x) | specific(x)), lambda x: singular(x.term)))
-        coverage = F.size(words) + 2 * F.size(of(lambda x: x.kind == "phrase"))
-        score = F.aggregate(t, F.lit(0), lambda s, x: s + points(x))
-        return F.struct(*(c.cast("long").alias(name) for name, c in (("score", score), ("solid", solid), ("hits", F.size(t)), ("coverage", coverage))))
 
-    found = pairs.join(lists, "claim_id").join(texts, "post_id").select("claim_id", "post_id", T.once(F.filter("terms", held), measures).alias("m"))
-    return found.select("claim_id", "post_id", "m.*")
+def all_pairs(terms: DataFrame, posts: DataFrame, save, domain: list[str] = ()) -> DataFrame:
+    """(claim_id, post_id, score, solid, hits, coverage) of all pairs that share a term, as lexical_pairs() counts them,
+    whether or not they reach its bar. terms: (claim_id, term, kind); posts: (post_id, text).
+
+    Words and neighbours are looked up by key once a text, and the terms of a pair, at most those of its claim, meet in one
+    shuffle. Texts are read again only for terms that a word and the beginning of the next one don't decide."""
+    term, kind = F.col("term"), F.col("kind")
+    terms = save(terms.where("term is not null and term <> ''").select("claim_id", "term", "kind").distinct())
+    key = lambda w: F.struct(w.alias("key"), F.lit(None).cast("string").alias("rest"))
+    going_on, several = kind.isin("phrase", "strong"), F.contains(term, F.lit(" "))
+    stem = F.regexp_replace(term, "s$", "")
+    forms = F.when(going_on, open_keys(term)).when(several, open_keys(stem)).when(kind == "single", F.transform(F.array_distinct(F.array(term, F.concat(term, F.lit("s")), stem)), key)).otherwise(F.array(key(term)))
+    wanted = save(terms.select("claim_id", "term", "kind", F.explode(forms).alias("f")).select("claim_id", "term", "kind", "f.key", F.col("f.rest").alias("_rest")))
+    met = looked_up(posts, wanted.select("key").distinct()).join(wanted, "key").where(F.col("_rest").isNull() | F.startswith("rest", F.col("_rest")))
+    met = met.select("claim_id", "post_id", "term", "kind")
+    unsure = several & (~going_on | (F.size(F.split(term, " ")) > 2))
+    if not terms.where(unsure).isEmpty():
+        met = save(met)
+        maybe = met.where(unsure).distinct()
+        met = met.where(~unsure).union(maybe.join(_spaced_texts(posts, maybe), "post_id").where(_in_text(F.col("n"), term, kind)).select("claim_id", "post_id", "term", "kind"))
+    found = met.groupBy("claim_id", "post_id").agg(F.collect_set(F.struct("term", "kind")).alias("t"))
+    return found.select("claim_id", "post_id", measures(F.col("t"), list(domain)).alias("m")).select("claim_id", "post_id", "m.*")
 
 
 # --- tags -------------------------------------------------------------------------------------------------------------

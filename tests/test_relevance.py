@@ -9,6 +9,7 @@ import pytest
 from claimspark.operators import guards, matching, relevance
 from claimspark.operators.guards import Guard
 from claimspark.operators.tables import numbered, saved
+from claimspark.plans import matching as plan
 
 CLAIMS = [(1, "Warehouse robots replacing forklift drivers"), (2, "Regulators approve sensors for trucks"), (3, ""), (4, None), (5, "Forklift drivers")]
 POSTS = [
@@ -63,6 +64,25 @@ def test_pairs_of_one_specific_word_are_not_made(spark):
     assert [r.post_id for r in relevance.lexical_pairs(terms, posts, saved).collect()] == [99]
 
 
+@pytest.mark.parametrize("domain", [[], ["sensors", "trucks"]])
+def test_all_pairs_that_share_a_term(spark, tables, domain):
+    _, posts, claims_df, posts_df = tables
+    curated = [*CURATED, (1, "robots replacing forklift", "weak"), (2, "sensor trucks", "single"), (2, "approve sensors trucks", "phrase")]
+    terms_df = relevance.claim_terms(claims_df).union(spark.createDataFrame(curated, "claim_id long, term string, kind string"))
+    terms = {}
+    for r in terms_df.distinct().collect():
+        terms.setdefault(r.claim_id, []).append((r.term, r.kind))
+    want = {(c, p, *s) for c, ts in terms.items() for p, text, _ in posts if (s := plain_score(text, ts, domain))[2]}
+    got = [tuple(r) for r in relevance.all_pairs(terms_df, posts_df, saved, domain).collect()]
+    assert set(got) == want and len(got) == len(want) and sum(x[2] < 2 or x[3] < 1 for x in want) > 100
+
+
+def test_lexical_match_gives_pairs_below_the_bar(spark):
+    claims = spark.createDataFrame([(1, "that station replacing warehouses")], "item_id long, text string")
+    posts = spark.createDataFrame([(1, "station"), (2, "replacing"), (3, "replacing warehouse"), (4, "nothing")], "doc_id long, text string")
+    assert {r.post_id: (r.score, r.solid) for r in plan.lexical_match({"benchmark": claims, "documents": posts}.__getitem__).collect()} == {1: (2, 0), 2: (2, 1), 3: (2, 1)}
+
+
 ONTOLOGY = [("labour", 1.5, False), ("machines", 1.5, False), ("law", 1.0, False), ("depot", 1.0, True)]
 RULES = [Guard(r"\brobots\b", ("all", (r"\brobot", ("any", (r"\bdriver", r"\bwarehouse\b"))))), Guard("sensors", ("none", ("regulator",)), ("law",)), Guard("fleet", ("fact", "fleet"))]
 
