@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from claimspark.llm import html, urls
@@ -105,6 +106,19 @@ def test_boilerplate_of_a_host(spark, words, monkeypatch):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1, 12, 512])
+def test_boilerplate_does_not_depend_on_chunks(spark, words, monkeypatch, chunk):
+    """A note on 61 of 100 distinct pages goes and one on 59 stays, wherever the pages are dealt; copies count once."""
+    monkeypatch.setattr(html, "CHUNK_PAGES", chunk)
+    often, seldom = " ".join(words(12, 1)), " ".join(words(12, 2))
+    own = [" ".join(words(20, i + 9)) for i in range(100)]
+    rows = [(i, "https://a.example.com/", f"<article><p>{own[i]}</p>" + f"<p>{often}</p>" * (i < 61) + f"<p>{seldom}</p>" * (i >= 41) + "</article>") for i in range(100)]
+    rows += [(1000 + i, "https://a.example.com/", rows[99][2]) for i in range(200)] + [(2000 + i, "https://b.example.com/", f"<p>{often}</p><p>{own[i]}</p>") for i in range(9)]
+    text = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(text) == len(rows) and all(text[i] == "\n\n".join([own[i], *[seldom] * (i >= 41)]) for i in range(100))
+    assert all(text[1000 + i] == text[99] for i in range(200)) and all(text[2000 + i].startswith(often) for i in range(9))
+
+
 def test_copies_are_no_boilerplate(spark, words):
     """A host mostly of copies of one article keeps it; a note on its distinct pages goes, from the copies too."""
     note, article = " ".join(words(12, 1)), " ".join(words(40, 2))
