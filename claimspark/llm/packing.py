@@ -6,10 +6,14 @@ exchanged with the others and packed again."""
 
 from __future__ import annotations
 
+import codecs
+import json
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import public_tokenizers
@@ -34,6 +38,22 @@ WORDS, WORD_BYTES = 400_000, 64
 #: Stands between words that are encoded together; marks that a word may end with, apart from which it is looked up.
 MARK, MARK_BYTE, MARKS = "\x01", b"\x01", b".,;:!?"
 
+#: Words of these letters, lower-cased, are left as they are and whole by the following rules, as a tokenizer's file gives
+#: them, but that each byte is written as a letter: those of bytes that have one in Latin-1, and 256 and so on for others.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_OTHERS = iter(range(256, 512))
+BYTE_LETTERS = "".join(chr(b) if b in (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)) else chr(next(_OTHERS)) for b in range(256)).replace("\u0120", " ")
+KEEPS_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -45,7 +65,7 @@ class Encoder:
 
     Its rules never join what white space parts (normal forms, lower case, the pattern of words and the added tokens all
     stay within a word), so a text's ids are its words' ids in order, and a word that comes again is looked up. Letters and
-    the marks after them never join either."""
+    the marks after them never join either. Words of Latin letters skip rules that would leave them as they are."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -56,9 +76,15 @@ class Encoder:
         self.last[[i for w, i in self.model.get_vocab().items() if w.endswith("</w>")]] = True
         if len(self.mark) != 1:
             raise ValueError("the tokenizer has no id of its own for U+0001")
+        rules = json.loads(self.model.to_str())
+        self.plain = None
+        if all(rules[k] == v for k, v in KEEPS_WORDS.items()) and not any(t["content"].isalpha() for t in rules["added_tokens"]):
+            split = {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+            self.plain = Tokenizer.from_str(json.dumps(rules | split))
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    def _ids(self, text: str, plain: bool = False) -> np.ndarray:
+        model = self.plain if plain else self.model
+        return np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def words(self, words: list[bytes]) -> list[bytes]:
         """Ids of words, none of which holds MARK: read as one text with marks between, and cut at the marks' id."""
@@ -67,40 +93,78 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[4 * (s + 1) : 4 * e] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
-    def letters(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words of letters alone, each of which ends with the only id that ends a word."""
-        ids = self._ids(b" ".join(words).decode())
+    def letters(self, words: list[bytes], plain: bool = False) -> list[bytes]:
+        """Ids of words of letters alone, each of which ends with the only id that ends a word. plain: they are all of LATIN
+        and in lower case."""
+        text = b" ".join(words)
+        ids = self._ids(codecs.charmap_decode(text, "strict", BYTE_LETTERS)[0], True) if plain and self.plain else self._ids(text.decode())
         at = np.r_[0, np.flatnonzero(self.last[ids]) + 1].tolist()
         if len(at) != len(words) + 1:  # a letter whose lower case holds a mark
             return self.words(words)
         raw = ids.tobytes()
         return [raw[4 * s : 4 * e] for s, e in zip(at[:-1], at[1:], strict=True)]
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
+    def looked_up(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, which are remembered."""
         if len(self.known) > WORDS:  # words that come again return from the former ones
             self.former, self.known = self.known, {b"": b""}
         known, former = self.known, self.former
-        new = set().union(*split) - known.keys()
-        back = new & former.keys()
-        known.update(zip(back, map(former.__getitem__, back), strict=True))
-        new -= back
-        odd = {w for w in new if len(w) > WORD_BYTES or MARK_BYTE in w}
-        here = {w: self._ids(w.decode()).tobytes() for w in odd}
-        new = list(new - odd)
-        stems = [w.rstrip(MARKS) for w in new]
-        stems = [s.lower() if s.isalpha() else s if s.decode().isalpha() else None for s in stems]
-        tails = [None if s is None else w[len(s) :] for w, s in zip(new, stems, strict=True)]
+        out = list(map(known.get, words))
+        unknown = [i for i, x in enumerate(out) if x is None]
+        if former:
+            back = [i for i in unknown if words[i] in former]
+            for i in back:
+                out[i] = known[words[i]] = former[words[i]]
+            unknown = [i for i in unknown if out[i] is None]
+        places, new, stems, plain, other = [], [], [], set(), set()
+        for i in unknown:
+            w = words[i]
+            if len(w) > WORD_BYTES or MARK_BYTE in w:
+                out[i] = self._ids(w.decode()).tobytes()
+                continue
+            s = w.rstrip(MARKS)
+            if s.isalpha():
+                s = s.lower()
+                plain.add(s)
+            elif LATIN(t := s.decode()):
+                s = t.lower().encode()
+                plain.add(s)
+            elif t.isalpha():
+                other.add(s)
+            else:
+                s = None
+            places.append(i)
+            new.append(w)
+            stems.append(s)
+        tails = [b"" if s is None else w[len(s) :] for w, s in zip(new, stems, strict=True)]
         rest = {w for w, s in zip(new, stems, strict=True) if s is None}.union(tails)
-        for encode, wanted in ((self.letters, set(stems)), (self.words, rest)):
-            found = list(wanted - known.keys() - {None})
+        for encode, wanted in ((partial(self.letters, plain=True), plain), (self.letters, other), (self.words, rest)):
+            found = [w for w in wanted if w not in known]  # a set less a dict's keys would go through all that is known
             for i in range(0, len(found), 1000):
                 known.update(zip(found[i : i + 1000], encode(found[i : i + 1000]), strict=True))
-        known.update([(w, known[s] + known[tail]) for w, s, tail in zip(new, stems, tails, strict=True) if s is not None])
-        if here:
-            return [b"".join([here[w] if w in here else known[w] for w in ws]) for ws in split]
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        for i, w, s, tail in zip(places, new, stems, tails, strict=True):
+            out[i] = known[w] = known[w] if s is None else known[s] + known[tail] if tail else known[s]
+        return out
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """32-bit ids of all texts in a row, and where each one's end."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary())
+        if not len(distinct):
+            return np.empty(0, "<u4"), np.zeros(len(texts), np.int64)
+        at = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1].tolist()
+        raw = distinct.buffers()[2]
+        raw = raw.to_pybytes() if raw else b""
+        known = self.looked_up([raw[s:e] for s, e in zip(at[:-1], at[1:], strict=True)])
+        ids, n = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        start, words = np.cumsum(n) - n, coded.indices.to_numpy()
+        parts = []
+        for i in range(0, len(words), 1 << 20):
+            some = words[i : i + (1 << 20)]
+            ends = np.cumsum(n[some])
+            parts.append(ids[np.repeat(start[some] - ends + n[some], n[some]) + np.arange(ends[-1])])
+        return np.concatenate(parts), np.r_[0, np.cumsum(n[words])][split.offsets.to_numpy()[1:]]
 
 
 #: One for each file and worker.
@@ -121,8 +185,9 @@ def pieces(documents: DataFrame, path: str = MODEL, capacity: int = CAPACITY) ->
         encoder = _ENCODERS[path]
         for b in batches:
             out = []
-            for doc_id, raw in zip(b.column(0).to_pylist(), encoder.ids(b.column(1).to_pylist()), strict=True):
-                raw += end
+            ids, ends = encoder.ids(b.column(1))
+            for doc_id, s, e in zip(b.column(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                raw = ids[s:e].tobytes() + end
                 for i, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     out.append((doc_id, i, at // 4, len(part) // 4, zlib.crc32(part)))

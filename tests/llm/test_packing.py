@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -62,6 +63,19 @@ def test_odd_texts(spark, docs_of, awkward, tokenizer):
     assert packing.pack(packing.pieces(docs_of([]))).count() == 0
 
 
+def test_latin_words_skip_rules(tokenizer):
+    """Words of Latin letters take the short way, with the tokenizer's ids, also when they come again after others."""
+    random.seed(8)
+    letters = [chr(c) for c in range(0x41, 0x100) if chr(c).isalpha()]
+    texts = [None, "", " ".join(letters)] + [" ".join("".join(random.choice(letters) for _ in range(random.randrange(1, 9))) + random.choice(["", ".", ",!", "µ", "\u0301"]) for _ in range(300)) for _ in range(20)]
+    encoder = packing.Encoder(packing.MODEL)
+    assert encoder.plain is not None
+    for _ in range(2):
+        ids, ends = encoder.ids(pa.array(texts, pa.string()))
+        encoder.former, encoder.known = encoder.known, {b"": b""}
+        assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_exchange(spark, monkeypatch):
     """Partitions that waste room give up pieces: after the rounds there are nearly as few sequences as the bound."""
     random.seed(4)
