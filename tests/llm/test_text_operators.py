@@ -75,6 +75,12 @@ def test_cut_lines_in_pieces(monkeypatch):
     assert len(set(zip(words, whole.hashes.tolist(), strict=True))) == len(set(words)) == len(set(whole.hashes.tolist()))
 
 
+def test_shared_beginnings():
+    for n in (0, 1, 15, 16, 17, 31, 32, 40):
+        for more in ("", "y", "y" * 20):
+            assert lines._shared("é" * n + "x" * 30, "é" * n + more) == n == lines._shared("é" * n + more, "é" * n)
+
+
 def test_keys_of_a_line_alone(words):
     """A line's keys are the same among any others: whether two lines meet doesn't depend on how many there are."""
     texts = [" ".join(words(3 + k % 90, 4000 + k)) for k in range(300)]
