@@ -202,6 +202,14 @@ def test_subjects(spark):
     assert {(r.claim_id, r.post_id): (r.score, r.n_subjects) for r in got.collect()} == want and len(want) > 6
 
 
+def test_subjects_do_not_cross_the_first_line(spark):
+    """The end of the first line and its beginning are no neighbours; its end and the second line are."""
+    docs = [(1, "autonomous forklift\nwarehouse", 0), (2, "forklift autonomous", 0), (3, "the autonomous\nforklift", 0), (4, "warehouse\n", 0), (5, "\nwarehouse", 0), (6, None, 0), (7, "", 0)]
+    tables = {"documents": spark.createDataFrame(docs, "doc_id long, text string, x int"), "benchmark": spark.createDataFrame([(1, "Autonomous forklift warehouse")], "item_id long, text string")}
+    got = {(r.post_id, r.score, r.n_subjects) for r in plan.subject_score(tables.get).collect()}
+    assert got == {(1, 2 * 6 + 6 + 3 + 2 * 3, 4), (2, 2 * 3, 1), (3, 6 + 2 * 3, 2), (4, 2 * 3, 1), (5, 3, 1)}
+
+
 def test_allocation_order(spark):
     random.seed(5)
     claims = [(c, random.choice((2026, 2027, None)), random.randrange(3)) for c in range(60)]
