@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.functions import text as T
+from claimspark.operators.tables import large
 
 #: Rules that one job compiles; they are sent to every task.
 MOST_RULES = 10_000
@@ -154,20 +155,30 @@ def judged(texts: DataFrame, key: str, trees: list[str | tuple], wanted: bool) -
     return texts.select(key, "n", "facts").mapInArrow(rows, f"{key} {texts.schema[key].dataType.simpleString()}, rules array<int>")
 
 
+def asked(claims: DataFrame, guards: list[Guard]) -> DataFrame:
+    """(claim_id, asks): the numbers of the rules that select each claim (claim_id, title, domain); none a null title."""
+    none = F.array().cast("array<string>")
+    titles = claims.select("claim_id", F.coalesce(T.norm(F.col("title")), F.lit("")).alias("n"), none.alias("facts"))
+    allowed = F.array_compact(F.array(F.lit(None).cast("int"), *(F.when(F.lit(True) if g.domains is None else F.col("domain").isin(list(g.domains)), i) for i, g in enumerate(guards))))
+    return judged(titles, "claim_id", [g.selector for g in guards], True).join(claims.select("claim_id", allowed.alias("allowed")), "claim_id").select("claim_id", F.array_intersect("rules", "allowed").alias("asks"))
+
+
+def lacking(posts: DataFrame, wanted: DataFrame, guards: list[Guard]) -> DataFrame:
+    """(post_id, lacks): the numbers of the rules that don't hold for posts (post_id, text, and facts if guards ask for
+    them), of those in wanted (post_id)."""
+    none = F.array().cast("array<string>")
+    texts = posts.join(large(wanted).select("post_id").distinct(), "post_id", "left_semi")
+    facts = F.coalesce("facts", none) if "facts" in posts.columns else none
+    return judged(texts.select("post_id", F.coalesce(T.norm(F.col("text")), F.lit("")).alias("n"), facts.alias("facts")), "post_id", [g.tree for g in guards], False).withColumnRenamed("rules", "lacks")
+
+
 def guarded(pairs: DataFrame, claims: DataFrame, posts: DataFrame, guards: list[Guard]) -> DataFrame:
-    """Pairs (claim_id, post_id) with passes: of claims (claim_id, title, domain) and posts (post_id, text, and facts if
+    """Pairs (claim_id, post_id, …) with passes: of claims (claim_id, title, domain) and posts (post_id, text, and facts if
     guards ask for them).
 
     Every rule that selects the claim must hold for the text. Rules are tried once a title and once a text, by one pass of
     an automaton and the patterns that it calls for; pairs carry short lists of rules, no texts. A null title selects no
     rule; a null text is an empty one, of which only what mustn't be there holds. ValueError as in checked()."""
     checked(guards)
-    none = F.array().cast("array<string>")
-    titles = claims.select("claim_id", F.coalesce(T.norm(F.col("title")), F.lit("")).alias("n"), none.alias("facts"))
-    allowed = F.array_compact(F.array(F.lit(None).cast("int"), *(F.when(F.lit(True) if g.domains is None else F.col("domain").isin(list(g.domains)), i) for i, g in enumerate(guards))))
-    asks = judged(titles, "claim_id", [g.selector for g in guards], True).join(claims.select("claim_id", allowed.alias("allowed")), "claim_id").select("claim_id", F.array_intersect("rules", "allowed").alias("asks"))
-    texts = posts.join(pairs.select("post_id").distinct(), "post_id", "left_semi")
-    facts = F.coalesce("facts", none) if "facts" in posts.columns else none
-    lacks = judged(texts.select("post_id", F.coalesce(T.norm(F.col("text")), F.lit("")).alias("n"), facts.alias("facts")), "post_id", [g.tree for g in guards], False)
-    met = pairs.join(asks, "claim_id").join(lacks.withColumnRenamed("rules", "lacks"), "post_id")
-    return met.select("claim_id", "post_id", (~F.arrays_overlap("asks", "lacks")).alias("passes"))
+    met = large(large(pairs).join(asked(claims, guards), "claim_id")).join(lacking(posts, pairs, guards), "post_id")
+    return met.select(*pairs.columns, (~F.arrays_overlap("asks", "lacks")).alias("passes"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimspark.functions import text as T
-from claimspark.operators.guards import Guard, checked, guarded, judged
+from claimspark.operators.guards import Guard, asked, checked, guarded, judged, lacking
+from claimspark.operators.tables import large
 
 #: Least score of a match by words, and points of a term by its kind.
 MIN_SCORE, POINTS = 2, {"phrase": 3, "strong": 2, "single": 2, "weak": 1}
@@ -227,8 +228,8 @@ def relevance_rejections(matched: DataFrame, claims: DataFrame, posts: DataFrame
 
 
 def family_members(families: DataFrame, posts: DataFrame, save) -> DataFrame:
-    """(family, post_id, step): for each family (family, all, any, core, match) the posts (post_id, text, tags) that hold
-    all of `all`: step is family-corroboration where none of `any` is held (null or empty: none is asked for),
+    """(family, tags, post_id, step): for each family (family, all, any, core, match) the posts (post_id, text, tags) that
+    hold all of `all`, with their set of tags: step is family-corroboration where none of `any` is held (null or empty: none is asked for),
     family-core-facet where the pattern `core` isn't (null: none), else null.
 
     A set-containment join: distinct sets of tags meet families on one required tag, the rarest, or where none is required
@@ -242,31 +243,36 @@ def family_members(families: DataFrame, posts: DataFrame, save) -> DataFrame:
     met = sets.select("tags", F.explode(F.concat("tags", F.array(F.lit("")))).alias("tag")).join(keys, "tag").select("family", "tags").distinct()
     full = met.join(families, "family").where(F.size(F.array_except("all", "tags")) == 0)
     full = full.withColumn("borne", (F.size("any") == 0) | F.arrays_overlap("any", "tags"))
-    rows = save(full.select("family", "tags", "borne", "core").join(b, "tags").select("family", "post_id", "borne", "core"))
+    rows = save(full.select("family", "tags", "borne", "core").join(large(b), "tags"))
     cores = sorted(r[0] for r in families.where("core is not null").select("core").distinct().collect())  # a row a family
-    texts = posts.join(rows.where("borne and core is not null").select("post_id").distinct(), "post_id", "left_semi")
+    texts = posts.join(large(rows).where("borne and core is not null").select("post_id").distinct(), "post_id", "left_semi")
     texts = texts.select("post_id", F.coalesce(T.norm(F.col("text")), F.lit("")).alias("n"), F.array().cast("array<string>").alias("facts"))
     if cores:
         names = families.sparkSession.createDataFrame(list(enumerate(cores)), "_rule int, core string")
         hits = judged(texts, "post_id", cores, True).select("post_id", F.explode("rules").alias("_rule")).join(F.broadcast(names), "_rule").select("post_id", "core", F.lit(True).alias("_hit"))
-        rows = rows.join(hits, ["post_id", "core"], "left")
+        rows = large(rows).join(hits, ["post_id", "core"], "left")
     else:
         rows = rows.withColumn("_hit", F.lit(None).cast("boolean"))
     step = F.when(~F.col("borne"), "family-corroboration").when(F.col("core").isNotNull() & F.col("_hit").isNull(), "family-core-facet")
-    return rows.select("family", "post_id", step.alias("step"))
+    return rows.select("family", "tags", "post_id", step.alias("step"))
 
 
 def family_matches(families: DataFrame, claims: DataFrame, posts: DataFrame, ontology: DataFrame, guards: list[Guard], save) -> DataFrame:
     """(claim_id, post_id, coverage, concept_score, reason) of claims (claim_id, title, domain, family) and posts that their
     family takes up; reason is null, or facet where a guard stands against the pair. coverage: the family's tags that are
     held; concept_score: their weights in ontology (tag, weight), 1 for those that aren't there."""
-    members = save(family_members(families, posts, save).where("step is null").select("family", "post_id"))
-    both = families.select("family", F.explode(F.array_union(F.coalesce("all", F.array().cast("array<string>")), F.coalesce("any", F.array().cast("array<string>")))).alias("tag"))
-    held = members.join(posts.select("post_id", F.explode(F.array_distinct("tags")).alias("tag")), "post_id").join(both, ["family", "tag"]).join(ontology.select("tag", "weight"), "tag", "left")
-    worth = held.groupBy("family", "post_id").agg(F.count("*").alias("coverage"), F.sum(F.coalesce("weight", F.lit(1.0))).alias("concept_score"))
-    pairs = save(claims.select("claim_id", "family").join(members.join(worth, ["family", "post_id"], "left"), "family").select("claim_id", "post_id", F.coalesce("coverage", F.lit(0)).alias("coverage"), F.coalesce("concept_score", F.lit(0.0)).alias("concept_score")))
-    passed = guarded(pairs.select("claim_id", "post_id"), claims, posts, guards)
-    return pairs.join(passed, ["claim_id", "post_id"]).select(*pairs.columns, F.when(~F.col("passes"), "facet").alias("reason"))
+    checked(guards)
+    members = save(family_members(families, posts, save).where("step is null").select("family", "tags", "post_id"))
+    none = F.array().cast("array<string>")
+    both = families.select("family", F.explode(F.array_union(F.coalesce("all", none), F.coalesce("any", none))).alias("tag"))
+    sets = save(members.select("family", "tags").distinct())
+    held = sets.select("family", "tags", F.explode("tags").alias("tag")).join(both, ["family", "tag"]).join(ontology.select("tag", "weight"), "tag", "left")
+    worth = held.groupBy("family", "tags").agg(F.count("*").alias("coverage"), F.sum(F.coalesce("weight", F.lit(1.0))).alias("concept_score"))
+    # what guards ask of a claim and what a text lacks stand beside each before they meet, so that pairs are made once
+    c = save(claims.select("claim_id", "family").join(asked(claims, guards), "claim_id"))
+    m = large(members).join(lacking(posts, members, guards), "post_id")
+    m = large(m).join(worth, ["family", "tags"], "left").select("family", "post_id", F.coalesce("coverage", F.lit(0)).alias("coverage"), F.coalesce("concept_score", F.lit(0.0)).alias("concept_score"), "lacks")
+    return m.join(c, "family").select("claim_id", "post_id", "coverage", "concept_score", F.when(F.arrays_overlap("asks", "lacks"), "facet").alias("reason"))
 
 
 def family_rejections(families: DataFrame, posts: DataFrame, save) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 
 from claimspark.operators import guards, matching, relevance
 from claimspark.operators.guards import Guard
@@ -130,6 +131,52 @@ def test_matches_beside_all_pairs(spark, tables):
     assert sum(r.facet for r in counts.values()) == sum(x[-1] == "facet" for x in want)
 
 
+def sent_to_all_tasks(df):
+    """Scans of written rows of posts below the plan's broadcasts."""
+    found, depth = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        at = len(line) - len(line.lstrip(" :+-*(0123456789)"))
+        depth = None if depth is not None and at <= depth else depth
+        if "BroadcastExchange" in line:
+            depth = at if depth is None else depth
+        elif depth is not None and "FileScan" in line and "post_id#" in line:
+            found.append(line.strip())
+    return found
+
+
+def rows_in_few_bytes(spark, n=200_000):
+    return saved(spark.range(n).select((F.col("id") % 4 + 1).alias("claim_id"), F.floor(F.col("id") / 4).alias("post_id")))
+
+
+def test_pairs_of_few_bytes_are_not_broadcast(spark):
+    """200,000 pairs take less than 1 MB in a file, so their size alone would have them sent to all tasks."""
+    claims = spark.createDataFrame([(c, "trucks", "law", ["labour", "machines"]) for c in range(1, 5)], "claim_id long, title string, domain string, tags array<string>")
+    pairs = rows_in_few_bytes(spark)
+    posts = spark.range(50_000).select(F.col("id").alias("post_id"), F.lit("a truck").alias("text"), F.lit(5).alias("age"), F.array(F.lit("labour"), F.lit("machines")).alias("tags"))
+    rules, ontology = [Guard("truck", "truck")], spark.createDataFrame(ONTOLOGY, "tag string, weight double, solo boolean")
+    passed = guards.guarded(pairs, claims, posts, rules)
+    assert not sent_to_all_tasks(passed) and passed.where("passes").count() == 200_000
+    nil = [F.lit(2).cast("long").alias(x) for x in ("score", "solid", "hits", "coverage")]
+    plans = []
+    keep = lambda df: plans.append(df) or saved(df)
+    matched = saved(relevance.matches(saved(pairs.where("post_id % 2 = 0").select("*", *nil)), claims, posts, ontology, rules, keep))
+    assert matched.count() == 200_000 and not [x for df in plans for x in sent_to_all_tasks(df)]
+    ranked = saved(matched.where("post_id < 3").select("claim_id", "post_id", (F.col("post_id") + 1).alias("place")))
+    report = relevance.run_report(matched, ranked, ranked.where("place = 1 and claim_id = 1").select("claim_id", "post_id"), claims, posts)
+    assert not sent_to_all_tasks(report.select("claim_id", "outcome", "best", "chosen_method")) and {r.outcome for r in report.collect()} == {"chosen", "crowded out"}
+
+
+def test_members_of_families_are_not_broadcast(spark):
+    claims = spark.createDataFrame([(c, "trucks", "law", "a") for c in range(1, 5)], "claim_id long, title string, domain string, family string")
+    posts = spark.range(50_000).select(F.col("id").alias("post_id"), F.lit("a robot").alias("text"), F.array(F.lit("labour"), F.lit("law")).alias("tags"))
+    fdf = spark.createDataFrame(FAMILIES, "family string, all array<string>, any array<string>, core string, match boolean")
+    plans = []
+    keep = lambda df: plans.append(df) or saved(df)
+    out = relevance.family_matches(fdf, claims, posts, spark.createDataFrame([("labour", 1.5)], "tag string, weight double"), [Guard("truck", "truck")], keep)
+    assert not [x for df in (*plans, out) for x in sent_to_all_tasks(df)]
+    assert {tuple(r) for r in out.select("coverage", "concept_score", "reason").distinct().collect()} == {(2, 2.5, "facet")} and out.count() == 200_000
+
+
 def test_guards(spark):
     rules = [Guard("robot", ("all", ("robot", "driver"))), Guard("truck", "truck", ("law",))]
     claims = spark.createDataFrame([(1, "Robots, Drivers", "work"), (2, "trucks", "law"), (3, "trucks", "work"), (4, None, None)], "claim_id long, title string, domain string")
