@@ -77,6 +77,21 @@ def test_family_choice(spark):
     assert got == want
 
 
+def test_family_choice_ends_in_few_rounds(spark):
+    """Claims with the same posts on their lists: each family has its post, whatever the number of claims."""
+    rows = [(c, c, c % 3, p, (p * (1 + c % 2)) % 7) for c in range(30) for p in range(1, 7)]
+    tables = []
+    keep = lambda df: tables.append(saved(df)) or tables[-1]
+    got = {r["claim_id"]: r["post_id"] for r in matching.family_choice(spark.createDataFrame(rows, "claim_id long, rank long, family long, post_id long, place long"), keep).collect()}
+    owner, want = {}, {}
+    for claim in range(30):
+        for _, post in sorted((k, p) for c, _, _, p, k in rows if c == claim):
+            if owner.setdefault(post, claim % 3) == claim % 3:
+                want[claim] = post
+                break
+    assert got == want and len(tables) <= 8
+
+
 @pytest.mark.parametrize("edges", [sorted({(c, p) for c, _, p, _ in EDGES}), [(1, 1), (1, 2), (2, 1)], [(1, 1), (2, 1), (3, 1)], [(1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (3, 4), (4, 1)], []])
 def test_maximum_matching(spark, edges):
     got = [tuple(r) for r in matching.maximum_matching(spark.createDataFrame(edges, "claim_id long, post_id long"), saved).collect()]
