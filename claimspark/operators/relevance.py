@@ -202,16 +202,15 @@ def matches(lexical: DataFrame, claims: DataFrame, posts: DataFrame, ontology: D
     of = lambda rows, c: rows.crossJoin(F.broadcast(known)).withColumn(c, tag_set(F.array_intersect(F.coalesce("tags", F.array().cast("array<string>")), "_known")))
     a = save(of(claims, "a").select("claim_id", "a"))
     b = save(of(posts, "b").select("post_id", "b", "age"))
-    worded = save(lexical.join(a, "claim_id").join(b.drop("age"), "post_id"))
+    worded = save(large(large(lexical).join(a, "claim_id")).join(large(b).drop("age"), "post_id"))
     semantic = save(semantic_sets(a.select("a").distinct(), b.where(F.col("age") <= fresh).select("b").distinct(), ontology))
     shared = shared_tags(worded.select("a", "b").distinct(), ontology)
     zero = lambda c: F.coalesce(c, F.lit(0))
     by_words = worded.join(shared, ["a", "b"], "left").select("claim_id", "post_id", "score", "solid", "hits", (F.col("coverage") + zero("n_tags")).alias("coverage"), F.coalesce("tag_score", F.lit(0.0)).alias("tag_score"), F.when(F.coalesce("semantic", F.lit(False)), "hybrid").otherwise("lexical").alias("method"))
-    by_tags = a.join(semantic, "a").join(b.where(F.col("age") <= fresh), "b").join(lexical.select("claim_id", "post_id"), ["claim_id", "post_id"], "left_anti")
+    by_tags = a.join(semantic, "a").join(large(b).where(F.col("age") <= fresh), "b").join(large(lexical).select("claim_id", "post_id"), ["claim_id", "post_id"], "left_anti")
     nil = [F.lit(0).cast("long").alias(c) for c in ("score", "solid", "hits")]
     found = save(by_words.union(by_tags.select("claim_id", "post_id", *nil, F.col("n_tags").alias("coverage"), "tag_score", F.lit("semantic").alias("method"))))
-    passed = guarded(found.select("claim_id", "post_id"), claims, posts, guards)
-    return found.join(passed, ["claim_id", "post_id"]).select(*found.columns, F.when(~F.col("passes"), "facet").alias("reason"))
+    return guarded(found, claims, posts, guards).select(*found.columns, F.when(~F.col("passes"), "facet").alias("reason"))
 
 
 def relevance_rejections(matched: DataFrame, claims: DataFrame, posts: DataFrame) -> DataFrame:
