@@ -346,8 +346,8 @@ def run_report(matched: DataFrame, ranked: DataFrame, chosen: DataFrame, claims:
     counts = relevance_rejections(matched, claims, posts)
     place = F.row_number().over(Window.partitionBy("claim_id").orderBy("place", "post_id"))
     top = ranked.select("claim_id", "post_id", "place").withColumn("_n", place).where(F.col("_n") <= most)
-    top = top.join(matched.select("claim_id", "post_id", "method", "score", "tag_score"), ["claim_id", "post_id"]).groupBy("claim_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "post_id", "method", "score", "tag_score"))), lambda x: F.struct(x.post_id.alias("post_id"), x.method.alias("method"), x.score.alias("score"), x.tag_score.alias("tag_score"))).alias("best"))
-    got = chosen.join(matched.select("claim_id", "post_id", "method"), ["claim_id", "post_id"], "left").select("claim_id", F.col("post_id").alias("chosen"), F.col("method").alias("chosen_method"))
+    top = top.join(large(matched).select("claim_id", "post_id", "method", "score", "tag_score"), ["claim_id", "post_id"]).groupBy("claim_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "post_id", "method", "score", "tag_score"))), lambda x: F.struct(x.post_id.alias("post_id"), x.method.alias("method"), x.score.alias("score"), x.tag_score.alias("tag_score"))).alias("best"))
+    got = chosen.join(large(matched).select("claim_id", "post_id", "method"), ["claim_id", "post_id"], "left").select("claim_id", F.col("post_id").alias("chosen"), F.col("method").alias("chosen_method"))
     out = counts.join(top, "claim_id", "left").join(got, "claim_id", "left")
     outcome = F.when(F.col("chosen").isNotNull(), "chosen").when(F.col("accepted") > 0, "crowded out").when(F.col("facet") > 0, "guarded").otherwise("irrelevant")
     return out.withColumn("outcome", outcome)
