@@ -95,11 +95,11 @@ def lexical_pairs(terms: DataFrame, posts: DataFrame, save, domain: list[str] =
     by_term = wanted.where("specific").join(frequency, "key", "left").groupBy("claim_id", "term").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("df"))
     placed = by_term.withColumn("_n", F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("df"), "term"))).select("claim_id", "term", "_n")
     specific = wanted.where("specific").join(placed, ["claim_id", "term"]).select("claim_id", "term", "key", "_n")
-    plain = held.where("rest is null").select("post_id", "key")
+    plain = large(held).where("rest is null").select("post_id", "key")
     rare = save(plain.join(specific.where("_n > 1"), "key").groupBy("claim_id", "post_id").agg(F.count_distinct("term").alias("n")))
-    both = rare.where("n = 1").select("claim_id", "post_id").join(specific.where("_n = 1").select("claim_id", "key"), "claim_id").join(plain, ["post_id", "key"], "left_semi")
+    both = large(rare).where("n = 1").select("claim_id", "post_id").join(specific.where("_n = 1").select("claim_id", "key"), "claim_id").join(plain, ["post_id", "key"], "left_semi")
     firm = wanted.where("not specific").select("claim_id", "key", F.col("rest").alias("_rest"))
-    alone = held.join(firm, "key").where(F.col("_rest").isNull() | F.startswith("rest", F.col("_rest")))
+    alone = large(held).join(firm, "key").where(F.col("_rest").isNull() | F.startswith("rest", F.col("_rest")))
     able = save(rare.where("n > 1").select("claim_id", "post_id").union(both.select("claim_id", "post_id")).union(alone.select("claim_id", "post_id")).distinct())
     return save(scored_pairs(able, terms, posts, domain)).where(f"score >= {MIN_SCORE} and solid >= 1")
 
@@ -123,14 +123,14 @@ def _in_text(n: Column, term: Column, kind: Column) -> Column:
 
 
 def _spaced_texts(posts: DataFrame, wanted: DataFrame) -> DataFrame:
-    return posts.join(wanted.select("post_id").distinct(), "post_id", "left_semi").select("post_id", F.concat(F.lit(" "), T.norm(F.col("text")), F.lit(" ")).alias("n"))
+    return posts.join(large(wanted).select("post_id").distinct(), "post_id", "left_semi").select("post_id", F.concat(F.lit(" "), T.norm(F.col("text")), F.lit(" ")).alias("n"))
 
 
 def scored_pairs(pairs: DataFrame, terms: DataFrame, posts: DataFrame, domain: list[str] = ()) -> DataFrame:
     """Pairs (claim_id, post_id) with score, solid, hits and coverage, whether or not they reach the bar."""
     lists = terms.groupBy("claim_id").agg(F.collect_set(F.struct("term", "kind")).alias("terms"))  # of one title and what was curated for it
     held = lambda x: _in_text(F.col("n"), x.term, x.kind)
-    found = pairs.join(lists, "claim_id").join(_spaced_texts(posts, pairs), "post_id")
+    found = large(large(pairs).join(lists, "claim_id")).join(_spaced_texts(posts, pairs), "post_id")
     return found.select("claim_id", "post_id", T.once(F.filter("terms", held), lambda t: measures(t, list(domain))).alias("m")).select("claim_id", "post_id", "m.*")
 
 
