@@ -260,6 +260,41 @@ def test_short_publisher(spark):
     assert column(spark, ["Daily | News", "Plain", None], text.short_publisher) == ["Daily", "Plain", None]
 
 
+def written_by_shuffles(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_near_pairs_send_sets_of_a_cluster_once(spark):
+    """80 sets that are all alike make 3,160 pairs; shuffles don't carry their tokens for each."""
+    random.seed(6)
+    word = lambda: f"{random.getrandbits(60):x}"
+    core = [word() for _ in range(400)]
+    rows = [(i, core + [word() for _ in range(20)]) for i in range(80)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = written_by_shuffles(spark)
+    found = matching.near_pairs(spark.createDataFrame(rows, "id long, tokens array<string>"), saved).collect()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {tuple(r) for r in found} == {(a, b, 400, 420, 420) for a in range(80) for b in range(a + 1, 80)}
+    assert written_by_shuffles(spark) - before < 3_000_000, written_by_shuffles(spark) - before
+
+
+def test_near_pairs_in_slices(spark, monkeypatch):
+    """Clusters that are dealt in slices have the same links."""
+    random.seed(8)
+    rows = [(i, [f"c{i % 3}w{j}" for j in range(30)] + [f"own{i}"]) for i in range(60)] + [(100 + i, random.sample([f"c{i % 3}w{j}" for j in range(30)], 27)) for i in range(20)]
+    want = set()
+    for (a, x), (b, y) in ((p, q) for p in rows for q in rows if p[0] < q[0]):
+        x, y = set(x), set(y)
+        if len(x & y) >= 0.86 * min(len(x), len(y)) or len(x & y) >= 0.72 * len(x | y):
+            want.add((a, b, len(x & y), len(x), len(y)))
+    assert len({frozenset(t) for _, t in rows}) == len(rows)
+    monkeypatch.setattr(matching, "SLICE", 4)
+    got = [tuple(r) for r in matching.near_pairs(spark.createDataFrame(rows, "id long, tokens array<string>"), saved).collect()]
+    assert set(got) == want and len(got) == len(want) > 500
+
+
 def test_near_pairs(spark):
     rng = random.Random(5)
     words = [f"word{i}" for i in range(300)]
