@@ -133,15 +133,21 @@ RULES: dict[str, list[str]] = {
 }
 
 
+#: What a clause must hold for any of RULES: each pattern asks for an A, R or a, but for two of physical_limit that ask for
+#: an F. The words of these kinds, and of the phrases that become one.
+_CALLS = r"\b(?:ai|models?|agents?|automation|machines?|software|robots?|agentcopies|virtual workers?|physical|manual|real world)\b"
+
+
 def labelled(clause: Column, least_percent: int) -> Column:
     """A letter for each word of a clause, by KINDS."""
 
     def letter(w: Column) -> Column:
         value = w.try_cast("double")
-        out = F.when(value > least_percent, "9").when(value == least_percent, "5").when(value.isNotNull(), "0")
-        for kind, words in KINDS.items():
-            out = out.when(w.isin(words), kind)
-        return out.otherwise("z")
+        out = F.lit("z")
+        for kind, words in reversed(KINDS.items()):
+            out = F.when(w.isin(words), kind).otherwise(out)
+        number = F.when(value > least_percent, "9").when(value == least_percent, "5").when(value.isNotNull(), "0")
+        return F.coalesce(F.when(w.rlike("^(?:[0-9.]|nan$|inf$|infinity$)"), number), out)  # a word that is no number is slow to cast
 
     for pattern, word in PHRASES:
         clause = F.regexp_replace(clause, pattern, word)
@@ -158,11 +164,10 @@ def attribution_tags(guard: Column, least_percent: int = 50, terawatts: float =
     terawatts or accelerators, not simulated). People as the ones who act, a negation or an upper bound between actor and
     work cancel.
 
-    Each clause is read once, word by word, into letters for what its words do, and rules are patterns of these letters."""
-    clauses = T.clauses(guard)
-    letters = F.transform(clauses, lambda c: labelled(c, least_percent))
+    Each clause that holds what some rule asks for is read once, word by word, into letters for what its words do, and
+    rules are patterns of these letters."""
 
-    def found(ls: Column) -> Column:
+    def found(ls: Column, clauses: Column) -> Column:
         def holds(name: str) -> Column:
             *never, pattern = RULES[name]
             return F.exists(ls, _all_of(pattern, never))
@@ -173,7 +178,25 @@ def attribution_tags(guard: Column, least_percent: int = 50, terawatts: float =
         hits = [F.when(more[n] if n in more else holds(n), n) for n in RULES]
         return F.array_compact(F.array(*hits, F.when(compute, "compute_scale")))
 
-    return F.coalesce(F.element_at(F.transform(F.array(letters), found), 1), F.array().cast("array<string>"))
+    def read(clauses: Column) -> Column:
+        letters = F.transform(F.filter(clauses, lambda c: c.rlike(_CALLS)), lambda c: labelled(c, least_percent))
+        return T.once(letters, lambda ls: found(ls, clauses))
+
+    none = F.array().cast("array<string>")
+    return T.once(guard, lambda g: F.when(g.rlike(f"{_CALLS}|{_COMPUTE}"), T.once(T.clauses(g), read)).otherwise(none))
+
+
+#: _CALLS and _COMPUTE for lower-case raw text, where signs that become spaces may stand around and within.
+_RAW = r"(?<![a-z0-9])(?:ai|models?|agents?|automation|machines?|software|robots?|agentcopies|virtual[^a-z0-9]+workers?|physical|manual|real[^a-z0-9]+world|compute|gpus?|h100s?|data[^a-z0-9]*centers?)(?:(?![a-z0-9])|(?=n't))"
+
+
+def text_attribution_tags(text: Column) -> Column:
+    """attribution_tags() of guard_norm(text), with the same result. No step of guard_norm() reaches over a sentence sign and
+    the white space behind it, where clauses end too, so texts are cut there and only pieces that hold a word which some
+    rule asks for are normalised."""
+    pieces = F.split(text, r"(?<=[.;!?])\s+")
+    asked = F.filter(pieces, lambda p: F.lower(p).rlike(_RAW))
+    return T.once(asked, lambda ps: F.when(F.size(ps) > 0, attribution_tags(F.array_join(F.transform(ps, lambda p: T.guard_norm(p)), " . "))).otherwise(F.array().cast("array<string>")))
 
 
 def _all_of(pattern: str, never: list[str]) -> Callable[[Column], Column]:

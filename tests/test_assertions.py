@@ -201,3 +201,24 @@ def test_attributions_beside_twin(spark):
     want = [twin_tags(t) for t in texts]
     assert {t: (g, w) for t, g, w in zip(texts, got, want, strict=True) if set(g) & names != w} == {}
     assert all(sum(n in w for w in want) >= 5 for n in names - {"passive"})
+
+
+def test_no_rule_holds_without_what_is_asked_for():
+    """Words of all kinds but those that _CALLS finds: no pattern of letters holds."""
+    random.seed(10)
+    letters = "".join(k for k in Q.KINDS if k not in "ARaF") + "z059"
+    for _ in range(3000):
+        ls = "".join(random.choices(letters, k=random.randrange(1, 12)))
+        assert not [n for n, (*_, p) in Q.RULES.items() if re.search(p, ls)]
+    asked = [w for k in "ARaF" for w in Q.KINDS[k]] + ["virtual worker", "virtual workers", "real world", "copies of ai agent", "agent copies", "ai agents"]
+    assert all(re.search(Q._CALLS, f"x {w} y") for w in asked)
+
+
+def test_whole_texts_have_the_tags_of_their_guard_text(spark):
+    """Only pieces with a word that a rule asks for are normalised; what joins or parts words in raw text changes nothing."""
+    random.seed(12)
+    parts = "AI|ai's|softwaren't|Robots|réAI|x_AI_|does|perform|60%|50 percent|of all work|the work|tasks|is done by|are performed by|nobody|People|real-world|Virtual\n workers|two jobs left|physical labor|remains|everything except|compute|data-centers|3 terawatts of|5,000,000,000 H100s|not|but|e.g.|. |! |?!|.\n|; |.x|...| . |,|\t|revenue from|agents earn $5|2.5|won't".split("|")
+    texts = ["".join(random.choice(parts) + random.choice((" ", " ", " ", "")) for _ in range(random.randrange(1, 24))) for _ in range(5000)]
+    got, want = column(spark, [*texts, None, ""], Q.text_attribution_tags), column(spark, [*texts, None, ""], lambda c: Q.attribution_tags(T.guard_norm(c)))
+    assert {t: (g, w) for t, g, w in zip(texts, got, want, strict=False) if g != w} == {} and got[-2:] == [[], []]
+    assert len({x for w in want for x in w}) >= 8
